@@ -8,7 +8,7 @@ is laid out in sorted hash arrays: an array of keys per order with the log-proba
 
 A text goes to the language of the lowest cross-entropy per letter. The score is the softmax of the negative
 cross-entropies, its sharpness fitted on sampled documents kept out of the counts; a text is rejected where its
-cross-entropy lies far above what those documents show at its length. Words are scored once per chunk, then joined to their
+cross-entropy lies midway from the highest of those documents to random letters, or beyond; short texts get more room. Words are scored once per chunk, then joined to their
 documents by position, so whole texts are read.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0 and are rejected; ties go to the language
@@ -33,7 +33,9 @@ ORDER = 4
 #: Labelled documents per language that the models learn from, and that the calibration keeps.
 SAMPLE, CALIBRATION = 2000, 400
 FOLDS, HELD_OUT = 4, 2
-SLACK = 8.0
+#: How far from the calibration's highest cross-entropy to that of random letters the limit lies, and what short texts may
+#: have besides: so much over the root of their letters.
+BETWEEN, SHORT = 0.5, 8.0
 PAD, END = 1, 2
 
 _LETTER = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(1 << 16)])
@@ -48,7 +50,7 @@ class Model:
     weights: list[np.ndarray]
     floor: np.ndarray
     sharpness: float = 20.0
-    limit: tuple[float, float, float] = (1e9, 0.0, 0.0)  # mean, deviation of documents, deviation of letters
+    limit: float = 1e9  # cross-entropy of a long text beyond which it is rejected
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -249,9 +251,9 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
         if best is None or loss < best[0]:
             best = (loss, t)
     low, letters = h.min(1), np.array([r["letters"] for r in found])
-    long = letters >= np.median(letters)
+    high = float(low[letters >= np.median(letters)].max())
     model.sharpness = best[1]
-    model.limit = (float(low.mean()), float(max(low[long].std(), 0.02)), 2.5)
+    model.limit = high + BETWEEN * max(0.5, float(-model.floor.max()) - high)
     return model
 
 
@@ -272,9 +274,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best = h.argmin(1)
                 low = h[np.arange(len(texts)), best]
                 score = 1 / np.exp(-(m.sharpness if m else 1.0) * (h - low[:, None])).sum(1)
-                mean, own, each = m.limit if m else (1e9, 0.0, 0.0)
                 none = letters == 0
-                over = low > mean + SLACK * np.sqrt(own**2 + each**2 / np.maximum(letters, 1))
+                over = low > (m.limit if m else 1e9) + SHORT / np.sqrt(np.maximum(letters, 1))
                 names = ["und" if x else languages[i] for x, i in zip(none, best, strict=True)]
                 new = [pa.array(names, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(low), pa.array(none | over)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *new], [*rows.schema.names, "lang_pred", "score", "cross_entropy", "rejected"])

@@ -1,11 +1,16 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe_codec, decontamination, token_counts
+from . import bpe_codec, decontamination, html_extraction, language_id, secret_scans, token_counts, topk_search, url_filters
 
 QUERIES = {
+    "op1_url_filters": url_filters.query,
+    "op3_language_id": language_id.query,
     "op4_decontamination": decontamination.query,
+    "op6_topk_search": topk_search.query,
+    "op7_secret_scans": secret_scans.query,
+    "op8_html_extraction": html_extraction.query,
     "op9_token_counts": token_counts.query,
     "op10_bpe_codec": bpe_codec.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_topk_search": topk_search.ORACLE, "op7_secret_scans": secret_scans.oracle()}
