@@ -1,12 +1,13 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe_codec, decontamination, html_extraction, language_id, lm_scoring, secret_scans, token_counts, topk_search, url_filters
+from . import bpe_codec, decontamination, html_extraction, language_id, lm_scoring, ngram_join, secret_scans, token_counts, topk_search, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
     "op2_lm_scoring": lm_scoring.query,
     "op3_language_id": language_id.query,
     "op4_decontamination": decontamination.query,
+    "op5_ngram_join": ngram_join.query,
     "op6_topk_search": topk_search.query,
     "op7_secret_scans": secret_scans.query,
     "op8_html_extraction": html_extraction.query,
