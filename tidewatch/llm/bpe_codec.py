@@ -1,9 +1,9 @@
 """BPE encoding and decoding through a distinct-word table.
 
-``word_table`` splits the texts of all documents into words (the tokenizer's pre-tokens), counts them with map-side
-pre-aggregation, and encodes each distinct word once. ``encode`` splits the texts again and joins the ids back by
-position. The most frequent ``BROADCAST_WORDS`` words of the table (a fixed bound) are joined by broadcast; the tail, rare
-words that shuffling with their positions would cost more than encoding, is encoded where it stands. ``decode`` joins the
+``word_table`` splits the texts of all documents into words and counts them with map-side pre-aggregation. The most
+frequent ``BROADCAST_WORDS`` distinct words (a fixed bound) are encoded once, in Spark, and joined by broadcast:
+``encode`` splits the texts again and joins the ids back by position. The tail, rare words that shuffling with their
+positions would cost more than encoding, is encoded where it stands, once per task as far as memory is bounded. ``decode`` joins the
 ids to a table of id and piece, bounded by the vocabulary, and glues the pieces by position.
 
 Texts with characters that regular-expression engines may class differently, or that hold a special token's string, go
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import only, written
+from .text_blocks import chunks
 
 VOCABULARY = "byte_bpe_50k.json"
-BROADCAST_WORDS = 1 << 18
-TASK_WORDS = 1 << 19
+BROADCAST_WORDS = 1 << 17
+#: Distinct words that a task holds at once, of its counts and of the tail.
+TASK_WORDS = 1 << 17
 #: Characters on which all engines agree; other texts are encoded whole by the library.
 AGREED = r"[\t-\r -~¡-±´-¸º»¿-ž‐-‧€]*"
 
@@ -38,10 +40,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def _splitter():
-    import public_tokenizers
-    import regex
+    """Words: a run of other than white space with the space before it, or white space, as the pre-tokenizer groups it.
+
+    A word is one pre-token or more; none crosses its ends, so its ids are the same alone as in the text.
+    """
+    import re
 
-    return regex.compile(public_tokenizers.PATTERN).findall
+    return re.compile(r" ?[^\s]+|\s+(?!\S)|\s+").findall
 
 
 def _tokenizer(path: str):
@@ -62,7 +67,7 @@ def _agreed(path: str):
 
 
 def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Each distinct word of all texts with its count and its ids, joined by commas; written to the shared folder."""
+    """Each distinct word of all texts with its count; written to the shared folder."""
     path = path or vocabulary_path()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,33 +86,37 @@ def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
                         yield out()
         yield out()
 
+    words = only(docs, "text").mapInArrow(counted, "word string, n long")
+    return written(words.groupBy("word").agg(F.sum("n").alias("n")), "word-table")
+
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of a table of distinct words: each is encoded once."""
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
             ids = [",".join(map(str, e.ids)) for e in tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.string())], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.string())], ["word", "ids"])
 
-    words = only(docs, "text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(words.mapInArrow(encoded, "word string, n long, ids string"), "word-table")
+    return words.select("word").mapInArrow(encoded, "word string, ids string")
 
 
-def frequent(table: DataFrame, bound: int = BROADCAST_WORDS) -> pa.Table:
-    """At most ``bound`` words of the highest counts, by a histogram of the counts so that nothing larger is collected."""
+def frequent(table: DataFrame, bound: int = BROADCAST_WORDS) -> DataFrame:
+    """At most ``bound`` words of the highest counts, by a histogram of the counts."""
     level = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(16 * F.log2(F.col("n") / 1024))).cast("long")
     held, least = 0, None
     for row in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
         if held + row["count"] > bound:
             break
         held, least = held + row["count"], row["level"]
-    if least is None:
-        return pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.string())})
-    return table.where(level >= least).select("word", "ids").toArrow()
+    return table.where(level >= least if least is not None else F.lit(False)).select("word")
 
 
 def encode(docs: DataFrame, path: str | None = None, bound: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id and ids, decimal and joined by commas, with their number, per row of ``docs`` (doc_id, text)."""
     path = path or vocabulary_path()
-    top = frequent(word_table(docs, path), bound)
+    top = encoded_words(frequent(word_table(docs, path), bound), path).toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, top.schema) as writer:
         writer.write_table(top)
@@ -117,25 +126,24 @@ def encode(docs: DataFrame, path: str | None = None, bound: int = BROADCAST_WORD
         split, agreed, tokenizer = _splitter(), _agreed(path), _tokenizer(path)
         table = pa.ipc.open_stream(shared.value).read_all()
         known = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
-        rare: dict[str, str] = {}
-        sizes: dict[str, int] = {}
-
-        def ids(text: str) -> tuple[str, int]:
-            if not agreed(text):
-                whole = tokenizer.encode(text, add_special_tokens=False).ids
-                return ",".join(map(str, whole)), len(whole)
-            words = split(text)
-            if missing := [w for w in dict.fromkeys(words) if w not in known and w not in rare]:
-                if len(rare) > BROADCAST_WORDS:
-                    rare.clear()
-                    missing = [w for w in dict.fromkeys(words) if w not in known]
-                rare.update((w, ",".join(map(str, e.ids))) for w, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True))
-            found = ",".join([known[w] if w in known else rare[w] for w in words])
-            return found, found.count(",") + 1 if found else 0
-
+        del table
+        most = len(known) + TASK_WORDS
+        tail: list[str] = []
         for batch in batches:
-            out = [ids(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["doc_id", "ids", "n_tokens"])
+            for rows in chunks(batch):
+                texts = [t.as_py() or "" for t in rows.column("text")]
+                words = [split(t) if agreed(t) else None for t in texts]
+                if missing := list(set().union(*[w for w in words if w]) - known.keys()):
+                    if len(known) + len(missing) > most:  # the tail so far goes; the table stays
+                        for w in tail:
+                            del known[w]
+                        tail.clear()
+                        missing = list(set().union(*[w for w in words if w]) - known.keys())
+                    known.update(zip(missing, [",".join(map(str, e.ids)) for e in tokenizer.encode_batch(missing, add_special_tokens=False)], strict=True))
+                    tail += missing
+                ids = [",".join(map(known.__getitem__, w)) if w is not None else ",".join(map(str, tokenizer.encode(t, add_special_tokens=False).ids)) for w, t in zip(words, texts, strict=True)]
+                sizes = [s.count(",") + 1 if s else 0 for s in ids]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return only(docs, "doc_id", "text").mapInArrow(joined, f"doc_id {kind}, ids string, n_tokens long")
@@ -159,8 +167,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def glued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = {str(i): p for i, p in enumerate(shared.value)}.__getitem__
         for batch in batches:
-            texts = [b"".join(map(piece, s.split(","))).decode("utf-8", "replace") if s else "" for s in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for rows in chunks(batch, "ids"):
+                texts = [b"".join(map(piece, s.split(","))).decode("utf-8", "replace") if s else "" for s in rows.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
     return encoded.mapInArrow(glued, f"{schema}, decoded string")
