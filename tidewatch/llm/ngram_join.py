@@ -7,6 +7,7 @@ within their first |x| - ceil(t |x|) + k: the extended prefix, here with k = 2.
 frequent ones are indexed as combinations of two, so of two shared tokens either one is rare, and meets, or their
 combination does. Classes that meet in the index are candidates and are verified on their whole sets.
 
+Before whole sets are compared, bitmaps of the classes bound how many tokens differ, which drops most pairs that fail.
 Links are needed only as far as they join components. So in each round a class is verified against a few others of its
 index lists (the pivots, drawn anew by list and round) with which it isn't yet connected; after ``ROUNDS`` rounds all
 remaining pairs of a list whose ends lie in different components are verified, which leaves no link that could join any.
@@ -18,7 +19,6 @@ shingle have one, the whole; rows with equal ids count as one document of that i
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
+from .lm_scoring import Tally, expand, squeeze
 from .storage import only, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
 
 WORDS, PERCENT = 5, 80
-SKETCH_BITS, PARTS = 22, 64
-#: Tokens whose class is at least this are frequent: classes are powers of two of the sketch's count.
+SKETCH_BITS, PARTS = 24, 64
+#: Tokens that the sketch counts this often at least are frequent, or four times its mean where that is more.
 FREQUENT = 1024
 ROUNDS, PIVOTS = 3, 4
+LONGS = 16
 
 
 def shingles(c: Chunk, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -56,77 +58,85 @@ def shingles(c: Chunk, size: int = WORDS) -> Iterator[np.ndarray]:
             yield np.zeros(0, U64)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The parity of the tokens per bit: two sets differ in at least as many tokens as their bitmaps in bits."""
+    odd = np.bincount((s >> U64(40) & U64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def fingerprint(s: np.ndarray) -> bytes:
     return np.array([np.add.reduce(mix(s)), np.add.reduce(mix(s ^ U64(0xA5A5A5A5A5A5A5A5))) ^ U64(len(s))], U64).tobytes()
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """Frequency class (power of two) per cell of 2**22, over the shingles of all documents."""
+def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The power of two of the count per cell of 2**24, over the shingles of all documents, and the least frequent one."""
     cells = 1 << SKETCH_BITS
+    width = cells // PARTS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.uint32)
+        tally = Tally()
+
+        def out() -> pa.RecordBatch:
+            k, n = tally.taken()
+            cuts = np.searchsorted(k, np.arange(PARTS + 1, dtype=U64) * U64(width))
+            rows = [(i, squeeze(np.diff(k[a:b], prepend=U64(i * width)).astype(np.uint32)), squeeze(n[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "cells", "n"])
+
         for batch in batches:
             for rows in chunks(batch):
-                found = list(shingles(words(rows, BLANKS)))
-                counts += np.bincount((np.concatenate(found) & U64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-        parts = counts.reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
+                tally.add(np.concatenate(list(shingles(words(rows, BLANKS)))) & U64(cells - 1))
+                if tally.full():
+                    yield out()
+        yield out()
 
     def added(group: pa.Table) -> pa.Table:
-        total = np.zeros(cells // PARTS, np.uint64)
-        for x in group["counts"]:
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        total = np.zeros(width, np.int64)
+        for c, n in zip(group["cells"].to_pylist(), group["n"].to_pylist(), strict=True):
+            total[np.cumsum(expand(c, np.uint32))] += expand(n, np.uint32)
         level = np.log2(total + 1.0).astype(np.uint8)
-        return pa.table({"part": [group["part"][0].as_py()], "level": [level.tobytes()], "total": [int(total.sum())]}, schema=pa.schema([("part", pa.int64()), ("level", pa.binary()), ("total", pa.int64())]))
+        return pa.table({"part": [group["part"][0].as_py()], "level": [level.tobytes()], "total": [int(total.sum())]}, schema=pa.schema([("part", pa.int32()), ("level", pa.binary()), ("total", pa.int64())]))
 
-    rows = docs.select("text").mapInArrow(counted, "part long, counts binary").groupBy("part").applyInArrow(added, "part long, level binary, total long").collect()
+    rows = docs.select("text").mapInArrow(counted, "part int, cells binary, n binary").groupBy("part").applyInArrow(added, "part int, level binary, total long").collect()
     out = np.zeros(cells, np.uint8)
     for r in rows:
-        out[r["part"] * (cells // PARTS) : (r["part"] + 1) * (cells // PARTS)] = np.frombuffer(r["level"], np.uint8)
-    mean = sum(r["total"] for r in rows) / cells
-    least = int(np.log2(max(FREQUENT, 4 * mean)))
-    return np.where(out >= least, out, 0).astype(np.uint8)  # below: rare, one class
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
+    return out, int(np.log2(max(FREQUENT, 4 * sum(r["total"] for r in rows) / cells)))
 
 
-def signatures(s: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def signatures(s: np.ndarray, levels: np.ndarray, least: int, percent: int = PERCENT) -> np.ndarray:
     """What a set is indexed by: rare tokens of its extended prefix, and pairs of the frequent ones."""
     m = len(s)
     if m < 2:
         return np.zeros(0, U64)  # its like is of the same class
     level = levels[(s & U64(len(levels) - 1)).astype(np.int64)]
-    size = min(m, m - -(-percent * m // 100) + 2)
-    rare = int((level == 0).sum())
-    if rare >= size:
-        return s[level == 0][:size] if rare < m else s[:size]
-    order = np.lexsort((s, level))[:size]
-    p, often = s[order], level[order] > 0
+    order = np.argsort(level, kind="stable")[: min(m, m - -(-percent * m // 100) + 2)]
+    p, often = s[order], level[order] >= least
     f = np.sort(p[often])
     a, b = np.triu_indices(len(f), 1)
     return np.concatenate((p[~often], mix(f[a] * U64(0xD6E8FEB86659FD93) ^ f[b])))
 
 
-def classes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, fp, signatures) per row; a task gives the signatures of a class once."""
+def classes(docs: DataFrame, levels: np.ndarray, least: int) -> DataFrame:
+    """(doc_id, n, fp, bits, signatures) per row; a task gives bitmap and signatures of a class once."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for rows in chunks(batch):
-                n, fp, sig = [], [], []
+                n, fp, bits, sig = [], [], [], []
                 for s in shingles(words(rows, BLANKS)):
                     f = fingerprint(s)
                     n.append(len(s)), fp.append(f if len(s) else None)
                     if f in seen or not len(s):
-                        sig.append([])
+                        bits.append(None), sig.append([])
                     else:
                         if len(seen) < 1 << 20:
                             seen.add(f)
-                        sig.append(signatures(s, shared.value).view(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "signatures"])
+                        bits.append(bitmap(s)), sig.append(signatures(s, shared.value, least).view(np.int64))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "bits", "signatures"])
 
-    return written(docs.mapInArrow(made, "doc_id long, n long, fp binary, signatures array<long>"), "classes")
+    return written(docs.mapInArrow(made, "doc_id long, n long, fp binary, bits array<long>, signatures array<long>"), "classes")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,28 +168,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(kept, "a binary, b binary"), "verified")
 
 
+def possible(x: tuple[str, str], y: tuple[str, str], percent: int):
+    """Whether two classes, given as names of their size and bitmap, may be similar enough: the bitmaps bound the difference."""
+    differ = sum((F.bit_count(F.get(x[1], F.lit(i)).bitwiseXOR(F.get(y[1], F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    sizes = F.col(x[0]) + F.col(y[0])
+    return (100 * F.least(x[0], y[0]) >= percent * F.greatest(x[0], y[0])) & (differ * (100 + percent) <= sizes * (100 - percent))
+
+
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, fp and the class that stands for the component (smallest fingerprint) per row of ``docs``."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = classes(docs, sketch(docs))
-    posted = table.where("fp is not null").select("fp", "n", F.explode("signatures").alias("sig"))
+    table = classes(docs, *sketch(docs))
+    posted = table.where("fp is not null").select("fp", F.explode("signatures").alias("sig"))
     list_ = Window.partitionBy("sig")
     lists = posted.withColumn("low", F.min("fp").over(list_)).withColumn("high", F.max("fp").over(list_)).where("low <> high")
-    lists = written(lists.select("sig", "fp", "n").distinct(), "lists")
+    lists = written(lists.select("sig", "fp").distinct(), "lists")
     met = lists.select("fp").distinct()
-    wanted = table.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(met, "fp", "left_semi")
-    sets = sets_of(docs, wanted)
+    known = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    known = written(known.join(met, "fp", "left_semi"), "met")
+    sets = sets_of(docs, known.where("doc_id is not null").select("doc_id", "fp"))
     links = None
     labels = None
 
     def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:
             return rows.withColumn("label", F.col("fp"))
-        l = labels.select(F.col("node").alias("fp"), "label")  # noqa: E741
-        return rows.join(l, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        found = labels.select(F.col("node").alias("fp"), "label")
+        return rows.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
-    def fits(x, y):
-        return (F.lit(100) * F.least(x, y) >= percent * F.greatest(x, y))
+    def named(x: str) -> DataFrame:
+        return known.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
     for round_ in range(ROUNDS + 1):
         rows = labelled(lists)
@@ -187,15 +205,18 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rows = written(rows.join(mixed, "sig", "left_semi"), "mixed-lists")
         if rows.isEmpty():
             break
+        may = possible(("n_a", "bits_a"), ("n_b", "bits_b"), percent)
         if round_ < ROUNDS:
-            pivot = rows.groupBy("sig").agg(F.min_by(F.struct(F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")), F.xxhash64("sig", "fp", F.lit(round_))).alias("pivot"))
-            pairs = rows.join(pivot, "sig").select("fp", "n", "label", "pivot.*").where((F.col("label") != F.col("pl")) & fits(F.col("n"), F.col("pn"))).select("fp", "p").distinct()
-            few = Window.partitionBy("fp").orderBy(F.xxhash64("p", F.lit(round_)))
-            pairs = pairs.withColumn("k", F.row_number().over(few)).where(F.col("k") <= PIVOTS).select("fp", "p")
+            pivot = rows.groupBy("sig").agg(F.min_by(F.struct(F.col("fp").alias("b"), F.col("label").alias("other")), F.xxhash64("sig", "fp", F.lit(round_))).alias("pivot"))
+            pairs = rows.join(pivot, "sig").select(F.col("fp").alias("a"), "label", "pivot.*").where("label <> other").select("a", "b").distinct()
+            pairs = pairs.join(named("a"), "a").join(named("b"), "b").where(may).select("a", "b")
+            few = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(round_)))
+            pairs = pairs.withColumn("k", F.row_number().over(few)).where(F.col("k") <= PIVOTS)
         else:
-            other = rows.select("sig", F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-            pairs = rows.join(other, "sig").where((F.col("fp") < F.col("p")) & (F.col("label") != F.col("pl")) & fits(F.col("n"), F.col("pn"))).select("fp", "p")
-        pairs = pairs.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")).distinct()
+            rows = rows.join(known.select("fp", "n", "bits"), "fp")
+            left, right = (rows.select("sig", F.col("fp").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+            pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & may)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(pairs, sets, percent)
         if new.isEmpty():
             continue
