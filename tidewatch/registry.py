@@ -1,4 +1,6 @@
 """Names and SQL of the registered queries."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import catalogue_queries
+
+QUERIES = {**catalogue_queries.QUERIES}
+ORACLES = {**catalogue_queries.ORACLES}
