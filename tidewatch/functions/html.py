@@ -49,14 +49,13 @@ def _decoded(m: re.Match) -> str:
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
 
-@F.pandas_udf("string")
 def _decode(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else _REFERENCE.sub(_decoded, x).replace("&amp;", "&"))
 
 
 def decode_entities(s: Column) -> Column:
     """Character references: numeric, and the named ones above; ``&amp;`` last, so nothing is decoded twice."""
-    return F.when(s.contains("&"), _decode(s)).otherwise(s)
+    return F.when(s.contains("&"), F.pandas_udf(_decode, "string")(s)).otherwise(s)
 
 
 def visible_text(page: Column) -> Column:

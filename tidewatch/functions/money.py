@@ -45,5 +45,7 @@ def euros(v: Column) -> Column:
 
 def call_cost(input_: Column, output: Column, cache_write: Column, cache_read: Column, batched: Column | None = None) -> Column:
     """Dollars of a model call at fixed rates, to six places."""
-    total = (input_ * RATES["input"] + output * RATES["output"] + cache_write * RATES["cache_write"] + cache_read * RATES["cache_read"]) / 1_000_000
-    return F.round(total if batched is None else total * F.when(batched, BATCH_DISCOUNT).otherwise(1.0), 6)
+    millionths = input_ * RATES["input"] + output * RATES["output"] + cache_write * RATES["cache_write"] + cache_read * RATES["cache_read"]
+    if batched is not None:
+        millionths = millionths * F.when(batched, BATCH_DISCOUNT).otherwise(1.0)
+    return F.round(millionths) / 1_000_000

@@ -1,6 +1,6 @@
 """Names and SQL of the registered queries."""
 
-from .plans import catalogue_queries
+from .plans import catalogue_queries, scalar_queries
 
-QUERIES = {**catalogue_queries.QUERIES}
-ORACLES = {**catalogue_queries.ORACLES}
+QUERIES = {**catalogue_queries.QUERIES, **scalar_queries.QUERIES}
+ORACLES = {**catalogue_queries.ORACLES, **scalar_queries.ORACLES}
