@@ -8,10 +8,11 @@ frequent ones are indexed as combinations of two, so of two shared tokens either
 combination does. Classes that meet in the index are candidates and are verified on their whole sets.
 
 Before whole sets are compared, bitmaps of the classes bound how many tokens differ, which drops most pairs that fail.
-Links are needed only as far as they join components. So in each round a class is verified against a few others of its
-index lists (the pivots, drawn anew by list and round) with which it isn't yet connected; after ``ROUNDS`` rounds all
-remaining pairs of a list whose ends lie in different components are verified, which leaves no link that could join any.
-Lists are never collected; links and components stay in tables, written each round.
+Index lists of a few classes give all their pairs at once. For the others links are needed only as far as they join
+components: in each round a class is verified against a few others of its lists (the pivots, drawn anew by list and round)
+with which it isn't yet connected; after ``ROUNDS`` rounds all remaining pairs of a list whose ends lie in different
+components are verified, which leaves no link that could join any. Lists are never collected; links and components stay in
+tables, written each round.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; texts of fewer words than a
 shingle have one, the whole; rows with equal ids count as one document of that id; null ids stay alone, without id.
@@ -36,6 +37,8 @@ SKETCH_BITS, PARTS = 24, 64
 FREQUENT = 1024
 ROUNDS, PIVOTS = 3, 4
 LONGS = 16
+#: Index lists of up to this many classes give all their pairs.
+SMALL = 8
 
 
 def shingles(c: Chunk, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -113,7 +116,7 @@ def signatures(s: np.ndarray, levels: np.ndarray, least: int, percent: int = PER
     p, often = s[order], level[order] >= least
     f = np.sort(p[often])
     a, b = np.triu_indices(len(f), 1)
-    return np.concatenate((p[~often], mix(f[a] * U64(0xD6E8FEB86659FD93) ^ f[b])))
+    return np.concatenate((p[~often] & ~U64(1), mix(f[a] * U64(0xD6E8FEB86659FD93) ^ f[b]) | U64(1)))  # the lowest bit: a combination
 
 
 def classes(docs: DataFrame, levels: np.ndarray, least: int) -> DataFrame:
@@ -139,6 +142,15 @@ def classes(docs: DataFrame, levels: np.ndarray, least: int) -> DataFrame:
     return written(docs.mapInArrow(made, "doc_id long, n long, fp binary, bits array<long>, signatures array<long>"), "classes")
 
 
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be in ``wanted``: a bitmap of 2**24 bits, so broadcast at any size, spares most a shuffle."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
+    word, bit = F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")
+    bits = wanted.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = docs.select("*", word, bit).join(F.broadcast(bits), "word")
+    return rows.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*docs.columns)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, s): the whole sets of the classes in ``wanted`` (doc_id, fp), a document of each."""
 
@@ -148,8 +160,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [(f, s.tobytes()) for f, s in zip(rows.column("fp").to_pylist(), shingles(words(rows, BLANKS)), strict=True) if fingerprint(s) == f]
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], ["fp", "s"])
 
-    rows = docs.join(wanted, "doc_id").select("fp", "text")
-    return written(rows.mapInArrow(made, "fp binary, s binary").groupBy("fp").agg(F.first("s").alias("s")), "sets")
+    rows = marked(docs, wanted).join(wanted, "doc_id").select("fp", "text")
+    return written(rows.mapInArrow(made, "fp binary, s binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -181,31 +193,36 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     table = classes(docs, *sketch(docs))
     posted = table.where("fp is not null").select("fp", F.explode("signatures").alias("sig"))
     list_ = Window.partitionBy("sig")
-    lists = posted.withColumn("low", F.min("fp").over(list_)).withColumn("high", F.max("fp").over(list_)).where("low <> high")
-    lists = written(lists.select("sig", "fp").distinct(), "lists")
-    met = lists.select("fp").distinct()
+    before = F.collect_list("fp").over(list_.orderBy("fp").rowsBetween(1 - SMALL, -1))
+    lists = posted.select("fp", "sig", F.min("fp").over(list_).alias("low"), F.max("fp").over(list_).alias("high"), F.count("*").over(list_).alias("size"), before.alias("before")).where("low <> high")
+    lists = written(lists.select("sig", "fp", "size", F.when(F.col("size") <= SMALL, F.col("before")).alias("before")), "lists")
+    # Small lists give all their pairs; two shared tokens or a combination make a candidate.
+    pairs = lists.where(F.size("before") > 0).select("sig", F.explode("before").alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
+    pairs = pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("sig") % 2 == 0, 1).otherwise(2)).alias("shared")).where("shared >= 2").select("a", "b")
+    pairs = written(pairs, "pairs")
+    large = written(lists.where(F.col("size") > SMALL).select("sig", "fp").distinct(), "large-lists")
+    met = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
     known = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     known = written(known.join(met, "fp", "left_semi"), "met")
     sets = sets_of(docs, known.where("doc_id is not null").select("doc_id", "fp"))
-    links = None
-    labels = None
+    may = possible(("n_a", "bits_a"), ("n_b", "bits_b"), percent)
+
+    def named(x: str) -> DataFrame:
+        return known.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    links = verified(pairs.join(named("a"), "a").join(named("b"), "b").where(may).select("a", "b"), sets, percent)
+    labels = components(links)
 
     def labelled(rows: DataFrame) -> DataFrame:
-        if labels is None:
-            return rows.withColumn("label", F.col("fp"))
         found = labels.select(F.col("node").alias("fp"), "label")
         return rows.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
-    def named(x: str) -> DataFrame:
-        return known.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-
     for round_ in range(ROUNDS + 1):
-        rows = labelled(lists)
+        rows = labelled(large)
         mixed = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
         rows = written(rows.join(mixed, "sig", "left_semi"), "mixed-lists")
         if rows.isEmpty():
             break
-        may = possible(("n_a", "bits_a"), ("n_b", "bits_b"), percent)
         if round_ < ROUNDS:
             pivot = rows.groupBy("sig").agg(F.min_by(F.struct(F.col("fp").alias("b"), F.col("label").alias("other")), F.xxhash64("sig", "fp", F.lit(round_))).alias("pivot"))
             pairs = rows.join(pivot, "sig").select(F.col("fp").alias("a"), "label", "pivot.*").where("label <> other").select("a", "b").distinct()
@@ -218,10 +235,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & may)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(pairs, sets, percent)
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
     return labelled(table.select("doc_id", F.col("n").alias("n_shingles"), "fp"))
 
 
