@@ -206,3 +206,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     return decontaminate(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: DuckDB SQL for the rows of ``query``.
+ORACLE = f"""
+with d as (select doc_id, row_number() over () id, {_WORDS} w from documents),
+b as (select item_id, w, len(w) n from (select item_id, {_WORDS} w from benchmark where item_id is not null) where len(w) > 0),
+windows as (select distinct item_id, array_to_string(w[i:i + least(n, {WINDOW}) - 1], ' ') k, least(n, {WINDOW}) s from (select *, unnest(range(1, greatest(n - {WINDOW - 1}, 1) + 1)) i from b)),
+places as (select id, i, s, array_to_string(w[i:i + s - 1], ' ') k from (select id, w, s, unnest(range(1, len(w) - s + 2)) i from d join (select distinct s from windows) on len(w) >= s)),
+hits as (select id, i, s, item_id from places join windows using (k, s)),
+marked as (select id, count(distinct p) n_hit from (select id, unnest(range(i, i + s)) p from hits) group by 1),
+items as (select id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) l from hits group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(l, '')) items_sha256, coalesce(n_hit > 0 and {SHARE} * n_hit >= len(w), false) contaminated
+from d left join marked using (id) left join items using (id)"""

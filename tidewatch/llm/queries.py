@@ -15,4 +15,4 @@ QUERIES = {
     "op10_bpe_codec": bpe_codec.query,
 }
 
-ORACLES = {"op6_topk_search": topk_search.ORACLE, "op7_secret_scans": secret_scans.oracle()}
+ORACLES = {"op4_decontamination": decontamination.ORACLE, "op6_topk_search": topk_search.ORACLE, "op7_secret_scans": secret_scans.oracle()}
