@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import bpe_codec, decontamination, language_id, ngram_join, secret_scans
-from tidewatch.llm.storage import written
+from tidewatch.llm.storage import bounded_batches, written
 
 
 def identify(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return language_id.predict(docs, language_id.fit(docs)).where("not rejected").select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import only, written
+from .storage import bounded_batches, only, written
 from .text_blocks import chunks
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,20 +58,23 @@ def _tokenizer(path: str):
     return t
 
 
-def _agreed(path: str):
+def special_strings(path: str) -> list[str]:
+    return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+
+
+def _agreed(special: list[str]):
     import re
 
-    special = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
     plain = re.compile(AGREED)
     return lambda text: plain.fullmatch(text) is not None and not ("<|" in text and any(s in text for s in special))
 
 
 def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Each distinct word of all texts with its count; written to the shared folder."""
-    path = path or vocabulary_path()
+    special = special_strings(path or vocabulary_path())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, agreed, seen = _splitter(), _agreed(path), Counter()
+        split, agreed, seen = _splitter(), _agreed(special), Counter()
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
@@ -113,9 +116,9 @@ def frequent(table: DataFrame, bound: int = BROADCAST_WORDS) -> DataFrame:
     return table.where(level >= least if least is not None else F.lit(False)).select("word")
 
 
-def encode(docs: DataFrame, path: str | None = None, bound: int = BROADCAST_WORDS) -> DataFrame:
-    """doc_id and ids, decimal and joined by commas, with their number, per row of ``docs`` (doc_id, text)."""
-    path = path or vocabulary_path()
+def _encoder(docs: DataFrame, path: str, bound: int):
+    """Batches of (doc_id, text) to batches of (doc_id, ids, n_tokens)."""
+    special = special_strings(path)
     top = encoded_words(frequent(word_table(docs, path), bound), path).toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, top.schema) as writer:
@@ -123,7 +126,7 @@ def encode(docs: DataFrame, path: str | None = None, bound: int = BROADCAST_WORD
     shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, agreed, tokenizer = _splitter(), _agreed(path), _tokenizer(path)
+        split, agreed, tokenizer = _splitter(), _agreed(special), _tokenizer(path)
         table = pa.ipc.open_stream(shared.value).read_all()
         known = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
         del table
@@ -145,8 +148,13 @@ def encode(docs: DataFrame, path: str | None = None, bound: int = BROADCAST_WORD
                 sizes = [s.count(",") + 1 if s else 0 for s in ids]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_tokens"])
 
+    return joined
+
+
+def encode(docs: DataFrame, path: str | None = None, bound: int = BROADCAST_WORDS) -> DataFrame:
+    """doc_id and ids, decimal and joined by commas, with their number, per row of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
-    return only(docs, "doc_id", "text").mapInArrow(joined, f"doc_id {kind}, ids string, n_tokens long")
+    return only(docs, "doc_id", "text").mapInArrow(_encoder(docs, path or vocabulary_path(), bound), f"doc_id {kind}, ids string, n_tokens long")
 
 
 def pieces(path: str | None = None) -> list[bytes]:
@@ -160,9 +168,9 @@ def pieces(path: str | None = None) -> list[bytes]:
     return [added[i].content.encode() if i in added else bytes(alphabet[c] for c in strings[i]) for i in range(len(strings))]
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``encoded`` (with ids as ``encode`` gives them) with the decoded text; bytes that aren't UTF-8 are replaced."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))  # bounded by the vocabulary
+def _decoder(spark, path: str):
+    """Batches with ids to the same with the decoded text."""
+    shared = spark.sparkContext.broadcast(pieces(path))  # bounded by the vocabulary
 
     def glued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = {str(i): p for i, p in enumerate(shared.value)}.__getitem__
@@ -171,15 +179,27 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 texts = [b"".join(map(piece, s.split(","))).decode("utf-8", "replace") if s else "" for s in rows.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"])
 
+    return glued
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``encoded`` (with ids as ``encode`` gives them) with the decoded text; bytes that aren't UTF-8 are replaced."""
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
-    return encoded.mapInArrow(glued, f"{schema}, decoded string")
+    return encoded.mapInArrow(_decoder(encoded.sparkSession, path or vocabulary_path()), f"{schema}, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, bound: int = BROADCAST_WORDS) -> DataFrame:
+    """``decode(encode(docs))`` in one worker a task instead of two."""
+    path = path or vocabulary_path()
+    encoder, decoder, kind = _encoder(docs, path, bound), _decoder(docs.sparkSession, path), dict(docs.dtypes)["doc_id"]
+    return only(docs, "doc_id", "text").mapInArrow(lambda batches: decoder(encoder(batches)), f"doc_id {kind}, ids string, n_tokens long, decoded string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's digest columns per document."""
-    return decode(encode(docs)).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: encode and decode every document."""
-    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digest(bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import only, written
+from .storage import bounded_batches, only, written
 from .text_blocks import ALNUM, U64, chunks, pack, unpack, words
 
 WINDOW = 13
@@ -202,7 +202,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: the contract's digest per document."""
-    docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs, benchmark = bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
     )

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import only
+from .storage import bounded_batches, only
 from .text_blocks import U64, chunks, mix
 
 ORDER = 4
@@ -286,5 +286,5 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: the contract's prediction per document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), fit(docs)).drop("text")

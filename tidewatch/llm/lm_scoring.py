@@ -28,7 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import only, written
+from .storage import bounded_batches, only, written
 from .text_blocks import BLANKS, U64, chunks, mix, words
 
 VOCABULARY = 1 << 20
@@ -412,4 +412,4 @@ def score(docs: DataFrame, bound: int = VOCABULARY) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: the contract's scores per document."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score(bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
 from .lm_scoring import Tally, expand, squeeze
-from .storage import only, written
+from .storage import bounded_batches, only, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
 
 WORDS, PERCENT = 5, 80
@@ -258,4 +258,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: the component of every document."""
-    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digest(bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import only
+from .storage import bounded_batches, only
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -98,4 +98,4 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: the contract's counts per document."""
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    return count_tokens(bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
