@@ -1,6 +1,7 @@
 """Names and SQL of the registered queries."""
 
-from .plans import catalogue_queries, scalar_queries
+from .plans import catalogue_queries, record_queries, scalar_queries
 
-QUERIES = {**catalogue_queries.QUERIES, **scalar_queries.QUERIES}
-ORACLES = {**catalogue_queries.ORACLES, **scalar_queries.ORACLES}
+_MODULES = (catalogue_queries, scalar_queries, record_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
