@@ -26,7 +26,7 @@ def resolve(candidates: DataFrame, known: DataFrame, dataset: bool = False) -> D
     rows = candidates.join(known.select("tipo", "valor", "fund_id"), ["tipo", "valor"], "left")
     out = rows.groupBy("cand_id").agg(
         F.countDistinct("fund_id").alias("fundos"),
-        F.max_by("fund_id", F.when(F.col("fund_id").isNotNull(), F.struct("forca", (-F.col("fund_id")).alias("f")))).alias("fund_id"),
+        F.min_by("fund_id", F.when(F.col("fund_id").isNotNull(), F.struct((-F.col("forca")).alias("f"), "fund_id"))).alias("fund_id"),
         F.max(F.when(F.col("fund_id").isNotNull(), F.col("forca"))).alias("maior"),
         F.bool_or((F.col("tipo") == "url") & F.col("fund_id").isNull()).alias("url_nova"),
         F.sum(F.when(F.col("fund_id").isNull(), 1).otherwise(0)).alias("chaves_novas"),
