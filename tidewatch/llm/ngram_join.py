@@ -9,8 +9,8 @@ combination does. Classes that meet in the index are candidates and are verified
 
 Before whole sets are compared, bitmaps of the classes bound how many tokens differ, which drops most pairs that fail.
 Index lists of a few classes give all their pairs at once. For the others links are needed only as far as they join
-components: in each round a class is verified against a few others of its lists (the pivots, drawn anew by list and round)
-with which it isn't yet connected; after ``ROUNDS`` rounds all remaining pairs of a list whose ends lie in different
+components: in each round a class is verified against the pivots of a few of its lists (drawn anew by list and round) with
+which it isn't yet connected; after ``ROUNDS`` rounds all remaining pairs of a list whose ends lie in different
 components are verified, which leaves no link that could join any. Lists are never collected; links and components stay in
 tables, written each round.
 
@@ -35,7 +35,7 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS, PARTS = 24, 64
 #: Tokens that the sketch counts this often at least are frequent, or four times its mean where that is more.
 FREQUENT = 1024
-ROUNDS, PIVOTS = 3, 4
+ROUNDS, PIVOTS = 2, 12
 LONGS = 16
 #: Index lists of up to this many classes give all their pairs.
 SMALL = 8
@@ -225,10 +225,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         if round_ < ROUNDS:
             pivot = rows.groupBy("sig").agg(F.min_by(F.struct(F.col("fp").alias("b"), F.col("label").alias("other")), F.xxhash64("sig", "fp", F.lit(round_))).alias("pivot"))
-            pairs = rows.join(pivot, "sig").select(F.col("fp").alias("a"), "label", "pivot.*").where("label <> other").select("a", "b").distinct()
-            pairs = pairs.join(named("a"), "a").join(named("b"), "b").where(may).select("a", "b")
-            few = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(round_)))
-            pairs = pairs.withColumn("k", F.row_number().over(few)).where(F.col("k") <= PIVOTS)
+            few = rows.withColumn("k", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("sig", F.lit(round_))))).where(F.col("k") <= PIVOTS)
+            pairs = few.join(pivot, "sig").select(F.col("fp").alias("a"), "label", "pivot.*").where("label <> other").select("a", "b").distinct()
+            pairs = pairs.join(named("a"), "a").join(named("b"), "b").where(may)
         else:
             rows = rows.join(known.select("fp", "n", "bits"), "fp")
             left, right = (rows.select("sig", F.col("fp").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
