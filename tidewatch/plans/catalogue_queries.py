@@ -252,8 +252,11 @@ def unsubscribe(spark, d):
     return matching.unsubscribe(s, users, tokens)
 
 
-@query(r"""with s as (select page_id, url, captura, sha256(n) h from (select page_id, url, captura, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script>', '<script>[removido]</script>', 'gis'), '<style\b[^>]*>.*?</style>', '<style>[removido]</style>', 'gis'), '\s+', ' ', 'g')) n from """ + "(" + v.SNAPSHOTS[len("snapshots as "):] .strip() + r""")))
-  select b.page_id, b.url from s a join s b on a.url = b.url and a.page_id = b.page_id and a.captura = 1 and b.captura = 2 where a.h <> b.h""")
+_HASHED = r"""s as (select page_id, url, captura, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script>', '<script>[removido]</script>', 'gis'),
+  '<style\b[^>]*>.*?</style>', '<style>[removido]</style>', 'gis'), '\s+', ' ', 'g'))) h from snapshots)"""
+
+
+@query(v.sql(v.SNAPSHOTS, _HASHED, body="select b.page_id, b.url from s a join s b on a.url = b.url and a.page_id = b.page_id and a.captura = 1 and b.captura = 2 where a.h <> b.h"))
 def latest_snapshot_gate(spark, d):
     from ..functions import html
 
