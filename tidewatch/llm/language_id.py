@@ -122,7 +122,6 @@ def _counts(sample: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
             for rows in chunks(batch):
                 texts = rows.column("text").to_pylist()
                 here = rows.column("lang").to_pylist()
@@ -131,7 +130,6 @@ def _counts(sample: DataFrame) -> DataFrame:
                     grams, _ = _grams(codes, starts, ends)
                     g, n = np.unique(grams, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-            del langs
 
     return sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
