@@ -124,9 +124,9 @@ def eligibility_banner(spark, d):
     return v.funds(spark, d).select("fund_id", catalogue.banner(F.col("admite"), F.col("beneficiarios")).alias("faixa"))
 
 
-@query(v.sql(v.FUNDS, body="select fund_id, slug, titulo from funds where slug = 'apoio-42'"))
+@query(v.sql(v.FUNDS, body="select fund_id, slug, titulo from funds where slug = 'aviso-42'"))
 def slug_lookup(spark, d):
-    return catalogue.by_slug(v.funds(spark, d), "apoio-42").select("fund_id", "slug", "titulo")
+    return catalogue.by_slug(v.funds(spark, d), "aviso-42").select("fund_id", "slug", "titulo")
 
 
 @query(v.sql(v.FUNDS, v.FUND_EVENTS, body="select event_id, fund_id, tipo from fund_events where exists (select 1 from funds f where f.fund_id = fund_events.fund_id and f.publicado)"))
@@ -199,7 +199,7 @@ def outbox_by_user(spark, d):
     return box.select("user_id", "urgente", F.size("eventos").cast("long").alias("n"), F.date_format("agendado_para", "yyyy-MM-dd HH:mm").alias("agendado_para"))
 
 
-@query(v.sql(*_MATCH, body="""select user_id, count(*) n, case when count(*) = 1 then '1 apoio com novidades' else count(*) || ' apoios com novidades' end assunto,
+@query(v.sql(*_MATCH, body="""select user_id, count(*) n, case when count(*) = 1 then '1 aviso com novidades' else count(*) || ' avisos com novidades' end assunto,
   string_agg('<li>' || replace(replace(replace(replace(titulo, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || ' (' || tipo || ')</li>', '' order by fund_id) corpo
   from (select c.*, titulo, row_number() over (partition by user_id, fund_id order by event_id desc) r from cand c join funds using (fund_id)) where r = 1 group by 1"""))
 def email_digest(spark, d):

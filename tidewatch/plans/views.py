@@ -33,7 +33,7 @@ def funds(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(
         k.alias("fund_id"),
-        F.concat(F.lit("apoio-"), k.cast("string")).alias("slug"),
+        F.concat(F.lit("aviso-"), k.cast("string")).alias("slug"),
         F.concat_ws(" ", "o_orderpriority", k.cast("string")).alias("titulo"),
         F.when(F.col("o_orderstatus") == "O", "aberto").when(F.col("o_orderstatus") == "P", "previsto").otherwise("encerrado").alias("estado"),
         F.col("o_orderdate").alias("abre_em"),
@@ -51,7 +51,7 @@ def funds(spark, sf_dir: str) -> DataFrame:
     )
 
 
-FUNDS = """funds as (select o_orderkey fund_id, 'apoio-' || o_orderkey slug, o_orderpriority || ' ' || o_orderkey titulo,
+FUNDS = """funds as (select o_orderkey fund_id, 'aviso-' || o_orderkey slug, o_orderpriority || ' ' || o_orderkey titulo,
   case o_orderstatus when 'O' then 'aberto' when 'P' then 'previsto' else 'encerrado' end estado,
   o_orderdate abre_em, o_orderdate + to_days((o_orderkey % 120)::int) fecha_em,
   ['minuto', 'dia', 'mes', 'desconhecida'][(o_orderkey % 4)::int + 1] precisao,
