@@ -266,6 +266,18 @@ def test_components_of_a_chain(spark):
     assert set(got[i] for i in range(41)) == {0} and got[101] == 100
 
 
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_components_grow_with_links(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    labels = components.components(links([(5, 6), (6, 7), (2, 3), (30, 31)]))
+    labels = components.joined_by(labels, links([(3, 7), (7, 3), (40, 41), (6, 50)]))
+    labels = components.joined_by(labels, links([(50, 1)]))
+    got = {r.node: r.label for r in labels.collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 7: 1, 50: 1, 30: 30, 31: 30, 40: 40, 41: 40}
+    assert components.joined_by(components.components(links([])), links([])).count() == 0
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_top_k(spark, block):
     r = np.random.default_rng(5)

@@ -1,4 +1,7 @@
-"""Connected components by minimum labels and pointer jumping, in joins alone."""
+"""Connected components by minimum labels and pointer jumping, in joins alone.
+
+Tables of at most ``FEW`` rows, counted first, are joined by broadcast and kept in few partitions; larger ones are shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +9,49 @@ from pyspark.sql import DataFrame, functions as F
 
 from .storage import written
 
+#: Rows of two ids that may be broadcast: some 30 MB at most.
+FEW = 1 << 18
+
+
+def broadcastable(table: DataFrame) -> DataFrame:
+    """``table`` (written, so counting it reads no column), to be broadcast where it has ``FEW`` rows or less."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``links`` (a, b): label is the smallest node reachable. Each round is written."""
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    if both.isEmpty():
-        return labels
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        better = labels.join(near, "node").select("node", F.least("label", "near").alias("step"), "label")
-        up = labels.select(F.col("node").alias("step"), F.col("label").alias("jump"))
-        new = better.join(up, "step", "left").select("node", F.least("step", F.coalesce("jump", "step")).alias("label"), F.col("label").alias("old"))
-        new = written(new, "labels")
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    rows = both.count()
+    tasks = 2 * links.sparkSession.sparkContext.defaultParallelism
+
+    def kept(df: DataFrame) -> DataFrame:
+        return written(df.coalesce(tasks) if rows <= FEW else df, "labels")
+
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while rows:
+        known = F.broadcast(labels) if rows <= FEW else labels  # there are no more nodes than rows
+        near = both.join(known, both["b"] == known["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        better = near.join(known, "node").select("node", F.least("label", "near").alias("step"), "label")
+        up = known.select(F.col("node").alias("step"), F.col("label").alias("jump"))
+        new = better.join(F.broadcast(up) if rows <= FEW else up, "step", "left").select("node", F.least("step", F.coalesce("jump", "step")).alias("label"), F.col("label").alias("old"))
+        new = kept(new)
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
+    return labels
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label), nodes without a row standing for themselves, once more links (a, b) are known.
+
+    The links are contracted to the components that they join, whose labels alone are propagated.
+    """
+    known = broadcastable(labels)
+    edges = links
+    for c in "ab":
+        edges = edges.join(known.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    edges = edges.where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    moved = components(edges)
+    to = broadcastable(moved.select(F.col("node").alias("label"), F.col("label").alias("to")))
+    old = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(old.unionByName(moved.join(known.select("node"), "node", "left_anti")), "labels")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .components import components
+from .components import broadcastable, components, joined_by
 from .lm_scoring import Tally, expand, squeeze
 from .storage import bounded_batches, only, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
@@ -210,12 +210,11 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def named(x: str) -> DataFrame:
         return known.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
-    links = verified(pairs.join(named("a"), "a").join(named("b"), "b").where(may).select("a", "b"), sets, percent)
-    labels = components(links)
+    labels = components(verified(pairs.join(named("a"), "a").join(named("b"), "b").where(may).select("a", "b"), sets, percent))
 
     def labelled(rows: DataFrame) -> DataFrame:
         found = labels.select(F.col("node").alias("fp"), "label")
-        return rows.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        return rows.join(broadcastable(found), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
     for round_ in range(ROUNDS + 1):
         rows = labelled(large)
@@ -235,8 +234,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(pairs, sets, percent)
         if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
+            labels = joined_by(labels, new)
     return labelled(table.select("doc_id", F.col("n").alias("n_shingles"), "fp"))
 
 
