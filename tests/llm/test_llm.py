@@ -252,6 +252,11 @@ def test_jaccard_join_of_nothing_and_null_ids(spark):
     assert ngram_join.digest(df.limit(0)).count() == 0
 
 
+def test_lists_of_the_same_classes_are_one(spark):
+    lists = spark.createDataFrame([(s, bytes([f])) for s, f in [(1, 7), (1, 8), (2, 8), (2, 7), (3, 7), (4, 7), (4, 8), (4, 9)]], "sig long, fp binary")
+    assert sorted((r.sig, r.fp[0]) for r in ngram_join.distinct_lists(lists).collect()) == [(1, 7), (1, 8), (3, 7), (4, 7), (4, 8), (4, 9)]
+
+
 def test_bitmaps_bound_differences():
     r = np.random.default_rng(1)
     for _ in range(50):

@@ -187,6 +187,13 @@ def possible(x: tuple[str, str], y: tuple[str, str], percent: int):
     return (100 * F.least(x[0], y[0]) >= percent * F.greatest(x[0], y[0])) & (differ * (100 + percent) <= sizes * (100 - percent))
 
 
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """Of the lists (sig, fp) that hold the same classes, as those of a passage that many texts share do, one."""
+    members = [F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"sum{i}") for i in range(2)]]
+    one = lists.groupBy("sig").agg(*members).groupBy("size", "sum0", "sum1").agg(F.min("sig").alias("sig"))
+    return lists.join(one.select("sig"), "sig", "left_semi")
+
+
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, fp and the class that stands for the component (smallest fingerprint) per row of ``docs``."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -200,7 +207,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = lists.where(F.size("before") > 0).select("sig", F.explode("before").alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
     pairs = pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("sig") % 2 == 0, 1).otherwise(2)).alias("shared")).where("shared >= 2").select("a", "b")
     pairs = written(pairs, "pairs")
-    large = written(lists.where(F.col("size") > SMALL).select("sig", "fp").distinct(), "large-lists")
+    large = written(distinct_lists(lists.where(F.col("size") > SMALL).select("sig", "fp").distinct()), "large-lists")
     met = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
     known = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     known = written(known.join(met, "fp", "left_semi"), "met")
