@@ -246,6 +246,15 @@ def test_jaccard_join(spark, monkeypatch, frequent, rounds):
     assert got == joined(texts)
 
 
+def test_a_rare_and_a_frequent_token_make_a_candidate(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 4)
+    passage = "p1 p2 p3 p4 p5 p6 p7"
+    texts = ["w0 " + passage, "w0 " + passage + " w9"] + [" ".join(f"z{i}x{j}" for j in range(40)) + " " + passage for i in range(6)]
+    want = joined(texts)
+    assert want[1] == (5, 0)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.digest(frame(spark, texts)).collect()} == want
+
+
 def test_jaccard_join_of_nothing_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.digest(df).collect()) == [("3", "3"), ("4", "3"), ("None", "None"), ("None", "None")]

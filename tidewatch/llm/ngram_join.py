@@ -106,13 +106,18 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(np.log2(max(FREQUENT, 4 * sum(r["total"] for r in rows) / cells)))
 
 
+def prefix(m: int, percent: int = PERCENT) -> int:
+    """How many tokens the extended prefix of a set of ``m`` holds."""
+    return min(m, m - -(-percent * m // 100) + 2)
+
+
 def signatures(s: np.ndarray, levels: np.ndarray, least: int, percent: int = PERCENT) -> np.ndarray:
     """What a set is indexed by: rare tokens of its extended prefix, and pairs of the frequent ones."""
     m = len(s)
     if m < 2:
         return np.zeros(0, U64)  # its like is of the same class
     level = levels[(s & U64(len(levels) - 1)).astype(np.int64)]
-    order = np.argsort(level, kind="stable")[: min(m, m - -(-percent * m // 100) + 2)]
+    order = np.argsort(level, kind="stable")[: prefix(m, percent)]
     p, often = s[order], level[order] >= least
     f = np.sort(p[often])
     a, b = np.triu_indices(len(f), 1)
@@ -120,26 +125,30 @@ def signatures(s: np.ndarray, levels: np.ndarray, least: int, percent: int = PER
 
 
 def classes(docs: DataFrame, levels: np.ndarray, least: int) -> DataFrame:
-    """(doc_id, n, fp, bits, signatures) per row; a task gives bitmap and signatures of a class once."""
+    """(doc_id, n, fp, bits, signatures, often) per row; a task gives bitmap and signatures of a class once.
+
+    ``often``: whether fewer tokens than the prefix holds are indexed alone, so that it holds a frequent one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for rows in chunks(batch):
-                n, fp, bits, sig = [], [], [], []
+                n, fp, bits, sig, often = [], [], [], [], []
                 for s in shingles(words(rows, BLANKS)):
                     f = fingerprint(s)
                     n.append(len(s)), fp.append(f if len(s) else None)
                     if f in seen or not len(s):
-                        bits.append(None), sig.append([])
+                        bits.append(None), sig.append([]), often.append(None)
                     else:
                         if len(seen) < 1 << 20:
                             seen.add(f)
                         bits.append(bitmap(s)), sig.append(signatures(s, shared.value, least).view(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "bits", "signatures"])
+                        often.append(bool((sig[-1] & 1 == 0).sum() < prefix(len(s))))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64())), pa.array(often, pa.bool_())], ["doc_id", "n", "fp", "bits", "signatures", "often"])
 
-    return written(docs.mapInArrow(made, "doc_id long, n long, fp binary, bits array<long>, signatures array<long>"), "classes")
+    return written(docs.mapInArrow(made, "doc_id long, n long, fp binary, bits array<long>, signatures array<long>, often boolean"), "classes")
 
 
 def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,14 +207,16 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, fp and the class that stands for the component (smallest fingerprint) per row of ``docs``."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = classes(docs, *sketch(docs))
-    posted = table.where("fp is not null").select("fp", F.explode("signatures").alias("sig"))
+    posted = table.where("fp is not null").select("fp", "often", F.explode("signatures").alias("sig"))
     list_ = Window.partitionBy("sig")
-    before = F.collect_list("fp").over(list_.orderBy("fp").rowsBetween(1 - SMALL, -1))
-    lists = posted.select("fp", "sig", F.min("fp").over(list_).alias("low"), F.max("fp").over(list_).alias("high"), F.count("*").over(list_).alias("size"), before.alias("before")).where("low <> high")
-    lists = written(lists.select("sig", "fp", "size", F.when(F.col("size") <= SMALL, F.col("before")).alias("before")), "lists")
-    # Small lists give all their pairs; two shared tokens or a combination make a candidate.
-    pairs = lists.where(F.size("before") > 0).select("sig", F.explode("before").alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
-    pairs = pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("sig") % 2 == 0, 1).otherwise(2)).alias("shared")).where("shared >= 2").select("a", "b")
+    before = F.collect_list(F.struct("fp", "often")).over(list_.orderBy("fp").rowsBetween(1 - SMALL, -1))
+    lists = posted.select("fp", "often", "sig", F.min("fp").over(list_).alias("low"), F.max("fp").over(list_).alias("high"), F.count("*").over(list_).alias("size"), before.alias("before")).where("low <> high")
+    lists = written(lists.select("sig", "fp", "often", "size", F.when(F.col("size") <= SMALL, F.col("before")).alias("before")), "lists")
+    # Small lists give all their pairs. Two prefixes share two tokens: rare ones, or frequent ones as a combination, or one
+    # rare and one frequent, of which only the rare one is indexed; so a single one is enough where both hold frequent ones.
+    pairs = lists.where(F.size("before") > 0).select("sig", F.explode("before").alias("x"), F.col("fp").alias("b"), "often")
+    pairs = pairs.select("sig", F.col("x.fp").alias("a"), "b", (F.col("x.often") & F.col("often")).alias("often")).where("a <> b").distinct()
+    pairs = pairs.groupBy("a", "b").agg(F.sum(F.when((F.col("sig") % 2 == 0) & ~F.col("often"), 1).otherwise(2)).alias("shared")).where("shared >= 2").select("a", "b")
     pairs = written(pairs, "pairs")
     large = written(distinct_lists(lists.where(F.col("size") > SMALL).select("sig", "fp").distinct()), "large-lists")
     met = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
