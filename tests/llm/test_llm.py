@@ -139,6 +139,13 @@ def test_model_scores_against_direct_mixture(spark):
         assert want is None or abs(want - r.score) < 1e-6
 
 
+def test_the_vocabulary_bound_changes_no_score(spark):
+    df = frame(spark, prose(120) + [None, "", "unseen words only here"])
+    whole = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
+    for bound in (15, 1, 0):
+        assert all(abs(r.score - whole[r.doc_id]) < 1e-6 for r in lm_scoring.score(df, bound).collect())
+
+
 def test_deleted_interpolation_prefers_what_holds_out():
     bucket = np.zeros(2, int)
     w = lm_scoring.expectation_maximisation(bucket, np.array([90.0, 10.0]), np.array([90 * 0.5, 0.0]), np.array([90 * 0.01, 10 * 0.01]), 1e-4)

@@ -10,8 +10,9 @@ training token in turn is deleted from the counts that predict it. All training
 3. bigrams again, with the documents they stand in, dealt alike; each range adds up its part of the score of each document
    of a block, and parts are added by block. Very frequent bigrams (a bounded number) are scored where they stand.
 
-The most frequent ``VOCABULARY`` words (a fixed bound, broadcast) are predicted as themselves; the others as one class,
-and within it by their own counts, which come from a join on the word.
+The most frequent ``VOCABULARY`` words are broadcast with their counts, and a bigram of two of them is a pair of places in
+that table. Bigrams with a rarer word are keyed by the hashes of both words; their counts and those of the rarer words come
+from joins. The bound decides the way a bigram is counted, not its estimate: every word is predicted as itself.
 
 Defined results: null text is empty; an empty text is scored on its end alone; without training documents all scores come
 from the uniform share; rows with equal ids are scored each by itself. Words are compared by 64-bit fingerprints.
@@ -39,7 +40,7 @@ RANGE_TOKENS = 1_500_000
 #: Bigrams with at least this share of all tokens are scored in place: 20,000 at most.
 HEAVY = 1 / 20_000
 CELLS = 4  # cells per power of two
-END = int(mix(np.array([0xE0D], U64))[0])
+END, BEGIN = (int(mix(np.array([x], U64))[0]) for x in (0xE0D, 0xBE6))
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -99,11 +100,9 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 @dataclass
 class Vocabulary:
     hashes: np.ndarray  # sorted
-    counts: np.ndarray  # of these, of the class of others, of beginnings
+    counts: np.ndarray  # of these, none for the others (their counts are joined), of beginnings
     tokens: int
     distinct: int
-    rare_tokens: int
-    rare_distinct: int
 
     @property
     def size(self) -> int:
@@ -164,8 +163,7 @@ def vocabulary(counts: DataFrame, documents: int, bound: int = VOCABULARY) -> Vo
     top = counts.where(level >= least).toArrow() if least is not None else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     h, n = top["word"].to_numpy().view(U64), top["n"].to_numpy()
     order = np.argsort(h)
-    rare = tokens - int(n.sum())
-    return Vocabulary(h[order], np.concatenate((n[order], [rare, documents])).astype(np.float64), tokens, distinct, rare, distinct - len(h))
+    return Vocabulary(h[order], np.concatenate((n[order], [0, documents])).astype(np.float64), tokens, distinct)
 
 
 def _bigrams(c, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,6 +177,53 @@ def _bigrams(c, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, word, np.repeat(np.arange(rows), c.counts + 1)
 
 
+def _loose(c, v: Vocabulary, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which bigrams of a chunk hold a word beyond the vocabulary; of these the hashes of context and word, and their counts or -1."""
+    loose = (context == v.size) | (word == v.size)
+    hashes = np.full(len(word), END, U64)
+    hashes[np.arange(len(c.hashes)) + c.doc] = c.hashes
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[context == v.size + 1] = BEGIN
+    counts = [np.where(x == v.size, -1, v.counts[x]).astype(np.int64) for x in (context[loose], word[loose])]
+    return loose, [before[loose].view(np.int64), hashes[loose].view(np.int64), *counts]
+
+
+def _counted(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` with ``seen`` and ``of_word``, where -1, from the counts of context and word; 0 for words never seen.
+
+    Frequent words have their counts already and are joined by a key of their own, so that none is a hot key.
+    """
+    for side, name in (("context", "seen"), ("word", "of_word")):
+        rows = rows.withColumn("_key", F.when(F.col(name) < 0, F.col(side)).otherwise(F.xxhash64("context", "word")))
+        rows = rows.join(counts.select(F.col("word").alias("_key"), F.col("n").alias("_n")), "_key", "left")
+        rows = rows.withColumn(name, F.when(F.col(name) < 0, F.coalesce("_n", F.lit(0))).otherwise(F.col(name))).drop("_key", "_n")
+    return rows
+
+
+def loose_bigrams(training: DataFrame, v: Vocabulary, counts: DataFrame) -> DataFrame:
+    """(context, word, n, seen, of_word): the counts of the bigrams with a word beyond the vocabulary, and of their words."""
+    shared = training.sparkSession.sparkContext.broadcast(v)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            for rows in chunks(batch):
+                c = words(rows, BLANKS)
+                context, word, _ = _bigrams(c, v)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _loose(c, v, context, word)[1]], ["context", "word", "seen", "of_word"])
+
+    # Dealt once, by the rarer word, for both the sums and the join; only bigrams of two rarer words are joined again.
+    rows = training.select("text").mapInArrow(found, "context long, word long, seen long, of_word long")
+    rows = rows.withColumn("_key", F.when(F.col("of_word") < 0, F.col("word")).otherwise(F.col("context"))).repartition("_key")
+    rows = rows.groupBy("_key", "context", "word").agg(F.count("*").alias("n"), F.max("seen").alias("seen"), F.max("of_word").alias("of_word"))
+    rows = rows.join(counts.select(F.col("word").alias("_key"), F.col("n").alias("_n")), "_key")
+    rows = rows.withColumn("seen", F.when(F.col("of_word") < 0, F.col("seen")).otherwise(F.col("_n"))).withColumn("of_word", F.when(F.col("of_word") < 0, F.col("_n")).otherwise(F.col("of_word")))
+    rows = written(rows.select("context", "word", "n", "seen", "of_word"), "loose-bigrams")
+    both = written(_counted(rows.where("seen < 0"), counts).select(*rows.columns), "loose-bigrams")
+    return rows.where("seen >= 0").unionByName(both)
+
+
 def _ranges(v: Vocabulary) -> int:
     return 1 << min(v.bits, max(6, int(np.ceil(np.log2(max(1, v.tokens) / RANGE_TOKENS)))))
 
@@ -192,8 +237,23 @@ def _steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=U64(0))
 
 
-def mixture(training: DataFrame, v: Vocabulary) -> tuple[np.ndarray, dict[int, int]]:
-    """Weights (bigram, word, uniform) per bucket of context frequency, and the counts of very frequent bigrams."""
+def _cells(v: Vocabulary, n: np.ndarray, seen: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bigrams gathered into cells of like estimates with one count deleted: cell, and sums of n and of both estimates."""
+    two = np.where(seen > 1, (n - 1) / np.maximum(seen - 1, 1), 0.0)
+    one = np.maximum((of_word - 1) / max(1, v.tokens - 1), 1e-12)
+    bucket = np.log2(np.maximum(seen, 1)).astype(np.int64)
+    flat = v.distinct + 1.0
+    i = np.where(two > 0, 1 + np.floor(CELLS * (np.log2(np.maximum(two * flat, 2.0**-40)) + 40)), 0).astype(np.int64)
+    j = np.floor(CELLS * (np.log2(one * flat) + 40)).astype(np.int64)
+    cell, at = np.unique((bucket << 40) | (i << 20) | j, return_inverse=True)
+    return cell, *[np.bincount(at, x * n, len(cell)) for x in (1.0, two, one)]
+
+
+def mixture(training: DataFrame, v: Vocabulary, loose: DataFrame | None = None) -> tuple[np.ndarray, dict[int, int]]:
+    """Weights (bigram, word, uniform) per bucket of context frequency, and the counts of very frequent bigrams.
+
+    ``loose``: the bigrams beyond the vocabulary, where there are any.
+    """
     shared = training.sparkSession.sparkContext.broadcast(v)
     ranges = _ranges(v)
 
@@ -209,7 +269,8 @@ def mixture(training: DataFrame, v: Vocabulary) -> tuple[np.ndarray, dict[int, i
         for batch in batches:
             for rows in chunks(batch):
                 context, word, _ = _bigrams(words(rows, BLANKS), v)
-                tally.add(v.keys(context, word))
+                held = (context != v.size) & (word != v.size)
+                tally.add(v.keys(context[held], word[held]))
                 if tally.full():
                     yield out()
         yield out()
@@ -218,24 +279,23 @@ def mixture(training: DataFrame, v: Vocabulary) -> tuple[np.ndarray, dict[int, i
         v = shared.value
         k, n = merge([np.cumsum(expand(x, U64), dtype=U64) for x in group["keys"].to_pylist()], [expand(x, np.uint32).astype(np.int64) for x in group["n"].to_pylist()])
         context, word = v.pairs(k)
-        seen, of_word = v.counts[context], v.counts[word]
-        two = np.where(seen > 1, (n - 1) / np.maximum(seen - 1, 1), 0.0)
-        one = np.maximum((of_word - 1) / max(1, v.tokens - 1), 1e-12)
-        bucket = np.log2(np.maximum(seen, 1)).astype(np.int64)
-        flat = v.size + 1.0
-        i = np.where(two > 0, 1 + np.floor(CELLS * (np.log2(np.maximum(two * flat, 2.0**-40)) + 40)), 0).astype(np.int64)
-        j = np.floor(CELLS * (np.log2(one * flat) + 40)).astype(np.int64)
-        cell, at = np.unique((bucket << 40) | (i << 20) | j, return_inverse=True)
-        add = lambda x: np.bincount(at, x * n, len(cell))
+        cell, *sums = _cells(v, n, v.counts[context], v.counts[word])
         heavy = n >= max(2, HEAVY * v.tokens)
         none = np.zeros(int(heavy.sum()))
-        return pa.table({"heavy": np.concatenate((np.zeros(len(cell), bool), np.ones(len(none), bool))), "key": np.concatenate((cell, k[heavy].view(np.int64))), "n": np.concatenate((add(1.0), n[heavy].astype(float))), "two": np.concatenate((add(two), none)), "one": np.concatenate((add(one), none))})
+        return pa.table({"heavy": np.concatenate((np.zeros(len(cell), bool), np.ones(len(none), bool))), "key": np.concatenate((cell, k[heavy].view(np.int64))), "n": np.concatenate((sums[0], n[heavy].astype(float))), "two": np.concatenate((sums[1], none)), "one": np.concatenate((sums[2], none))})
+
+    def loose_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _cells(shared.value, *[batch[c].to_numpy() for c in ("n", "seen", "of_word")])], ["key", "n", "two", "one"])
 
     found = training.select("text").mapInArrow(runs, "range int, keys binary, n binary").groupBy("range").applyInArrow(cells, "heavy boolean, key long, n double, two double, one double")
     found = written(found, "bigram-statistics")
-    stats = found.where("not heavy").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "two", "one")]).toPandas()
+    stats = found.where("not heavy").select("key", "n", "two", "one")
+    if loose is not None:
+        stats = stats.unionByName(loose.select("n", "seen", "of_word").mapInArrow(loose_cells, "key long, n double, two double, one double"))
+    stats = stats.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "two", "one")]).toPandas()
     heavy = {int(r["key"]): int(r["n"]) for r in found.where("heavy").select("key", "n").collect()}
-    return expectation_maximisation(stats["key"].to_numpy().astype(np.int64) >> 40, stats["n"].to_numpy(), stats["two"].to_numpy(), stats["one"].to_numpy(), 1.0 / (v.size + 1)), heavy
+    return expectation_maximisation(stats["key"].to_numpy().astype(np.int64) >> 40, stats["n"].to_numpy(), stats["two"].to_numpy(), stats["one"].to_numpy(), 1.0 / (v.distinct + 1)), heavy
 
 
 def expectation_maximisation(bucket: np.ndarray, n: np.ndarray, two: np.ndarray, one: np.ndarray, uniform: float, rounds: int = 100) -> np.ndarray:
@@ -263,19 +323,23 @@ def expectation_maximisation(bucket: np.ndarray, n: np.ndarray, two: np.ndarray,
     return out
 
 
-def probabilities(v: Vocabulary, weights: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    seen = v.counts[context]
+def mixed(v: Vocabulary, weights: np.ndarray, n: np.ndarray, seen: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+    """Probabilities of bigrams from their counts and those of their context and word."""
     w = weights[np.log2(np.maximum(seen, 1)).astype(np.int64)]
-    known = seen > 0  # a class that never came has no estimate of its own
-    top = w[:, 0] * np.where(known, n / np.maximum(seen, 1), v.counts[word] / max(1, v.tokens))
-    return top + w[:, 1] * v.counts[word] / max(1, v.tokens) + w[:, 2] / (v.size + 1)
+    one = of_word / max(1, v.tokens)
+    top = w[:, 0] * np.where(seen > 0, n / np.maximum(seen, 1), one)  # a context that never came has no estimate of its own
+    return top + w[:, 1] * one + w[:, 2] / (v.distinct + 1)
+
+
+def probabilities(v: Vocabulary, weights: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return mixed(v, weights, n, v.counts[context], v.counts[word])
 
 
 _ROWS = "kind int, range int, block long, a binary, b binary, c binary, d binary, e binary"
 
 
 def _blocks(docs: DataFrame, v: Vocabulary, weights: np.ndarray, heavy: dict[int, int]) -> DataFrame:
-    """Blocks of documents: a home row (kind 0), their bigrams by range (1) and their rare words (2), in the shared folder."""
+    """Blocks of documents: a home row (kind 0), their bigrams by range (1) and those beyond the vocabulary (2, of held-out documents 3), in the shared folder."""
     hot = np.array(sorted(heavy), np.int64).view(U64)
     hot = np.sort(hot)
     hot_n = np.array([heavy[int(np.int64(k.view(np.int64)))] for k in hot], np.float64) if len(hot) else np.zeros(0)
@@ -291,18 +355,16 @@ def _blocks(docs: DataFrame, v: Vocabulary, weights: np.ndarray, heavy: dict[int
 
         def out() -> pa.RecordBatch:
             nonlocal count
-            ids, null, late, keys, doc, tokens, known, base, rare, rare_doc = ([] for _ in range(10))
+            ids, null, late, keys, doc, tokens, known, base, rare = ([] for _ in range(9))
             at = 0
             for rows, c in held:
                 context, word, row = _bigrams(c, v)
                 n = len(c.counts)
-                keys.append(v.keys(context, word)), doc.append(row + at)
+                loose, parts = _loose(c, v, context, word)
+                keys.append(v.keys(context[~loose], word[~loose])), doc.append(row[~loose] + at)
+                rare.append([*parts, row[loose] + at])
                 plain = word < v.size
                 tokens.append(c.counts + 1), known.append(np.bincount(row[plain], minlength=n)), base.append(np.bincount(row[plain], log_base[word[plain]], n))
-                of_words = v.ids(c.hashes) == v.size
-                rare.append(c.hashes[of_words]), rare_doc.append(c.doc[of_words] + at)
-                if v.size == int(v.ids(np.array([END], U64))[0]):
-                    rare.append(np.full(n, END, U64)), rare_doc.append(np.arange(n) + at)
                 column = rows.column("doc_id")
                 ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), null.append(column.is_null().to_numpy(zero_copy_only=False)), late.append(rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
                 at += n
@@ -325,8 +387,11 @@ def _blocks(docs: DataFrame, v: Vocabulary, weights: np.ndarray, heavy: dict[int
                 if b > a:
                     k, first = np.unique(keys[a:b], return_index=True)
                     result.append((1, r, block, squeeze(_steps(k)), squeeze(np.diff(first, append=b - a).astype(np.uint32)), squeeze(doc[a:b].astype(np.uint32)), flags, np.int64(at).tobytes()))
-            if rare and sum(map(len, rare)):
-                result.append((2, 0, block, np.concatenate(rare).tobytes(), np.concatenate(rare_doc).astype(np.int32).tobytes(), b"", b"", b""))
+            rare = [np.concatenate(x).astype(np.int64) for x in zip(*rare, strict=True)]
+            for kind, chosen in ((2, ~late[rare[4]]), (3, late[rare[4]])):
+                if chosen.any():
+                    before, after, seen, of_word, row = (x[chosen] for x in rare)
+                    result.append((kind, 0, block, before.tobytes(), after.tobytes(), squeeze(seen), squeeze(of_word), squeeze(row)))
             held.clear()
             kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in result], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _ROWS.split(", ")])
@@ -352,7 +417,8 @@ def score(docs: DataFrame, bound: int = VOCABULARY) -> DataFrame:
     training = docs.where("not held_out")
     counts = word_counts(training)
     v = vocabulary(counts, training.count(), bound)
-    weights, heavy = mixture(training, v)
+    loose = loose_bigrams(training, v, counts) if v.size < v.distinct else None
+    weights, heavy = mixture(training, v, loose)
     blocks = _blocks(docs, v, weights, heavy)
     shared = docs.sparkSession.sparkContext.broadcast((v, weights))
     part = "block long, kind int, a binary, doc int, base double, score double, known long"
@@ -377,15 +443,31 @@ def score(docs: DataFrame, bound: int = VOCABULARY) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                w, d = np.frombuffer(x["a"], np.int64), np.frombuffer(x["b"], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), x["block"], np.int64)), pa.array(w), pa.array(d)], ["block", "word", "doc"])
-
-    rare = blocks.where("kind = 2").select("block", "a", "b").mapInArrow(listed, "block long, word long, doc int").groupBy("block", "doc", "word").agg(F.count("*").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    rare = rare.join(counts, "word", "left").groupBy("block", "doc").agg(
-        F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(v.tokens + v.distinct + 1)))).alias("base"),
-        F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(v.rare_tokens + v.rare_distinct + 1)))).alias("score"),
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"),
+                parts = [pa.array(np.frombuffer(x[c], np.int64)) for c in "ab"] + [pa.array(expand(x[c], np.int64)) for c in "cde"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), x["block"], np.int64)), *parts], ["block", "context", "word", "seen", "of_word", "doc"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, weights = shared.value
+        for batch in batches:
+            logp = np.log10(mixed(v, weights, *[batch[c].to_numpy() for c in ("n", "seen", "of_word")]))
+            yield batch.select(["block", "doc", "rare", "of_word"]).append_column("logp", pa.array(logp))
+
+    def beyond(kind: int) -> DataFrame:
+        rows = blocks.where(F.col("kind") == kind).select("block", *"abcde").mapInArrow(listed, "block long, context long, word long, seen long, of_word long, doc long")
+        return rows.withColumn("doc", F.col("doc").cast("int")).withColumn("rare", F.col("of_word") < 0)
+
+    kept = ["block", "doc", "rare", "n", "seen", "of_word"]
+    late = _counted(beyond(3), counts)
+    if loose is None:
+        rare = late.withColumn("n", F.lit(0).cast("long")).select(kept)
+    else:  # the bigrams of training documents are all counted
+        late = late.join(loose.select("context", "word", F.col("n").alias("held")), ["context", "word"], "left").withColumn("n", F.coalesce("held", F.lit(0).cast("long")))
+        rare = beyond(2).select("block", "doc", "rare", "context", "word").join(loose, ["context", "word"]).select(kept).unionByName(late.select(kept))
+    rare = rare.mapInArrow(scored, "block long, doc int, rare boolean, of_word long, logp double")
+    rare = rare.groupBy("block", "doc").agg(
+        F.sum(F.when(F.col("rare"), F.log10((F.col("of_word") + 1) / F.lit(float(v.tokens + v.distinct + 1)))).otherwise(0.0)).alias("base"),
+        F.sum("logp").alias("score"),
+        F.sum(F.when(F.col("rare") & (F.col("of_word") > 0), 1).otherwise(0)).alias("known"),
     )
     rare = rare.select("block", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("a"), "doc", "base", "score", "known")
     home = blocks.where("kind = 0").select("block", "kind", F.concat(F.lit(b""), "a").alias("ids"), "b", "c", "d")
