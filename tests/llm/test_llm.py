@@ -83,6 +83,13 @@ def test_distrust_runs_against_links(spark):
     assert got[2] == "block" and got[6] == "block" and got[4] == got[5] == "allow"
 
 
+def test_a_farm_of_hosts_on_a_blocked_host(spark):
+    page = lambda i, host, path, *links: (i, f"http://{host}{path}", "".join(f'<a href="http://{h}/">l</a>' for h in links))
+    rows = [page(i, f"farm{i}.org", "/", "bad.net") for i in range(20)] + [page(20, "bad.net", "/es/1"), page(21, "mixed.org", "/", "bad.net", "a.org", "b.org", "c.org"), page(22, "a.org", "/")]
+    got = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(21)} == {"block"} and got[21] == got[22] == "allow"
+
+
 def test_propagate_matches_a_matrix(spark):
     r = random.Random(3)
     hosts = [f"h{i}" for i in range(8)]

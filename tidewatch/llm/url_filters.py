@@ -3,8 +3,9 @@
 Rules name a host and a path; a rule fits the host and its subdomains where the url's path starts with the rule's, and the
 longest wins. Hosts get seeds from them: the share of a host's pages that rules allow (trust) and that they block
 (distrust). Trust runs along the links between hosts as a personalised PageRank; distrust runs backwards, from a blocked
-host to the hosts that link to it. A host is blocked when its distrust is above its trust and at least ``THRESHOLD`` of
-what a fully blocked host without links has.
+host to the hosts that link to it, each of which takes it by the share of its own links that go there: however many hosts link
+to a blocked one, none takes less for it. A host is blocked when its distrust is above its trust and at least
+``THRESHOLD`` of what a fully blocked host without links has.
 
 Edges are pre-aggregated per pair of hosts before they shuffle, each round is written to the shared folder, and rounds stop
 once scores move less than ``TOLERANCE`` in sum. Only blocked hosts are joined back to pages; Spark splits hot hosts.
@@ -51,10 +52,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.where("source <> '' and target <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, score): score = (1 - damping) * seed + damping * sum of in-neighbours' score by share of their links."""
-    out = edges.groupBy("source").agg(F.sum("n").alias("all"))
-    shares = written(edges.join(out, "source").select("source", "target", (F.col("n") / F.col("all")).alias("share")), "host-edges")
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, per: str = "source") -> DataFrame:
+    """(host, score): score = (1 - damping) * seed + damping * sum of in-neighbours' score by share of their links.
+
+    ``per`` "target": by share of the links into the host itself, so its score is a mean that doesn't shrink with theirs.
+    """
+    out = edges.groupBy(per).agg(F.sum("n").alias("all"))
+    shares = written(edges.join(out, per).select("source", "target", (F.col("n") / F.col("all")).alias("share")), "host-edges")
     base = seeds.groupBy("host").agg(((1 - damping) * F.sum("seed")).alias("base"))
     scores = written(base.select("host", F.col("base").alias("score")), "host-scores")
     if shares.isEmpty():
@@ -78,7 +82,7 @@ def blocked_hosts(judged: DataFrame, edges: DataFrame, threshold: float = THRESH
     seeds = written(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "seeds")
     trust = propagate(seeds.select("host", F.col("trusted").alias("seed")), edges)
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "n")
-    distrust = propagate(seeds.select("host", F.col("blocked").alias("seed")), back)
+    distrust = propagate(seeds.select("host", F.col("blocked").alias("seed")), back, per="target")
     both = distrust.withColumnRenamed("score", "distrust").join(trust.withColumnRenamed("score", "trust"), "host", "left")
     return both.where((F.col("distrust") > F.coalesce("trust", F.lit(0.0))) & (F.col("distrust") >= threshold * (1 - DAMPING))).select("host")
 
