@@ -226,6 +226,14 @@ def test_decontamination(spark, per_block):
     assert len(clean) == len(texts) and not any(r.contaminated for r in clean)
 
 
+def test_cleaning_judges_rows_of_null_and_repeated_ids(spark):
+    bad, bench = prose(1, 12, 300, 60)[0], "doc_id long, text string"
+    rows = [(None, bad), (None, "clean text"), (None, None), (1, bad), (1, "another clean text"), (1, bad), (2, "clean text")]
+    left = decontamination.clean(spark.createDataFrame(rows, bench), spark.createDataFrame([(1, bad)], "item_id long, text string"))
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, left.collect()), key=key) == sorted([r for r in rows if r[1] != bad], key=key)
+
+
 def test_proximity(spark):
     index = decontamination.build_index(frame(spark, ["alpha x x beta", "beta " + "x " * 40 + "alpha", "alpha"]))
     assert decontamination.near(index, [("p", "alpha beta")], slack=4).collect() == [(0, "p")]

@@ -195,9 +195,10 @@ def _no_windows(index: DataFrame, _: dict) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; ids must be unique for the decision to be of one row."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without the contaminated ones; rows are known by a hash of id and text, so null and repeated ids take no others along."""
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    bad = decontaminate(docs.select(key.alias("doc_id"), docs["text"]), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == bad["_bad"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
