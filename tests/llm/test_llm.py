@@ -277,6 +277,19 @@ def test_a_rare_and_a_frequent_token_make_a_candidate(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.digest(frame(spark, texts)).collect()} == want
 
 
+def test_all_links_are_returned(spark):
+    texts = copies() + [" ".join(f"n{j}" if j != 3 * i else f"m{i}" for j in range(120)) for i in range(14)] + ODD
+    sets = [frozenset(zip(*[words(BLANKS, t)[k:] for k in range(5)], strict=False)) for t in texts]
+    table, found = ngram_join.links(frame(spark, texts))
+    of = {r.doc_id: r.fp for r in table.collect()}
+    linked = lambda x, y: x and y and x != y and 100 * len(x & y) >= 80 * len(x | y)
+    want = {tuple(sorted((bytes(of[i]), bytes(of[j])))) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if linked(x, y)}
+    got = [(bytes(r.a), bytes(r.b)) for r in found.collect()]
+    assert len(got) == len(want) >= 91 and set(got) == want
+    for r in ngram_join.join(frame(spark, texts)).collect():
+        assert r.n_links == len({y for y in sets if linked(sets[r.doc_id], y)})
+
+
 def test_jaccard_join_of_nothing_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.digest(df).collect()) == [("3", "3"), ("4", "3"), ("None", "None"), ("None", "None")]

@@ -8,11 +8,10 @@ frequent ones are indexed as combinations of two, so of two shared tokens either
 combination does. Classes that meet in the index are candidates and are verified on their whole sets.
 
 Before whole sets are compared, bitmaps of the classes bound how many tokens differ, which drops most pairs that fail.
-Index lists of a few classes give all their pairs at once. For the others links are needed only as far as they join
-components: in each round a class is verified against the pivots of a few of its lists (drawn anew by list and round) with
-which it isn't yet connected; after ``ROUNDS`` rounds all remaining pairs of a list whose ends lie in different
-components are verified, which leaves no link that could join any. Lists are never collected; links and components stay in
-tables, written each round.
+All pairs of an index list are candidates. Those that are left are verified, each once, in cells of two blocks of classes, so
+that a set moves once per cell and not once per pair. ``links`` gives all links between different texts, as pairs of
+classes with the class of each document; components and the links of a document come from them. A group of n near copies
+has links that grow with the square of n. Lists are never collected; links and components stay in tables.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; texts of fewer words than a
 shingle have one, the whole; rows with equal ids count as one document of that id; null ids stay alone, without id.
@@ -26,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .components import broadcastable, components, joined_by
+from .components import broadcastable, components
 from .lm_scoring import Tally, expand, squeeze
 from .storage import bounded_batches, only, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
@@ -35,8 +34,11 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS, PARTS = 24, 64
 #: Tokens that the sketch counts this often at least are frequent, or four times its mean where that is more.
 FREQUENT = 1024
-ROUNDS, PIVOTS = 2, 12
+#: Without effect since all pairs are verified at once; still set by callers.
+ROUNDS = 2
 LONGS = 16
+#: Classes a block of verification, about.
+BLOCK = 2048
 #: Index lists of up to this many classes give all their pairs.
 SMALL = 8
 
@@ -175,18 +177,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union."""
-    left, right = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    blocks = 1 + sets.count() // BLOCK
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cells = written(pairs.select("a", "b", block("a").alias("i"), block("b").alias("j")), "cells")
+    needed = cells.select(F.col("i").alias("p"), F.col("j").alias("q"), F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets, "fp")
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yes = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+    def kept(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = {f: np.frombuffer(s, U64) for f, s in zip(sets["fp"].to_pylist(), sets["s"].to_pylist(), strict=True)}
+        yes = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            x, y = held.get(a), held.get(b)
+            both = 0 if x is None or y is None else len(np.intersect1d(x, y, assume_unique=True))
+            yes.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+        return pairs.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(kept, "a binary, b binary"), "verified")
+    return written(cells.groupBy("i", "j").cogroup(needed.groupBy("p", "q")).applyInArrow(kept, "a binary, b binary"), "verified")
 
 
 def possible(x: tuple[str, str], y: tuple[str, str], percent: int):
@@ -203,8 +208,8 @@ def distinct_lists(lists: DataFrame) -> DataFrame:
     return lists.join(one.select("sig"), "sig", "left_semi")
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, fp and the class that stands for the component (smallest fingerprint) per row of ``docs``."""
+def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and class (fp) per row of ``docs``, and all links (a, b) between classes, a < b, each once."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = classes(docs, *sketch(docs))
     posted = table.where("fp is not null").select("fp", "often", F.explode("signatures").alias("sig"))
@@ -216,7 +221,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # rare and one frequent, of which only the rare one is indexed; so a single one is enough where both hold frequent ones.
     pairs = lists.where(F.size("before") > 0).select("sig", F.explode("before").alias("x"), F.col("fp").alias("b"), "often")
     pairs = pairs.select("sig", F.col("x.fp").alias("a"), "b", (F.col("x.often") & F.col("often")).alias("often")).where("a <> b").distinct()
-    pairs = pairs.groupBy("a", "b").agg(F.sum(F.when((F.col("sig") % 2 == 0) & ~F.col("often"), 1).otherwise(2)).alias("shared")).where("shared >= 2").select("a", "b")
+    pairs = pairs.groupBy("a", "b").agg(F.sum(F.when((F.col("sig") % 2 == 0) & ~F.col("often"), 1).otherwise(2)).alias("shared")).where("shared >= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs, "pairs")
     large = written(distinct_lists(lists.where(F.col("size") > SMALL).select("sig", "fp").distinct()), "large-lists")
     met = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
@@ -228,32 +233,22 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def named(x: str) -> DataFrame:
         return known.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
-    labels = components(verified(pairs.join(named("a"), "a").join(named("b"), "b").where(may).select("a", "b"), sets, percent))
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        found = labels.select(F.col("node").alias("fp"), "label")
-        return rows.join(broadcastable(found), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-
-    for round_ in range(ROUNDS + 1):
-        rows = labelled(large)
-        mixed = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-        rows = written(rows.join(mixed, "sig", "left_semi"), "mixed-lists")
-        if rows.isEmpty():
-            break
-        if round_ < ROUNDS:
-            pivot = rows.groupBy("sig").agg(F.min_by(F.struct(F.col("fp").alias("b"), F.col("label").alias("other")), F.xxhash64("sig", "fp", F.lit(round_))).alias("pivot"))
-            few = rows.withColumn("k", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("sig", F.lit(round_))))).where(F.col("k") <= PIVOTS)
-            pairs = few.join(pivot, "sig").select(F.col("fp").alias("a"), "label", "pivot.*").where("label <> other").select("a", "b").distinct()
-            pairs = pairs.join(named("a"), "a").join(named("b"), "b").where(may)
-        else:
-            rows = rows.join(known.select("fp", "n", "bits"), "fp")
-            left, right = (rows.select("sig", F.col("fp").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-            pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & may)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(pairs, sets, percent)
-        if not new.isEmpty():
-            labels = joined_by(labels, new)
-    return labelled(table.select("doc_id", F.col("n").alias("n_shingles"), "fp"))
+    rows = large.join(known.select("fp", "n", "bits"), "fp")
+    left, right = (rows.select("sig", F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    more = left.join(right, "sig").where((F.col("a") < F.col("b")) & may).select("a", "b")
+    pairs = pairs.join(named("a"), "a").join(named("b"), "b").where(may).select("a", "b").unionByName(more).distinct()
+    return table.select("doc_id", F.col("n").alias("n_shingles"), "fp"), verified(pairs, sets, percent)
+
+
+def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class (fp), n_links and the class that stands for the component (smallest fingerprint) per row of ``docs``.
+
+    ``n_links``: how many other classes the document's is linked with.
+    """
+    table, found = links(docs, percent)
+    ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
+    labels = written(components(found).withColumnRenamed("node", "fp").join(ends, "fp"), "labels")
+    return table.join(broadcastable(labels), "fp", "left").withColumn("label", F.coalesce("label", "fp")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
