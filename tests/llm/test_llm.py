@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewatch.llm import bpe_codec, components, decontamination, html_extraction, language_id, lm_scoring, ngram_join, secret_scans, text_blocks, token_counts, topk_search, url_filters
+from tidewatch.llm import bpe_codec, components, decontamination, html_extraction, language_id, lm_scoring, ngram_join, runs, secret_scans, text_blocks, token_counts, topk_search, url_filters
 
 LOW = {i: i + 32 for i in range(65, 91)}
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -161,7 +161,7 @@ def test_deleted_interpolation_prefers_what_holds_out():
 
 def test_squeeze_round_trip():
     a = np.array([0, 1, 5, 2**40, 2**63], np.uint64)
-    assert (lm_scoring.expand(lm_scoring.squeeze(a), np.uint64) == a).all() and len(lm_scoring.expand(b"", np.uint64)) == 0
+    assert (runs.expand(runs.squeeze(a), np.uint64) == a).all() and len(runs.expand(b"", np.uint64)) == 0
 
 
 def test_languages(spark):
@@ -259,10 +259,10 @@ def joined(texts):
     return {d: (len(sets[d]), top(d)) for d in sets}
 
 
-@pytest.mark.parametrize("frequent,rounds", [(1024, 3), (2, 0)])
-def test_jaccard_join(spark, monkeypatch, frequent, rounds):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+@pytest.mark.parametrize("frequent,part,block", [(48, 64, 512), (2, 8, 3), (1, 5, 2)])
+def test_jaccard_join(spark, monkeypatch, frequent, part, block):
+    for name, value in (("FREQUENT", frequent), ("PART", part), ("BLOCK", block)):
+        monkeypatch.setattr(ngram_join, name, value)
     texts = copies() + ODD + ["a b c", "A  b\tc", "a b"]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.digest(frame(spark, texts, True)).collect()}
     assert got == joined(texts)
@@ -277,28 +277,63 @@ def test_a_rare_and_a_frequent_token_make_a_candidate(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.digest(frame(spark, texts)).collect()} == want
 
 
-def test_all_links_are_returned(spark):
+@pytest.mark.parametrize("percent", [50, 80, 95])
+@pytest.mark.parametrize("least", [0, 3, 60])
+def test_similar_sets_share_a_signature(percent, least):
+    r = np.random.default_rng(percent + least)
+    levels = r.integers(0, 8, 1 << 10).astype(np.uint8)
+    tried = 0
+    for _ in range(300):
+        union = np.unique(r.integers(0, 2**63, r.integers(2, 400)).astype(np.uint64))
+        kind = r.choice(3, len(union), p=[percent / 100, (1 - percent / 100) / 2, (1 - percent / 100) / 2])
+        x, y = union[kind != 1], union[kind != 2]
+        if 100 * (kind == 0).sum() >= percent * len(union) and len(x) > 1 and len(y) > 1:
+            sig, own = ngram_join.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), levels, least, percent)
+            assert np.intersect1d(sig[own == 0], sig[own == 1]).size
+            tried += 1
+    assert tried > 20
+
+
+def test_signatures_of_frequent_tokens_grow_with_the_set():
+    levels = np.full(1 << 10, 9, np.uint8)
+    for m in (1000, 20_000):
+        s = np.unique(np.random.default_rng(m).integers(0, 2**63, m).astype(np.uint64))
+        assert len(ngram_join.signatures(s, np.array([len(s)]), levels, 1)[0]) < 8 * m
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_all_links_are_returned(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     texts = copies() + [" ".join(f"n{j}" if j != 3 * i else f"m{i}" for j in range(120)) for i in range(14)] + ODD
     sets = [frozenset(zip(*[words(BLANKS, t)[k:] for k in range(5)], strict=False)) for t in texts]
     table, found = ngram_join.links(frame(spark, texts))
     of = {r.doc_id: r.fp for r in table.collect()}
-    linked = lambda x, y: x and y and x != y and 100 * len(x & y) >= 80 * len(x | y)
-    want = {tuple(sorted((bytes(of[i]), bytes(of[j])))) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if linked(x, y)}
+    linked = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    want = {tuple(sorted((bytes(of[i]), bytes(of[j])))) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if x != y and linked(x, y)}
     got = [(bytes(r.a), bytes(r.b)) for r in found.collect()]
     assert len(got) == len(want) >= 91 and set(got) == want
-    for r in ngram_join.join(frame(spark, texts)).collect():
-        assert r.n_links == len({y for y in sets if linked(sets[r.doc_id], y)})
-
-
-def test_jaccard_join_of_nothing_and_null_ids(spark):
-    df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f"), (None, None)], "doc_id long, text string")
-    assert sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.digest(df).collect()) == [("3", "3"), ("4", "3"), ("None", "None"), ("None", "None")]
-    assert ngram_join.digest(df.limit(0)).count() == 0
-
-
-def test_lists_of_the_same_classes_are_one(spark):
-    lists = spark.createDataFrame([(s, bytes([f])) for s, f in [(1, 7), (1, 8), (2, 8), (2, 7), (3, 7), (4, 7), (4, 8), (4, 9)]], "sig long, fp binary")
-    assert sorted((r.sig, r.fp[0]) for r in ngram_join.distinct_lists(lists).collect()) == [(1, 7), (1, 8), (3, 7), (4, 7), (4, 8), (4, 9)]
+    for r in ngram_join.digest(frame(spark, texts)).collect():
+        x = sets[r.doc_id]
+        if len(words(BLANKS, texts[r.doc_id])) >= 5:
+            assert r.n_links == sum(bool(linked(x, y)) for y in sets) - 1 and r.class_id == sets.index(x)
+
+
+def test_jaccard_join_of_nothing_null_and_repeated_ids(spark):
+    t, other = "a b c d e f", "g h i j k l m"
+    df = spark.createDataFrame([(None, t), (3, t), (4, t), (None, None), (3, other), (7, other), (7, other)], "doc_id long, text string")
+    got = sorted(tuple(map(str, (r.doc_id, r.component_id, r.n_links))) for r in ngram_join.digest(df).collect())
+    assert got == [("3", "3", "1"), ("3", "3", "2"), ("4", "3", "1"), ("7", "3", "2"), ("7", "3", "2"), ("None", "None", "0"), ("None", "None", "0")]
+    assert ngram_join.digest(df.limit(0)).count() == 0 and ngram_join.one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_a_row_of_every_component(spark):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(3, t, "k"), (5, t, "k"), (5, u, "k"), (None, t, "k"), (None, None, "k"), (8, v, "k"), (8, v, "l"), (8, v.upper(), "k"), (9, v + " w", "k"), (10, None, "k"), (10, None, "k"), (11, "", "k")]
+    left = [tuple(r) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()]
+    last = [r for r in left if r[0] in (8, 9)]
+    assert len(last) == 1 and last[0][0] == 8
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted([r for r in left if r[0] not in (8, 9)], key=key) == sorted([rows[i] for i in (0, 2, 3, 4, 9, 10, 11)], key=key)
 
 
 def test_bitmaps_bound_differences():
@@ -316,15 +351,23 @@ def test_components_of_a_chain(spark):
 
 
 @pytest.mark.parametrize("few", [1 << 18, 0])
-def test_components_grow_with_links(spark, monkeypatch, few):
+def test_components_by_shuffles_and_by_broadcasts(spark, monkeypatch, few):
     monkeypatch.setattr(components, "FEW", few)
-    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
-    labels = components.components(links([(5, 6), (6, 7), (2, 3), (30, 31)]))
-    labels = components.joined_by(labels, links([(3, 7), (7, 3), (40, 41), (6, 50)]))
-    labels = components.joined_by(labels, links([(50, 1)]))
-    got = {r.node: r.label for r in labels.collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 7: 1, 50: 1, 30: 30, 31: 30, 40: 40, 41: 40}
-    assert components.joined_by(components.components(links([])), links([])).count() == 0
+    got = components.components(spark.createDataFrame([(5, 6), (6, 7), (2, 3), (30, 31), (3, 7), (7, 3)], "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == {2: 2, 3: 2, 5: 2, 6: 2, 7: 2, 30: 30, 31: 30}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from tidewatch.llm.storage import scratch, shared_dir, written
+
+    with scratch(spark) as kept:
+        gone, stays = written(spark.range(3), "gone"), kept(spark.range(4), "stays")
+        paths = [f.removeprefix("file://") for f in gone.inputFiles()]
+        assert gone.count() == 3
+    assert stays.count() == 4 and not any(map(os.path.exists, paths)) and shared_dir(spark)
 
 
 @pytest.mark.parametrize("block", [4096, 16])

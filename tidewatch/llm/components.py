@@ -13,11 +13,6 @@ from .storage import written
 FEW = 1 << 18
 
 
-def broadcastable(table: DataFrame) -> DataFrame:
-    """``table`` (written, so counting it reads no column), to be broadcast where it has ``FEW`` rows or less."""
-    return F.broadcast(table) if table.count() <= FEW else table
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``links`` (a, b): label is the smallest node reachable. Each round is written."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
@@ -39,19 +34,3 @@ def components(links: DataFrame) -> DataFrame:
             return new.select("node", "label")
         labels = new.select("node", "label")
     return labels
-
-
-def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, label), nodes without a row standing for themselves, once more links (a, b) are known.
-
-    The links are contracted to the components that they join, whose labels alone are propagated.
-    """
-    known = broadcastable(labels)
-    edges = links
-    for c in "ab":
-        edges = edges.join(known.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
-    edges = edges.where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
-    moved = components(edges)
-    to = broadcastable(moved.select(F.col("node").alias("label"), F.col("label").alias("to")))
-    old = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return written(old.unionByName(moved.join(known.select("node"), "node", "left_anti")), "labels")
