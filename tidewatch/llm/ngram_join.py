@@ -10,7 +10,7 @@ or more some part has Jaccard t or more too, and ordered alike the two share k t
 elsewhere it is extended to k = 2, its rare tokens are indexed alone and its frequent ones as combinations of two. So parts
 keep the number of combinations in proportion to the set. A set near the bound of a size class is cut both ways.
 
-Groups. Classes that agree in two of four minimum hashes, and whose parity bitmaps allow some likeness, join the group of a
+Groups. Classes that agree in some of eight minimum hashes, and whose parity bitmaps allow some likeness, join the group of a
 pivot. Groups only cut the number of pairs: the index lists hold groups, and of two groups that meet in a list the pair is kept
 where sizes and bitmaps allow a link (bitmaps are a metric, so a group's radius around its pivot bounds its members).
 
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
+from .marks import marked, without
 from .runs import Tally, expand, squeeze
 from .storage import bounded_batches, only, scratch, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
@@ -39,12 +40,13 @@ from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
 WORDS, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_PARTS = 24, 64
 #: Tokens that the sketch counts this often at least are frequent, or four times its mean where that is more.
-FREQUENT = 48
+FREQUENT = 256
 #: Tokens a part of a set, at most on average.
-PART = 64
+PART = 256
 LONGS = 16
-#: What the bitmaps must allow, in percent, and how many of four minima must agree, for a class to join a pivot's group.
-GROUPED, AGREE = 60, 2
+#: For a class to join a pivot's group the bitmaps must allow so much likeness, in percent, and one of eight minima must agree;
+#: so many of them where a set has more than ``DENSE`` tokens, of which bitmaps tell little.
+GROUPED, AGREE, DENSE = 33, 3, 384
 #: Classes a side of a cell of verification, at most about, and bytes of sets that a task verifies at once, about.
 BLOCK, BUCKET = 512, 8 << 20
 
@@ -80,9 +82,12 @@ def fingerprint(s: np.ndarray) -> bytes:
 
 
 def minima(s: np.ndarray) -> list[int]:
-    """Four hashes of a set, each of which two sets share with a probability of their Jaccard similarity."""
-    other = s * U64(0x9FB21C651E98DF25)
-    return [int(x) for x in np.array([s[0], s[-1], other.min(), other.max()], U64).view(np.int64)]
+    """Eight hashes of a set, each of which two sets share with a probability of their Jaccard similarity."""
+    out = [s[0], s[-1]]
+    for odd in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+        other = s * U64(odd)
+        out += [other.min(), other.max()]
+    return np.array(out, U64).view(np.int64).tolist()
 
 
 _ROW = "doc_id long, h long, n long, fp binary, bits array<long>, minima array<long>, part int, cells binary, counts binary"
@@ -145,8 +150,8 @@ def sketch(survey: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _cut(m: np.ndarray) -> np.ndarray:
-    """Into how many parts sets of ``m`` tokens are cut, as a power of two."""
-    return np.minimum(np.ceil(np.log2((m - 1) // PART + 1.0)), 13).astype(np.int64)
+    """Into how many parts sets of ``m`` tokens are cut, as a power of two: 1, 4, 16 and so on."""
+    return np.minimum(2 * np.ceil(np.log2((m - 1) // PART + 1.0) / 2), 12).astype(np.int64)
 
 
 def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, least: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +164,12 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, least:
     first = _cut(sizes)
     last = _cut(sizes * 100 // percent)
     sigs, owners = [], []
-    for more in range(int((last - first).max(initial=0)) + 1):
+    for more in range(0, int((last - first).max(initial=0)) + 1, 2):
         bits = first + more
         chosen = ((bits <= last) & (sizes > 1))[owner]
         s, own, lev = tokens[chosen], owner[chosen], level[chosen]
         part = (s >> U64(50)).astype(np.int64) & ((1 << bits[own]) - 1)
-        order = np.argsort(((own << 13 | part) << 6) | lev, kind="stable")  # of equal levels the smaller token first
+        order = np.argsort(((own << 12 | part) << 6) | lev, kind="stable")  # of equal levels the smaller token first
         s, own, lev, part = s[order], own[order], lev[order], part[order]
         if not len(s):
             continue
@@ -220,12 +225,15 @@ def members(survey: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(fp, doc_id, w, n, bits, pivot, g): the classes, how many rows each has, and the group it is in."""
     rows = survey.where("fp is not null and doc_id is not null")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("w"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("minima").alias("minima")), "classes")
-    keyed = classes.select("fp", F.posexplode("minima").alias("i", "m")).select("fp", F.xxhash64("i", "m").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    near = keyed.join(buckets, "key").where("fp <> pivot").groupBy("fp", "pivot").agg(F.count("*").alias("times")).where(F.col("times") >= AGREE).select("fp", "pivot")
+    # Of a bucket the class of most rows is the pivot: edited texts are more like what they were made from than each other.
+    rank = F.struct((-F.col("w")).alias("w"), "fp").alias("rank")
+    keyed = classes.select("fp", rank, F.posexplode("minima").alias("i", "m")).select("fp", "rank", F.xxhash64("i", "m").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("rank").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
+    near = keyed.join(buckets, "key").where("fp <> pivot.fp").groupBy("fp", "pivot").agg(F.count("*").alias("times")).select("fp", F.col("pivot.w").alias("w"), F.col("pivot.fp").alias("pivot"), "times")
     own, other = classes.select("fp", "n", "bits"), classes.select(F.col("fp").alias("pivot"), F.col("n").alias("n_p"), F.col("bits").alias("bits_p"))
-    near = near.join(own, "fp").join(other, "pivot").where(allowed(F.least("n", "n_p"), F.greatest("n", "n_p"), distance("bits", "bits_p"), F.col("n") + F.col("n_p"), min(percent, GROUPED)))
-    near = written(near.groupBy("fp").agg(F.min("pivot").alias("pivot")), "near")
+    least, most = F.least("n", "n_p"), F.greatest("n", "n_p")
+    near = near.join(own, "fp").join(other, "pivot").where((F.col("times") >= F.when(most > DENSE, AGREE).otherwise(1)) & allowed(least, most, distance("bits", "bits_p"), F.col("n") + F.col("n_p"), min(percent, GROUPED)))
+    near = written(near.groupBy("fp").agg(F.min(F.struct("w", "pivot")).alias("best")).select("fp", F.col("best.pivot").alias("pivot")), "near")
     stars = near.join(near.select(F.col("fp").alias("pivot")), "pivot", "left_anti")  # a pivot is in no other's group
     out = classes.drop("minima").join(stars, "fp", "left").withColumn("pivot", F.coalesce("pivot", "fp"))
     return written(out.withColumn("g", F.xxhash64("pivot")), "members")
@@ -265,16 +273,6 @@ def meetings(index: DataFrame, classes: DataFrame, of: DataFrame, percent: int =
     return pairs.join(sides[0], "a").join(sides[1], "b").where(may).select("a", "b")
 
 
-def marked(docs: DataFrame, wanted: DataFrame, key=None) -> DataFrame:
-    """``docs`` and whether the key (doc_id) of a row may be in ``wanted``, by a bitmap of 2**24 bits, so broadcast at any size, which spares most rows a shuffle."""
-    at = lambda df: F.pmod(F.xxhash64(*(key(df) if key else [df["doc_id"]])), F.lit(1 << 24))
-    word, bit = F.shiftright(at(wanted), 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at(wanted) % 64).cast("int")).alias("bit")
-    bits = wanted.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    own = docs.select("*", F.shiftright(at(docs), 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at(docs) % 64).cast("int")).alias("bit"))
-    rows = own.join(F.broadcast(bits), "word", "left")
-    return rows.withColumn("marked", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).select(*docs.columns, "marked")
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, s): the whole sets of the classes in ``wanted`` (doc_id, fp), as often as rows repeat one."""
 
@@ -283,7 +281,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [(f, s.tobytes()) for f, s in zip(rows.column("fp").to_pylist(), shingles(words(rows, BLANKS)), strict=True) if fingerprint(s) == f]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], ["fp", "s"])
 
-    rows = marked(docs, wanted).where("marked").join(wanted, "doc_id").select("fp", "text")
+    rows = marked(docs, [docs["doc_id"]], wanted, [wanted["doc_id"]]).where("_marked").join(wanted, "doc_id").select("fp", "text")
     return written(rows.mapInArrow(made, "fp binary, s binary"), "sets")
 
 
@@ -466,14 +464,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         rows = join(docs).where("component is not null").select("component", "component_id", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
         stay = rows.where("_id = component_id").groupBy("component").agg(F.min("_h").alias("stays"))
         keys = rows.join(stay, "component").groupBy("_id", "_h").agg(F.count("*").alias("times"), F.first((F.col("_id") == F.col("component_id")) & (F.col("_h") == F.col("stays"))).alias("stays"))
-        changed = kept(keys.where("not stays or times > 1"), "copies")
-    key = lambda df: [df["_id"], df["_h"]] if "_h" in df.columns else [df["doc_id"].cast("long"), F.xxhash64(df["text"].cast("string"))]
-    rows = marked(docs, changed, key)
-    some = rows.where("marked").select(*docs.columns, *[k.alias(n) for k, n in zip(key(docs), ("_id", "_h"), strict=True)])
-    left = some.join(changed.select("_id", "_h", "times"), ["_id", "_h"], "left").where("times is null").select(*docs.columns)
-    again = some.join(changed.where("stays").select("_id", "_h"), ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select(*docs.columns)
-    out = rows.where("not marked").select(*docs.columns).unionByName(left)
-    return out if changed.where("stays").isEmpty() else out.unionByName(again)
+        gone = kept(keys.where("not stays").select("_id", "_h"), "copies")
+        again = kept(keys.where("stays and times > 1").select("_id", "_h"), "repeated")
+    key = [docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))]
+    out = without(docs, key, gone)
+    if again.isEmpty():
+        return out
+    repeated = marked(docs, key, again, [again["_id"], again["_h"]]).where("_marked").select(*docs.columns, key[0].alias("_id"), key[1].alias("_h")).join(again, ["_id", "_h"], "left_semi")
+    return without(out, [out["doc_id"].cast("long"), F.xxhash64(out["text"].cast("string"))], again).unionByName(repeated.dropDuplicates(["_id", "_h"]).select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
