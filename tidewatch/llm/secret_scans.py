@@ -21,7 +21,8 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import only, written
+from .marks import marked
+from .storage import only, scratch, written
 
 
 @dataclass(frozen=True)
@@ -179,22 +180,32 @@ def _named(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """doc_id, text and spans, array<struct<start, rank, kind, end>> in order, per row of ``docs``."""
-    found = candidates(postings(docs, rules), rules)
-    rows = only(docs, "doc_id", "text")
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]), "left")
-    plain = F.translate(F.coalesce("text", F.lit("")), "\x01\x02\x03", "\x04\x04\x04")
-    rows = rows.select("doc_id", "text", "kinds", plain.alias("plain"))
+def _scanned(rows: DataFrame, found: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` (doc_id, text and others) with spans. Only rows that the bitmap of candidates marks are joined with these."""
+    asked = marked(rows, [rows["doc_id"]], found, [found["id"]])
+    some = asked.where("_marked").drop("_marked")
+    some = some.join(found, some["doc_id"].eqNullSafe(found["id"]), "left").drop("id")
+    rows = asked.where("not _marked").drop("_marked").withColumn("kinds", F.lit(None).cast("array<string>")).unionByName(some)
+    rows = rows.withColumn("plain", F.translate(F.coalesce("text", F.lit("")), "\x01\x02\x03", "\x04\x04\x04"))
     parts = []
     for rank, rule in enumerate(rules):
         full = trigram_query(rule.prefix + rule.secret) is True
-        asked = F.col("plain").rlike(rule.prefix + rule.secret)
+        holds = F.col("plain").rlike(rule.prefix + rule.secret)
         if not full:
-            asked = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) & asked
+            holds = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) & holds
         spans = _named(_spans(F.col("plain"), rule), rank, rule.kind)
-        parts.append(F.when(asked, spans).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("spans"))
+        parts.append(F.when(holds, spans).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
+    return rows.withColumn("spans", F.array_sort(F.concat(*parts))).drop("kinds", "plain")
+
+
+def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """doc_id, text and spans, array<struct<start, rank, kind, end>> in order, per row of ``docs``."""
+    return _scanned(only(docs, "doc_id", "text"), _found(docs, rules), rules)
+
+
+def _found(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    with scratch(docs.sparkSession) as kept:
+        return kept(candidates(postings(docs, rules), rules), "candidates")
 
 
 def _joined(spans: Column) -> Column:
@@ -210,8 +221,6 @@ def digest(found: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``[kind]``; overlapping spans become one, named by the first."""
-    names = docs.columns
-    found = scan(docs, rules).where(F.size("spans") > 0)
     # Pieces between the merged spans, and their names, from left to right.
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -222,10 +231,10 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], gap, name)).alias("out"))
 
     cut = F.aggregate("spans", start, step)
-    new = F.concat(cut["out"], F.substring(F.col("text"), cut["at"] + 1, F.length("text")))
-    found = found.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), new.alias("_new")).dropDuplicates(["_id", "_text"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_text"]), "left")
-    return joined.select(*[F.coalesce("_new", docs[c]).alias(c) if c == "text" else docs[c] for c in names])
+    new = F.when(F.size("spans") > 0, F.concat(cut["out"], F.substring(F.col("text"), cut["at"] + 1, F.length("text")))).otherwise(F.col("text"))
+    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none")).alias("_rest"))
+    rows = _scanned(rows, _found(docs, rules), rules).withColumn("text", new)
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
