@@ -222,21 +222,24 @@ def distance(x: str, y: str):
 
 
 def members(survey: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(fp, doc_id, w, n, bits, pivot, g): the classes, how many rows each has, and the group it is in."""
+    """(fp, doc_id, w, n, bits, pivot, g, c): the classes, how many rows each has, the group it is in, and a hash of it."""
     rows = survey.where("fp is not null and doc_id is not null")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("w"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("minima").alias("minima")), "classes")
     # Of a bucket the class of most rows is the pivot: edited texts are more like what they were made from than each other.
     rank = F.struct((-F.col("w")).alias("w"), "fp").alias("rank")
-    keyed = classes.select("fp", rank, F.posexplode("minima").alias("i", "m")).select("fp", "rank", F.xxhash64("i", "m").alias("key"))
+    keyed = classes.select(rank, F.posexplode("minima").alias("i", "m")).select("rank", F.xxhash64("i", "m").alias("key")).repartition("key")
     buckets = keyed.groupBy("key").agg(F.min("rank").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    near = keyed.join(buckets, "key").where("fp <> pivot.fp").groupBy("fp", "pivot").agg(F.count("*").alias("times")).select("fp", F.col("pivot.w").alias("w"), F.col("pivot.fp").alias("pivot"), "times")
-    own, other = classes.select("fp", "n", "bits"), classes.select(F.col("fp").alias("pivot"), F.col("n").alias("n_p"), F.col("bits").alias("bits_p"))
+    near = keyed.join(buckets, "key").where("rank.fp <> pivot.fp").groupBy("rank", "pivot").agg(F.count("*").alias("times"))
+    near = written(near.select("rank.fp", F.col("pivot.w").alias("w"), F.col("pivot.fp").alias("pivot"), "times"), "agreeing")
+    ends = near.select("fp").unionByName(near.select(F.col("pivot").alias("fp")))
+    some = written(marked(classes.select("fp", "n", "bits"), [F.col("fp")], ends, [F.col("fp")]).where("_marked").drop("_marked"), "ends")
+    other = some.select(F.col("fp").alias("pivot"), F.col("n").alias("n_p"), F.col("bits").alias("bits_p"))
     least, most = F.least("n", "n_p"), F.greatest("n", "n_p")
-    near = near.join(own, "fp").join(other, "pivot").where((F.col("times") >= F.when(most > DENSE, AGREE).otherwise(1)) & allowed(least, most, distance("bits", "bits_p"), F.col("n") + F.col("n_p"), min(percent, GROUPED)))
+    near = near.join(some, "fp").join(other, "pivot").where((F.col("times") >= F.when(most > DENSE, AGREE).otherwise(1)) & allowed(least, most, distance("bits", "bits_p"), F.col("n") + F.col("n_p"), min(percent, GROUPED)))
     near = written(near.groupBy("fp").agg(F.min(F.struct("w", "pivot")).alias("best")).select("fp", F.col("best.pivot").alias("pivot")), "near")
     stars = near.join(near.select(F.col("fp").alias("pivot")), "pivot", "left_anti")  # a pivot is in no other's group
     out = classes.drop("minima").join(stars, "fp", "left").withColumn("pivot", F.coalesce("pivot", "fp"))
-    return written(out.withColumn("g", F.xxhash64("pivot")), "members")
+    return written(out.withColumn("g", F.xxhash64("pivot")).withColumn("c", F.xxhash64("fp")), "members")
 
 
 def allowed(small, large, differ, both, percent: int):
@@ -245,26 +248,30 @@ def allowed(small, large, differ, both, percent: int):
 
 
 def groups(classes: DataFrame) -> DataFrame:
-    """(g, size, lo, hi, bits, radius): sizes of the least and largest set of a group, bitmap of its pivot, and how far its members' are from that."""
+    """(g, lo, hi, bits, radius): sizes of the least and largest set of a group, bitmap of its pivot, and how far its members' are from that."""
     # Should two pivots share a hash, their groups are one, around the smaller pivot.
-    sums = classes.groupBy("g").agg(F.min("pivot").alias("pivot"), F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pivots = sums.where("size > 1").select("g", "pivot").join(classes.select(F.col("fp").alias("pivot"), F.col("bits").alias("bits_p")), "pivot").drop("pivot")
-    wide = classes.select("g", "bits").join(pivots, "g").groupBy("g").agg(F.max(distance("bits", "bits_p")).alias("radius"), F.first("bits_p").alias("bits_p"))
-    single = sums.where("size = 1").join(classes.select("g", "bits"), "g").select("g", "size", "lo", "hi", "bits", F.lit(0).alias("radius"))
-    return written(single.unionByName(sums.where("size > 1").join(wide, "g").select("g", "size", "lo", "hi", F.col("bits_p").alias("bits"), "radius")), "groups")
+    sums = classes.groupBy("g").agg(F.min("pivot").alias("pivot"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    pivots = sums.join(classes.select(F.col("fp").alias("pivot"), F.col("bits").alias("bits_p")), "pivot")
+    wide = classes.select("g", "bits").join(pivots, "g")
+    return written(wide.groupBy("g").agg(F.max(distance("bits", "bits_p")).alias("radius"), F.first("bits_p").alias("bits"), F.first("lo").alias("lo"), F.first("hi").alias("hi")), "groups")
 
 
-def meetings(index: DataFrame, classes: DataFrame, of: DataFrame, percent: int = PERCENT) -> DataFrame:
+def meetings(index: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b), a < b: the groups that meet in an index list and may hold a link."""
-    posted = index.join(classes.select("fp", "g"), "fp").select("g", F.explode("signatures").alias("sig"))
-    posted = posted.repartition("sig").distinct()
     list_ = Window.partitionBy("sig")
-    lists = posted.select("sig", "g", F.count("*").over(list_).alias("size"), F.min("g").over(list_).alias("low"), F.bit_xor(F.xxhash64("g", F.lit(1))).over(list_).alias("sum"))
+    posted = index.select(F.xxhash64("fp").alias("c"), F.explode("signatures").alias("sig")).repartition("sig")
+    posted = posted.select("sig", "c", F.min("c").over(list_).alias("low"), F.max("c").over(list_).alias("high")).where("low <> high")
+    posted = written(posted.select("sig", "c"), "posted")
+    lists = posted.join(classes.select("c", "g"), "c").select("sig", "g").repartition("sig").distinct()
+    lists = lists.select("sig", "g", F.count("*").over(list_).alias("size"), F.min("g").over(list_).alias("low"), F.bit_xor(F.xxhash64("g", F.lit(1))).over(list_).alias("sum"))
     lists = written(lists.where("size > 1"), "lists")
     # Of the lists that hold the same groups, as those of a passage that many texts share do, one stays.
     one = lists.where("g = low").groupBy("size", "low", "sum").agg(F.min("sig").alias("sig")).select("sig")
     rows = lists.select("sig", "g").join(one, "sig", "left_semi")
-    pairs = rows.withColumnRenamed("g", "a").join(rows.withColumnRenamed("g", "b"), "sig").where("a < b").select("a", "b").distinct()
+    pairs = written(rows.withColumnRenamed("g", "a").join(rows.withColumnRenamed("g", "b"), "sig").where("a < b").select("a", "b").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g")))
+    some = marked(classes.select("fp", "n", "bits", "pivot", "g"), [F.col("g")], ends, [F.col("g")]).where("_marked").drop("_marked")
+    of = groups(written(some, "ends"))
     sides = [of.select(*[F.col(c).alias(x if c == "g" else f"{c}_{x}") for c in ("g", "lo", "hi", "bits", "radius")]) for x in "ab"]
     wide = F.greatest(F.lit(0), distance("bits_a", "bits_b") - F.col("radius_a") - F.col("radius_b"))
     # Sizes that may meet: the least of either group's against the largest of the other's.
@@ -274,24 +281,23 @@ def meetings(index: DataFrame, classes: DataFrame, of: DataFrame, percent: int =
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, s): the whole sets of the classes in ``wanted`` (doc_id, fp), as often as rows repeat one."""
+    """(fp, s): whole sets, those of the documents in ``wanted`` (doc_id) among them, some more than once."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in (r for b in batches for r in chunks(b)):
-            found = [(f, s.tobytes()) for f, s in zip(rows.column("fp").to_pylist(), shingles(words(rows, BLANKS)), strict=True) if fingerprint(s) == f]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], ["fp", "s"])
+            found = [s for s in shingles(words(rows, BLANKS)) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "s"])
 
-    rows = marked(docs, [docs["doc_id"]], wanted, [wanted["doc_id"]]).where("_marked").join(wanted, "doc_id").select("fp", "text")
-    return written(rows.mapInArrow(made, "fp binary, s binary"), "sets")
+    return marked(docs, [docs["doc_id"]], wanted, [wanted["doc_id"]]).where("_marked").select("text").mapInArrow(made, "fp binary, s binary")
 
 
-def cells(pairs: DataFrame, classes: DataFrame, of: DataFrame) -> DataFrame:
+def cells(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, own, i, j, side, fp, w, n): what cells hold. Of a pair of groups the larger is the anchor a.
 
     Cell (i, j) of an anchor has block i of its classes (side 0) and block j of those of all groups paired with it (1); where
     ``own``, block j of its own classes, and for i = j these alone (side 0).
     """
-    sizes = of.select("g", "size")
+    sizes = written(classes.groupBy("g").agg(F.count("*").alias("size")), "sizes")
     both = pairs.join(sizes.select(F.col("g").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("g").alias("b"), F.col("size").alias("size_b")), "b")
     first = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
@@ -381,7 +387,7 @@ def verified(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, pairs: bo
         fps, raw = group["fp"].take(order).to_pylist(), group["s"].combine_chunks()
         ends, edges, counts = [*starts[1:], len(order)], [], []
         for begin, end in zip(starts, ends, strict=True):
-            once = {(own[4, x], fps[x]): x for x in range(begin, end)}  # a set comes again where a row is repeated
+            once = {(own[4, x], fps[x]): x for x in range(begin, end)}  # a set comes again where a row is repeated or marked by chance
             at = np.array(sorted(once.values()))
             left = int((own[4, at] == 0).sum())
             if len(at) < 2 or left == 0 or left == len(at) and not (own[1, begin] and own[2, begin] == own[3, begin]):
@@ -406,11 +412,10 @@ def _joined(docs: DataFrame, percent: int, pairs: bool) -> tuple[DataFrame, Data
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = surveyed(docs)
     classes = members(survey, percent)
-    of = groups(classes)
-    met = meetings(indexed(docs, *sketch(survey), percent), classes, of, percent)
-    rows = cells(written(met, "meetings"), classes, of)
-    wanted = rows.select("fp").distinct().join(classes.select("fp", "doc_id"), "fp")
-    return survey, classes, verified(rows, sets_of(docs, written(wanted, "wanted")), percent, pairs)
+    met = written(meetings(indexed(docs, *sketch(survey), percent), classes, percent), "meetings")
+    rows = cells(met, classes)
+    wanted = written(rows.select("fp").distinct().join(classes.select("fp", "doc_id"), "fp").select("doc_id"), "wanted")
+    return survey, classes, verified(rows, sets_of(docs, wanted), percent, pairs)
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
