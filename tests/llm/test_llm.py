@@ -105,10 +105,9 @@ def test_propagate_matches_a_matrix(spark):
     assert all(abs(got.get(h, 0) - w) < 1e-4 for h, w in zip(hosts, want, strict=True))
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 15])
-def test_scores_sum_and_base(spark, bound):
+def test_scores_sum_and_base(spark):
     texts = prose(120) + [None, "", "unseen words only here"]
-    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts, True), bound).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts, True)).collect()}
     tokens = {i: words(BLANKS, t) + [0] for i, t in enumerate(texts)}
     late = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     c = collections.Counter(w for i, t in tokens.items() if not late[i] for w in t)
@@ -119,38 +118,51 @@ def test_scores_sum_and_base(spark, bound):
         assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6 and r.score < 0
 
 
-def test_model_scores_against_direct_mixture(spark):
-    texts = prose(80, 5)
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_model_scores_against_direct_mixture(spark, monkeypatch, block):
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", block)
+    texts = prose(80, 5) + ["unseen words only here", None] + prose(3, 5)
     df = frame(spark, texts).select("doc_id", "text")
-    rows = df.select("doc_id", lm_scoring.held_out().alias("held_out"), "text")
-    training = rows.where("not held_out")
-    v = lm_scoring.vocabulary(lm_scoring.word_counts(training), training.count())
-    weights, _ = lm_scoring.mixture(training, v)
-    assert np.allclose(weights.sum(1), 1)
     late = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
-    one, two = collections.Counter(), collections.Counter()
+    one, two, bigrams = collections.Counter(), collections.Counter(), []
     for i, t in enumerate(texts):
+        w = [1, *words(BLANKS, t), 0]
         if not late[i]:
-            w = [1, *words(BLANKS, t), 0]
             one.update(w), two.update(zip(w, w[1:], strict=False))
-    total = sum(n for w, n in one.items() if w != 1)
+            bigrams += zip(w, w[1:], strict=False)
+    total, distinct = sum(n for w, n in one.items() if w != 1), len(one) - 1
+    bucket = lambda seen: 1 + int(math.log2(seen)) if seen else 0
+    # Deleted estimates of each training token, and EM over single tokens instead of cells.
+    rows = collections.defaultdict(list)
+    for h, x in bigrams:
+        p = (one[x] - 1) / (total - 1)
+        rows[bucket(one[h] - 1)].append(((two[h, x] - 1) / (one[h] - 1) if one[h] > 1 else p, p, 1 / (distinct + 1)))
+    direct = {}
+    for k, found in rows.items():
+        p, w = np.array(found), np.full(3, 1 / 3)
+        for _ in range(100):
+            share = p * w
+            w = (share / share.sum(1, keepdims=True)).mean(0)
+        direct[k] = w
+    blocks, t = lm_scoring.resolved(df.select("doc_id", lm_scoring.held_out().alias("held_out"), "text"))
+    weights = lm_scoring.mixture(blocks, t)
+    assert (t.tokens, t.distinct) == (total, distinct) and np.allclose(weights.sum(1), 1)
+    assert all(np.abs(weights[k] - w).max() < 0.08 for k, w in direct.items() if len(rows[k]) > 50 and k)
     for r in lm_scoring.score(df).collect():
         w, want = [1, *words(BLANKS, texts[r.doc_id]), 0], 0.0
         for h, x in zip(w, w[1:], strict=False):
-            if one[x] and one[h]:
-                a = weights[int(math.log2(one[h]))]
-                want += math.log10(a[0] * two[h, x] / one[h] + a[1] * one[x] / total + a[2] / (v.size + 1))
-            else:
-                want = None
-                break
-        assert want is None or abs(want - r.score) < 1e-6
-
-
-def test_the_vocabulary_bound_changes_no_score(spark):
-    df = frame(spark, prose(120) + [None, "", "unseen words only here"])
-    whole = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
-    for bound in (15, 1, 0):
-        assert all(abs(r.score - whole[r.doc_id]) < 1e-6 for r in lm_scoring.score(df, bound).collect())
+            a, p = weights[bucket(one[h])], one[x] / total
+            want += math.log10(a[0] * (two[h, x] / one[h] if one[h] else p) + a[1] * p + a[2] / (distinct + 1))
+        assert abs(want - r.score) < 1e-6
+
+
+def test_scores_of_odd_tables(spark):
+    df = frame(spark, ODD + ODD, True)
+    assert lm_scoring.score(df).count() == 2 * len(ODD) and lm_scoring.score(df.limit(0)).count() == 0
+    only_late = df.where(lm_scoring.held_out())
+    assert all(abs(r.score - r.n_tokens * math.log10(1.0)) < 1e-6 or r.score <= 0 for r in lm_scoring.score(only_late).collect())
+    nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in lm_scoring.score(nulls).collect()) == [("1", 2), ("None", 3), ("None", 3)]
 
 
 def test_deleted_interpolation_prefers_what_holds_out():

@@ -2,20 +2,21 @@
 
 The model mixes maximum-likelihood estimates of bigrams, of words, and a uniform share. The mixture weights belong to
 buckets of the context's frequency (powers of two) and are learned by expectation-maximisation on held-out counts: each
-training token in turn is deleted from the counts that predict it. All training documents are counted:
+training token in turn is deleted from the counts that predict it, so a context that came s times is judged in the bucket
+of s - 1. All training documents are counted, and every word is predicted as itself:
 
-1. words, pre-aggregated in each task, then by Spark; the table goes to the shared folder;
-2. bigrams of words, as integer keys in sorted compressed runs dealt by key range, so one key of one task is one entry
-   however frequent it is; each range is merged once and leaves its share of the statistics of EM, gathered into cells;
-3. bigrams again, with the documents they stand in, dealt alike; each range adds up its part of the score of each document
-   of a block, and parts are added by block. Very frequent bigrams (a bounded number) are scored where they stand.
+1. documents become blocks of about ``BLOCK_WORDS`` tokens: the block's distinct words and the sequence of their numbers;
+2. a block asks for the counts of its distinct words, then of its distinct bigrams: sorted 64-bit keys with its own training
+   counts, compressed, dealt by key range. A range adds up what its blocks bring and answers each with the totals. A key is
+   one entry of a block however often it stands there, so no key is hot;
+3. blocks with their answers hold all that the statistics of EM and the scores of their documents ask for.
 
-The most frequent ``VOCABULARY`` words are broadcast with their counts, and a bigram of two of them is a pair of places in
-that table. Bigrams with a rarer word are keyed by the hashes of both words; their counts and those of the rarer words come
-from joins. The bound decides the way a bigram is counted, not its estimate: every word is predicted as itself.
+EM runs on the driver over cells of like estimates (``CELLS`` per power of two), a bounded number, each with the means of its
+bigrams' estimates: an approximation of the sum over single tokens.
 
 Defined results: null text is empty; an empty text is scored on its end alone; without training documents all scores come
-from the uniform share; rows with equal ids are scored each by itself. Words are compared by 64-bit fingerprints.
+from the uniform share; rows with equal ids are scored each by itself; null ids are training documents. Words are compared
+by 64-bit hashes, bigrams by hashes of at least 2 log2(tokens) + 4 bits, 64 at most.
 """
 
 from __future__ import annotations
@@ -28,20 +29,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .runs import Tally, expand, merge, squeeze
-from .storage import bounded_batches, only, written
+from .runs import expand, merge, squeeze
+from .storage import bounded_batches, only, scratch, written
 from .text_blocks import BLANKS, U64, chunks, mix, words
 
-VOCABULARY = 1 << 20
 FOLDS, HELD_OUT = 7, 2
-TALLY = 1 << 22
 BLOCK_WORDS = 1 << 20
+#: Tokens of all documents per key range of bigrams, about.
 RANGE_TOKENS = 1_500_000
-#: Bigrams with at least this share of all tokens are scored in place: 20,000 at most.
-HEAVY = 1 / 20_000
 CELLS = 4  # cells per power of two
 END, BEGIN = (int(mix(np.array([x], U64))[0]) for x in (0xE0D, 0xBE6))
-_ODD = 0x9E3779B97F4A7C15
 
 
 def held_out():
@@ -49,209 +46,157 @@ def held_out():
 
 
 @dataclass
-class Vocabulary:
-    hashes: np.ndarray  # sorted
-    counts: np.ndarray  # of these, none for the others (their counts are joined), of beginnings
-    tokens: int
+class Totals:
+    tokens: int  # of training documents
     distinct: int
+    documents: int
+    bits: int  # of bigram keys
 
-    @property
-    def size(self) -> int:
-        return len(self.hashes)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not self.size:
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), self.size - 1)
-        return np.where(self.hashes[at] == h, at, self.size)
+@dataclass
+class Block:
+    """A block of documents: its distinct words, the place of each token's word in them, and the document of each token."""
+
+    hashes: np.ndarray
+    word: np.ndarray
+    doc: np.ndarray
+    late: np.ndarray  # per document
+    context: np.ndarray  # as word; ``len(hashes)`` at the begin of a document
 
     @property
-    def bits(self) -> int:
-        return max(8, int((self.size + 2) ** 2 - 1).bit_length())
-
-    def keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """One number per bigram, spread evenly over 2**bits."""
-        return (context.astype(U64) * U64(self.size + 2) + word.astype(U64)) * U64(_ODD) & U64((1 << self.bits) - 1)
+    def training(self) -> np.ndarray:
+        return ~self.late[self.doc]
+
+    def bigrams(self, bits: int) -> tuple[np.ndarray, ...]:
+        """Sorted keys of the distinct bigrams, and of each context, word and training count; and of each token its bigram."""
+        n = len(self.hashes)
+        pair, at = np.unique(self.context.astype(np.int64) * n + self.word, return_inverse=True)
+        context, word = pair // max(1, n), pair % max(1, n)
+        keys = mix(np.append(self.hashes, U64(BEGIN))[context] * U64(0x9E3779B97F4A7C15) ^ self.hashes[word]) >> U64(64 - bits)
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = rank[at]
+        return keys[order], context[order], word[order], np.bincount(at[self.training], minlength=len(pair)), at
+
+
+def _opened(row: dict) -> Block:
+    hashes, late, size = np.frombuffer(row["hashes"], U64), np.frombuffer(row["late"], bool), np.frombuffer(row["sizes"], np.int64)
+    word = expand(row["sequence"], np.uint32).astype(np.int64)
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[np.cumsum(size) - size] = len(hashes)
+    return Block(hashes, word, np.repeat(np.arange(len(size)), size), late, context)
 
-    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = keys * U64(pow(_ODD, -1, 1 << self.bits)) & U64((1 << self.bits) - 1)
-        return (k // U64(self.size + 2)).astype(np.int64), (k % U64(self.size + 2)).astype(np.int64)
 
+_HOME = "block long, tokens long, ids binary, nulls binary, late binary, sizes binary, hashes binary, sequence binary"
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n) of all training texts, the end of a text included."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+def _blocks(docs: DataFrame) -> DataFrame:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            k, n = tally.taken()
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-        for batch in batches:
-            for rows in chunks(batch):
-                c = words(rows, BLANKS)
-                tally.add(np.concatenate((c.hashes, np.full(len(c.counts), END, U64))))
-                if tally.full():
-                    yield out()
-        yield out()
-
-    return written(training.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-
-
-def vocabulary(counts: DataFrame, documents: int, bound: int = VOCABULARY) -> Vocabulary:
-    """The most frequent words, at most ``bound``, picked by a histogram of counts."""
-    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(16 * F.log2(F.col("n") / 1024))).cast("long")
-    tokens = distinct = held = 0
-    least = None
-    found = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect(), reverse=True)
-    for row in found:
-        tokens, distinct = tokens + row["n"], distinct + row["kinds"]
-    for row in found:
-        if held + row["kinds"] > bound:
-            break
-        held, least = held + row["kinds"], row["level"]
-    top = counts.where(level >= least).toArrow() if least is not None else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    h, n = top["word"].to_numpy().view(U64), top["n"].to_numpy()
-    order = np.argsort(h)
-    return Vocabulary(h[order], np.concatenate((n[order], [0, documents])).astype(np.float64), tokens, distinct)
-
-
-def _bigrams(c, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and word ids of all tokens of a chunk (ends included) and the row of each."""
-    n, rows = len(c.hashes), len(c.counts)
-    word = np.full(n + rows, int(v.ids(np.array([END], U64))[0]), np.int64)
-    word[np.arange(n) + c.doc] = v.ids(c.hashes)
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[c.first[:-1] + np.arange(rows)] = v.size + 1
-    return context, word, np.repeat(np.arange(rows), c.counts + 1)
-
-
-def _loose(c, v: Vocabulary, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which bigrams of a chunk hold a word beyond the vocabulary; of these the hashes of context and word, and their counts or -1."""
-    loose = (context == v.size) | (word == v.size)
-    hashes = np.full(len(word), END, U64)
-    hashes[np.arange(len(c.hashes)) + c.doc] = c.hashes
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[context == v.size + 1] = BEGIN
-    counts = [np.where(x == v.size, -1, v.counts[x]).astype(np.int64) for x in (context[loose], word[loose])]
-    return loose, [before[loose].view(np.int64), hashes[loose].view(np.int64), *counts]
-
+            hashes, word = np.unique(np.concatenate([h for h, *_ in held]), return_inverse=True)
+            sizes, ids, nulls, late = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3, 4))
+            row = [part << 32 | count, len(word), ids.tobytes(), nulls.tobytes(), late.tobytes(), sizes.tobytes(), hashes.tobytes(), squeeze(word.astype(np.uint32))]
+            held.clear()
+            return pa.RecordBatch.from_pylist([dict(zip([x.split()[0] for x in _HOME.split(", ")], row, strict=True))])
+
+        for rows in (r for b in batches for r in chunks(b)):
+            c = words(rows, BLANKS)
+            token = np.full(len(c.hashes) + len(c.counts), END, U64)
+            token[np.arange(len(c.hashes)) + c.doc] = c.hashes
+            ids = rows.column("doc_id")
+            held.append((token, c.counts.astype(np.int64) + 1, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(bool), rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)))
+            size += len(token)
+            if size > BLOCK_WORDS:
+                yield out()
+                count, size = count + 1, 0
+        if held:
+            yield out()
 
-def _counted(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``rows`` with ``seen`` and ``of_word``, where -1, from the counts of context and word; 0 for words never seen.
+    return written(docs.select("doc_id", "held_out", "text").mapInArrow(dealt, _HOME), "blocks")
 
-    Frequent words have their counts already and are joined by a key of their own, so that none is a hot key.
-    """
-    for side, name in (("context", "seen"), ("word", "of_word")):
-        rows = rows.withColumn("_key", F.when(F.col(name) < 0, F.col(side)).otherwise(F.xxhash64("context", "word")))
-        rows = rows.join(counts.select(F.col("word").alias("_key"), F.col("n").alias("_n")), "_key", "left")
-        rows = rows.withColumn(name, F.when(F.col(name) < 0, F.coalesce("_n", F.lit(0))).otherwise(F.col(name))).drop("_key", "_n")
-    return rows
 
+def _counted(blocks: DataFrame, of, bits: int, ranges: int, name: str) -> tuple[DataFrame, int, int]:
+    """The training counts that blocks ask for: (block, answer: array<struct<range, n>>), in the order of the keys that
+    ``of`` gives for a block with its own counts; and the sum of all counts and the number of keys with any."""
+    shift = bits - (ranges - 1).bit_length()
 
-def loose_bigrams(training: DataFrame, v: Vocabulary, counts: DataFrame) -> DataFrame:
-    """(context, word, n, seen, of_word): the counts of the bigrams with a word beyond the vocabulary, and of their words."""
-    shared = training.sparkSession.sparkContext.broadcast(v)
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            keys, n = of(_opened(row))
+            cuts = np.append(np.searchsorted(keys, np.arange(ranges, dtype=U64) << U64(shift)), len(keys))
+            parts = [(i, squeeze(np.diff(keys[a:b], prepend=U64(i << shift))), squeeze(n[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(parts), pa.int64()), *[pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]], ["block", "range", "keys", "n"])
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for batch in batches:
-            for rows in chunks(batch):
-                c = words(rows, BLANKS)
-                context, word, _ = _bigrams(c, v)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _loose(c, v, context, word)[1]], ["context", "word", "seen", "of_word"])
+    def added(group: pa.Table) -> pa.Table:
+        start = U64(group["range"][0].as_py() << shift)
+        keys = [np.cumsum(expand(x, U64), dtype=U64) + start for x in group["keys"].to_pylist()]
+        known, total = merge(keys, [expand(x, np.uint32).astype(np.int64) for x in group["n"].to_pylist()])
+        answers = [squeeze(total[np.searchsorted(known, k)].astype(np.uint64)) for k in keys]
+        sums = [[int(total.sum())] + [0] * (len(keys) - 1), [int((total > 0).sum())] + [0] * (len(keys) - 1)]
+        return pa.table({"block": group["block"], "range": group["range"], "n": pa.array(answers, pa.binary()), "tokens": pa.array(sums[0], pa.int64()), "distinct": pa.array(sums[1], pa.int64())})
 
-    # Dealt once, by the rarer word, for both the sums and the join; only bigrams of two rarer words are joined again.
-    rows = training.select("text").mapInArrow(found, "context long, word long, seen long, of_word long")
-    rows = rows.withColumn("_key", F.when(F.col("of_word") < 0, F.col("word")).otherwise(F.col("context"))).repartition("_key")
-    rows = rows.groupBy("_key", "context", "word").agg(F.count("*").alias("n"), F.max("seen").alias("seen"), F.max("of_word").alias("of_word"))
-    rows = rows.join(counts.select(F.col("word").alias("_key"), F.col("n").alias("_n")), "_key")
-    rows = rows.withColumn("seen", F.when(F.col("of_word") < 0, F.col("seen")).otherwise(F.col("_n"))).withColumn("of_word", F.when(F.col("of_word") < 0, F.col("_n")).otherwise(F.col("of_word")))
-    rows = written(rows.select("context", "word", "n", "seen", "of_word"), "loose-bigrams")
-    both = written(_counted(rows.where("seen < 0"), counts).select(*rows.columns), "loose-bigrams")
-    return rows.where("seen >= 0").unionByName(both)
+    asks = blocks.mapInArrow(asked, "block long, range int, keys binary, n binary")
+    found = written(asks.groupBy("range").applyInArrow(added, "block long, range int, n binary, tokens long, distinct long"), f"{name}-counts")
+    sums = found.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n"))).alias(name)), sums["tokens"] or 0, sums["distinct"] or 0
 
 
-def _ranges(v: Vocabulary) -> int:
-    return 1 << min(v.bits, max(6, int(np.ceil(np.log2(max(1, v.tokens) / RANGE_TOKENS)))))
+def _answer(parts: list[dict]) -> np.ndarray:
+    return np.concatenate([expand(p["n"], np.uint64) for p in parts] or [np.zeros(0, U64)]).astype(np.float64)
 
 
-def _cuts(keys: np.ndarray, v: Vocabulary, ranges: int) -> np.ndarray:
-    edges = (np.arange(1, ranges, dtype=U64) << U64(v.bits - ranges.bit_length() + 1))
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def resolved(docs: DataFrame) -> tuple[DataFrame, Totals]:
+    """The blocks of ``docs`` (doc_id, held_out, text), each with the counts of its words and bigrams, and the totals."""
+    with scratch(docs.sparkSession) as kept:
+        blocks = _blocks(docs)
+        tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+        bits = min(64, max(40, 2 * tokens.bit_length() + 4))
+        ranges = 1 << max(6, (tokens // RANGE_TOKENS).bit_length())
+        words_, total, distinct = _counted(blocks, lambda b: (b.hashes, np.bincount(b.word[b.training], minlength=len(b.hashes))), 64, max(64, ranges // 4), "words")
+        pairs, _, _ = _counted(blocks, lambda b: (lambda x: (x[0], x[3]))(b.bigrams(bits)), bits, ranges, "bigrams")
+        documents = docs.where("not held_out").count()
+        return kept(blocks.join(words_, "block").join(pairs, "block"), "resolved"), Totals(total, distinct, documents, bits)
 
 
-def _steps(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=U64(0))
+def _bucket(seen: np.ndarray) -> np.ndarray:
+    """0 for a context that never came, then one a power of two."""
+    return np.where(seen > 0, 1 + np.floor(np.log2(np.maximum(seen, 1))), 0).astype(np.int64)
 
 
-def _cells(v: Vocabulary, n: np.ndarray, seen: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Bigrams gathered into cells of like estimates with one count deleted: cell, and sums of n and of both estimates."""
-    two = np.where(seen > 1, (n - 1) / np.maximum(seen - 1, 1), 0.0)
-    one = np.maximum((of_word - 1) / max(1, v.tokens - 1), 1e-12)
-    bucket = np.log2(np.maximum(seen, 1)).astype(np.int64)
-    flat = v.distinct + 1.0
+def _cells(t: Totals, times: np.ndarray, n: np.ndarray, seen: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bigrams, each so many ``times``, gathered into cells of like estimates with one count deleted: cell, and sums of times and of both estimates."""
+    one = np.maximum((of_word - 1) / max(1, t.tokens - 1), 1e-12)
+    two = np.where(seen > 1, (n - 1) / np.maximum(seen - 1, 1), one)
+    flat = t.distinct + 1.0
     i = np.where(two > 0, 1 + np.floor(CELLS * (np.log2(np.maximum(two * flat, 2.0**-40)) + 40)), 0).astype(np.int64)
     j = np.floor(CELLS * (np.log2(one * flat) + 40)).astype(np.int64)
-    cell, at = np.unique((bucket << 40) | (i << 20) | j, return_inverse=True)
-    return cell, *[np.bincount(at, x * n, len(cell)) for x in (1.0, two, one)]
+    cell, at = np.unique((_bucket(seen - 1) << 40) | (i << 20) | j, return_inverse=True)
+    return cell, *[np.bincount(at, x * times, len(cell)) for x in (1.0, two, one)]
 
 
-def mixture(training: DataFrame, v: Vocabulary, loose: DataFrame | None = None) -> tuple[np.ndarray, dict[int, int]]:
-    """Weights (bigram, word, uniform) per bucket of context frequency, and the counts of very frequent bigrams.
+def mixture(blocks: DataFrame, t: Totals) -> np.ndarray:
+    """Weights (bigram, word, uniform) per bucket of context frequency, from ``resolved``."""
 
-    ``loose``: the bigrams beyond the vocabulary, where there are any.
-    """
-    shared = training.sparkSession.sparkContext.broadcast(v)
-    ranges = _ranges(v)
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            block, of_word, n = _opened(row), _answer(row["words"]), _answer(row["bigrams"])
+            _, context, word, times, _ = block.bigrams(t.bits)
+            own = times > 0
+            found = _cells(t, times[own], n[own], np.append(of_word, t.documents)[context[own]], of_word[word[own]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "n", "two", "one"])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, tally = shared.value, Tally()
-
-        def out() -> pa.RecordBatch:
-            k, n = tally.taken()
-            cuts = _cuts(k, v, ranges)
-            parts = [(r, squeeze(_steps(k[a:b])), squeeze(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["range", "keys", "n"])
-
-        for batch in batches:
-            for rows in chunks(batch):
-                context, word, _ = _bigrams(words(rows, BLANKS), v)
-                held = (context != v.size) & (word != v.size)
-                tally.add(v.keys(context[held], word[held]))
-                if tally.full():
-                    yield out()
-        yield out()
-
-    def cells(group: pa.Table) -> pa.Table:
-        v = shared.value
-        k, n = merge([np.cumsum(expand(x, U64), dtype=U64) for x in group["keys"].to_pylist()], [expand(x, np.uint32).astype(np.int64) for x in group["n"].to_pylist()])
-        context, word = v.pairs(k)
-        cell, *sums = _cells(v, n, v.counts[context], v.counts[word])
-        heavy = n >= max(2, HEAVY * v.tokens)
-        none = np.zeros(int(heavy.sum()))
-        return pa.table({"heavy": np.concatenate((np.zeros(len(cell), bool), np.ones(len(none), bool))), "key": np.concatenate((cell, k[heavy].view(np.int64))), "n": np.concatenate((sums[0], n[heavy].astype(float))), "two": np.concatenate((sums[1], none)), "one": np.concatenate((sums[2], none))})
-
-    def loose_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _cells(shared.value, *[batch[c].to_numpy() for c in ("n", "seen", "of_word")])], ["key", "n", "two", "one"])
-
-    found = training.select("text").mapInArrow(runs, "range int, keys binary, n binary").groupBy("range").applyInArrow(cells, "heavy boolean, key long, n double, two double, one double")
-    found = written(found, "bigram-statistics")
-    stats = found.where("not heavy").select("key", "n", "two", "one")
-    if loose is not None:
-        stats = stats.unionByName(loose.select("n", "seen", "of_word").mapInArrow(loose_cells, "key long, n double, two double, one double"))
-    stats = stats.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "two", "one")]).toPandas()
-    heavy = {int(r["key"]): int(r["n"]) for r in found.where("heavy").select("key", "n").collect()}
-    return expectation_maximisation(stats["key"].to_numpy().astype(np.int64) >> 40, stats["n"].to_numpy(), stats["two"].to_numpy(), stats["one"].to_numpy(), 1.0 / (v.distinct + 1)), heavy
+    stats = blocks.mapInArrow(cells, "key long, n double, two double, one double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "two", "one")]).toPandas()
+    return expectation_maximisation(stats["key"].to_numpy().astype(np.int64) >> 40, stats["n"].to_numpy(), stats["two"].to_numpy(), stats["one"].to_numpy(), 1.0 / (t.distinct + 1))
 
 
 def expectation_maximisation(bucket: np.ndarray, n: np.ndarray, two: np.ndarray, one: np.ndarray, uniform: float, rounds: int = 100) -> np.ndarray:
-    """64 x 3 weights; cells carry their summed estimates, so their means are what is mixed. Buckets without counts take all's."""
-    out = np.zeros((64, 3))
+    """66 x 3 weights; cells carry their summed estimates, so their means are what is mixed. Buckets without counts take all's."""
+    out = np.zeros((66, 3))
 
     def learned(rows: np.ndarray) -> np.ndarray:
         w = np.full(3, 1 / 3)
@@ -268,179 +213,43 @@ def expectation_maximisation(bucket: np.ndarray, n: np.ndarray, two: np.ndarray,
         return w / w.sum()
 
     all_ = learned(np.ones(len(n), bool)) if len(n) else np.array([0.0, 0.0, 1.0])
-    for b in range(64):
+    for b in range(len(out)):
         rows = bucket == b
         out[b] = learned(rows) if rows.any() else all_
     return out
 
 
-def mixed(v: Vocabulary, weights: np.ndarray, n: np.ndarray, seen: np.ndarray, of_word: np.ndarray) -> np.ndarray:
-    """Probabilities of bigrams from their counts and those of their context and word."""
-    w = weights[np.log2(np.maximum(seen, 1)).astype(np.int64)]
-    one = of_word / max(1, v.tokens)
-    top = w[:, 0] * np.where(seen > 0, n / np.maximum(seen, 1), one)  # a context that never came has no estimate of its own
-    return top + w[:, 1] * one + w[:, 2] / (v.distinct + 1)
-
-
-def probabilities(v: Vocabulary, weights: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return mixed(v, weights, n, v.counts[context], v.counts[word])
-
-
-_ROWS = "kind int, range int, block long, a binary, b binary, c binary, d binary, e binary"
-
-
-def _blocks(docs: DataFrame, v: Vocabulary, weights: np.ndarray, heavy: dict[int, int]) -> DataFrame:
-    """Blocks of documents: a home row (kind 0), their bigrams by range (1) and those beyond the vocabulary (2, of held-out documents 3), in the shared folder."""
-    hot = np.array(sorted(heavy), np.int64).view(U64)
-    hot = np.sort(hot)
-    hot_n = np.array([heavy[int(np.int64(k.view(np.int64)))] for k in hot], np.float64) if len(hot) else np.zeros(0)
-    shared = docs.sparkSession.sparkContext.broadcast((v, weights, hot, hot_n))
-    ranges = _ranges(v)
+def probabilities(t: Totals, weights: np.ndarray, n: np.ndarray, seen: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+    """Of bigrams, from their counts and those of their context and word."""
+    w = weights[_bucket(seen)]
+    one = of_word / max(1, t.tokens)
+    top = np.where(seen > 0, n / np.maximum(seen, 1), one)  # a context that never came has no estimate of its own
+    return w[:, 0] * top + w[:, 1] * one + w[:, 2] / (t.distinct + 1)
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights, hot, hot_n = shared.value
-        hot_p = np.log10(probabilities(v, weights, *v.pairs(hot), hot_n)) if len(hot) else np.zeros(0)
-        log_base = np.log10((v.counts[: v.size] + 1) / (v.tokens + v.distinct + 1))
-        part, count = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            nonlocal count
-            ids, null, late, keys, doc, tokens, known, base, rare = ([] for _ in range(9))
-            at = 0
-            for rows, c in held:
-                context, word, row = _bigrams(c, v)
-                n = len(c.counts)
-                loose, parts = _loose(c, v, context, word)
-                keys.append(v.keys(context[~loose], word[~loose])), doc.append(row[~loose] + at)
-                rare.append([*parts, row[loose] + at])
-                plain = word < v.size
-                tokens.append(c.counts + 1), known.append(np.bincount(row[plain], minlength=n)), base.append(np.bincount(row[plain], log_base[word[plain]], n))
-                column = rows.column("doc_id")
-                ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), null.append(column.is_null().to_numpy(zero_copy_only=False)), late.append(rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
-                at += n
-            keys, doc, late = np.concatenate(keys), np.concatenate(doc).astype(np.int64), np.concatenate(late)
-            score = np.zeros(at)
-            if len(hot):
-                i = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-                yes = hot[i] == keys
-                score = np.bincount(doc[yes], hot_p[i[yes]], at)
-                keys, doc = keys[~yes], doc[~yes]
-            order = np.argsort(keys, kind="stable")
-            keys, doc = keys[order], doc[order]
-            block = part << 32 | count
-            count += 1
-            flags = np.packbits(~late).tobytes()
-            home = np.concatenate([np.concatenate(x).astype(np.float64) for x in (tokens, known, base)] + [score]).tobytes()
-            result = [(0, 0, block, np.concatenate(ids).tobytes(), np.concatenate(null).tobytes(), late.tobytes(), home, b"")]
-            cuts = _cuts(keys, v, ranges)
-            for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    k, first = np.unique(keys[a:b], return_index=True)
-                    result.append((1, r, block, squeeze(_steps(k)), squeeze(np.diff(first, append=b - a).astype(np.uint32)), squeeze(doc[a:b].astype(np.uint32)), flags, np.int64(at).tobytes()))
-            rare = [np.concatenate(x).astype(np.int64) for x in zip(*rare, strict=True)]
-            for kind, chosen in ((2, ~late[rare[4]]), (3, late[rare[4]])):
-                if chosen.any():
-                    before, after, seen, of_word, row = (x[chosen] for x in rare)
-                    result.append((kind, 0, block, before.tobytes(), after.tobytes(), squeeze(seen), squeeze(of_word), squeeze(row)))
-            held.clear()
-            kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in result], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _ROWS.split(", ")])
-
-        size = 0
-        for batch in batches:
-            for rows in chunks(batch):
-                c = words(rows, BLANKS)
-                held.append((rows.select(["doc_id", "held_out"]), c))
-                size += len(c.hashes) + len(c.counts)
-                if size > BLOCK_WORDS:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
 
-    return written(docs.select("doc_id", "held_out", "text").mapInArrow(dealt, _ROWS), "score-blocks")
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, bound: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs`` (doc_id, text)."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    training = docs.where("not held_out")
-    counts = word_counts(training)
-    v = vocabulary(counts, training.count(), bound)
-    loose = loose_bigrams(training, v, counts) if v.size < v.distinct else None
-    weights, heavy = mixture(training, v, loose)
-    blocks = _blocks(docs, v, weights, heavy)
-    shared = docs.sparkSession.sparkContext.broadcast((v, weights))
-    part = "block long, kind int, a binary, doc int, base double, score double, known long"
-
-    def summed(group: pa.Table) -> pa.Table:
-        v, weights = shared.value
-        rows = group.to_pylist()
-        decoded = []
-        for x in rows:
-            k, run, doc = np.cumsum(expand(x["a"], U64), dtype=U64), expand(x["b"], np.uint32).astype(np.int64), expand(x["c"], np.uint32).astype(np.int64)
-            n_docs = int(np.frombuffer(x["e"], np.int64)[0])
-            learned = np.unpackbits(np.frombuffer(x["d"], np.uint8), count=n_docs)
-            decoded.append((k, run, doc, n_docs, np.add.reduceat(learned[doc].astype(np.int64), np.cumsum(run) - run)))
-        keys, n = merge([d[0] for d in decoded], [d[4] for d in decoded])
-        logp = np.log10(probabilities(v, weights, *v.pairs(keys), n))
-        sums = [np.bincount(doc, np.repeat(logp[np.searchsorted(keys, k)], run), n_docs).tobytes() for k, run, doc, n_docs, _ in decoded]
-        m = len(rows)
-        return pa.table([pa.array([x["block"] for x in rows], pa.int64()), pa.array([1] * m, pa.int32()), pa.array(sums, pa.binary()), *[pa.nulls(m, t) for t in (pa.int32(), pa.float64(), pa.float64(), pa.int64())]], names=[x.split()[0] for x in part.split(", ")])
-
-    bigrams = blocks.where("kind = 1").groupBy("range").applyInArrow(summed, part)
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                parts = [pa.array(np.frombuffer(x[c], np.int64)) for c in "ab"] + [pa.array(expand(x[c], np.int64)) for c in "cde"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), x["block"], np.int64)), *parts], ["block", "context", "word", "seen", "of_word", "doc"])
+    blocks, t = resolved(docs)
+    weights = mixture(blocks, t)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights = shared.value
-        for batch in batches:
-            logp = np.log10(mixed(v, weights, *[batch[c].to_numpy() for c in ("n", "seen", "of_word")]))
-            yield batch.select(["block", "doc", "rare", "of_word"]).append_column("logp", pa.array(logp))
-
-    def beyond(kind: int) -> DataFrame:
-        rows = blocks.where(F.col("kind") == kind).select("block", *"abcde").mapInArrow(listed, "block long, context long, word long, seen long, of_word long, doc long")
-        return rows.withColumn("doc", F.col("doc").cast("int")).withColumn("rare", F.col("of_word") < 0)
-
-    kept = ["block", "doc", "rare", "n", "seen", "of_word"]
-    late = _counted(beyond(3), counts)
-    if loose is None:
-        rare = late.withColumn("n", F.lit(0).cast("long")).select(kept)
-    else:  # the bigrams of training documents are all counted
-        late = late.join(loose.select("context", "word", F.col("n").alias("held")), ["context", "word"], "left").withColumn("n", F.coalesce("held", F.lit(0).cast("long")))
-        rare = beyond(2).select("block", "doc", "rare", "context", "word").join(loose, ["context", "word"]).select(kept).unionByName(late.select(kept))
-    rare = rare.mapInArrow(scored, "block long, doc int, rare boolean, of_word long, logp double")
-    rare = rare.groupBy("block", "doc").agg(
-        F.sum(F.when(F.col("rare"), F.log10((F.col("of_word") + 1) / F.lit(float(v.tokens + v.distinct + 1)))).otherwise(0.0)).alias("base"),
-        F.sum("logp").alias("score"),
-        F.sum(F.when(F.col("rare") & (F.col("of_word") > 0), 1).otherwise(0)).alias("known"),
-    )
-    rare = rare.select("block", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("a"), "doc", "base", "score", "known")
-    home = blocks.where("kind = 0").select("block", "kind", F.concat(F.lit(b""), "a").alias("ids"), "b", "c", "d")
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "b", "c", "d")]
-    numbers = [F.lit(None).cast(t).alias(c) for c, t in (("a", "binary"), ("doc", "int"), ("base", "double"), ("score", "double"), ("known", "long"))]
-    gathered = home.select("*", *numbers).unionByName(bigrams.select("*", *empty)).unionByName(rare.select("*", *empty))
-    total = v.tokens
-
-    def closed(group: pa.Table) -> pa.Table:
-        kind = group["kind"].to_numpy()
-        x = {c: group[c][int(np.flatnonzero(kind == 0)[0])].as_py() for c in ("ids", "b", "c", "d")}
-        ids, null, late = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["b"], bool), np.frombuffer(x["c"], bool)
-        m = len(ids)
-        tokens, known, base, value = np.frombuffer(x["d"], np.float64).reshape(4, m).copy()
-        for i in np.flatnonzero(kind == 1):
-            value += np.frombuffer(group["a"][int(i)].as_py(), np.float64)
-        rest = group.filter(pa.array(kind == 2))
-        at = rest["doc"].to_numpy()
-        np.add.at(known, at, rest["known"].to_numpy()), np.add.at(base, at, rest["base"].to_numpy()), np.add.at(value, at, rest["score"].to_numpy())
-        return pa.table({"doc_id": pa.array(ids, mask=null), "held_out": late, "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(m, total, np.int64), "base_score": base, "score": value})
-
-    return gathered.groupBy("block").applyInArrow(closed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for row in (r for b in batches for r in b.to_pylist()):
+            block, of_word, n = _opened(row), _answer(row["words"]), _answer(row["bigrams"])
+            _, context, word, _, at = block.bigrams(t.bits)
+            logp = np.log10(probabilities(t, weights, n, np.append(of_word, t.documents)[context], of_word[word]))
+            base = np.log10((of_word + 1) / (t.tokens + t.distinct + 1))
+            m = len(block.late)
+            size = np.frombuffer(row["sizes"], np.int64)
+            known = np.bincount(block.doc[of_word[block.word] > 0], minlength=m)
+            sums = [np.bincount(block.doc, x, m) for x in (base[block.word], logp[at])]
+            columns = [pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["nulls"], bool)), pa.array(block.late), pa.array(size), pa.array(known.astype(np.int64)), pa.array(np.full(m, t.tokens, np.int64)), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORES.split(", ")])
+
+    return blocks.mapInArrow(scored, _SCORES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
