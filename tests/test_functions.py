@@ -32,6 +32,7 @@ def test_lost_prefix_and_codes(spark):
     rows = spark.createDataFrame([("2030-2026-23", "ver NORTE-2030-2026-23 aqui"), ("9-1", "nada")], "r string, t string")
     assert [r[0] for r in rows.select(text.lost_prefix(F.col("r"), F.col("t"))).collect()] == ["NORTE-", None]
     assert values(spark, text.notice_codes, ["A-2026-1 a-2026-1 B-2025-2", None]) == [["A-2026-1", "B-2025-2"], []]
+    assert values(spark, text.notice_codes, ["MPr-2026-1 NORTE2030-2026-12345 norte-2026-1 x-NORTE2030-2026-12 Centro2030-2026-7 CENTRO2030-2026-7 2A-2026-1"]) == [["MPr-2026-1", "NORTE2030-2026-12", "Centro2030-2026-7"]]
 
 
 def test_amounts(spark):
@@ -58,6 +59,9 @@ def test_amounts(spark):
         ("10/2026", True, "2026-10-31 23:59:59", "mes"),
         ("2026-03-29", True, "2026-03-29 22:59:59", "dia"),
         ("31/02/2026", False, "2026-03-03 00:00:00", "dia"),
+        ("1.º trimestre de 2026", True, "2026-03-31 22:59:59", "mes"),
+        ("2.º quadrimestre de 2026", False, "2026-04-30 23:00:00", "mes"),
+        ("4.º quadrimestre de 2026", True, None, "desconhecida"),
         ("a definir", True, None, "desconhecida"),
     ],
 )

@@ -11,25 +11,34 @@ RATES = {"input": 5.0, "output": 25.0, "cache_write": 6.25, "cache_read": 0.5}
 BATCH_DISCOUNT = 0.5
 
 
+#: What a word or letter after a number multiplies it by.
+UNITS = {"milhao": 1_000_000, "milhoes": 1_000_000, "mlhao": 1_000_000, "mlhoes": 1_000_000, "m": 1_000_000, "m€": 1_000_000, "mil": 1000, "k": 1000, "k€": 1000}
+
+
+def _unit(t: Column) -> Column:
+    """The largest multiplier among the words of a text; a letter counts where it follows a number."""
+    words = F.split(F.regexp_replace(t, r"(?<=\d)(?=[a-z])", " "), r"[^a-z€0-9]+")
+    known = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    after = F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda word, before: F.when(word.isNull(), 1).when((F.length(word) > 1) & ~((word == "mil") & before.startswith("h")) | before.rlike("^[0-9]+$"), F.coalesce(F.try_element_at(known, word), F.lit(1))).otherwise(1))
+    return F.array_max(after)
+
+
 def amount(s: Column) -> Column:
-    """Euros as decimal(18,2) from Portuguese notation, or null."""
+    """Euros as decimal(18,2) from Portuguese notation, or null.
+
+    The first number counts. Its last mark of two kinds is the decimal one; of one kind, a comma is decimal and a point
+    before three digits, or a comma before three in a number without unit, parts thousands.
+    """
     t = comparable(s)
-    million = t.rlike(r"\bm(?:il?)?lh(?:o|oe)es?\b") | t.rlike(r"\bm€") | t.rlike(r"\d\s*m\b")
-    thousand = t.rlike(r"\bmil\b(?!\s*h)") | t.rlike(r"\d\s*k\b")
-    times = F.when(million, 1_000_000).when(thousand, 1000).otherwise(1)
-    n = F.regexp_replace(F.regexp_replace(F.regexp_extract(t, r"(\d[\d.,\s]*)", 1), r"\s", ""), r"[.,]$", "")
-    dot, comma = n.contains("."), n.contains(",")
-    no_dots, no_commas = F.replace(n, F.lit("."), F.lit("")), F.replace(n, F.lit(","), F.lit(""))
-    point = lambda x: F.regexp_replace(x, "^([^,]*),", "$1.")
-    plain = (
-        F.when(dot & comma & n.rlike(r",[^.]*$"), point(no_dots))
-        .when(dot & comma, no_commas)
-        .when(comma & n.rlike(r",\d{3}$") & (times == 1), no_commas)
-        .when(comma, point(n))
-        .when(dot & n.rlike(r"\.\d{3}$"), no_dots)
-        .otherwise(n)
-    )
-    return F.round(plain.try_cast("decimal(20,6)") * times, 2).cast("decimal(18,2)")
+    times = _unit(t)
+    digits = F.rtrim(F.regexp_replace(F.regexp_extract(t, r"\d[\d.,\s]*", 0), r"\s+", ""), F.lit(".,"))
+    marks = F.regexp_replace(digits, "[0-9]", "")
+    last, tail = F.substring(marks, -1, 1), F.length(digits) - F.length(F.regexp_replace(digits, "[0-9]+$", ""))
+    mixed = marks.contains(",") & marks.contains(".")
+    decimal = mixed | (last == ",") & ((tail != 3) | (times > 1)) | (last == ".") & (tail != 3) & (F.length(marks) == 1)
+    bare = F.translate(digits, ".,", "")
+    whole = F.concat(F.substring(bare, F.lit(1), F.length(bare) - tail), F.lit("."), F.right(bare, tail))
+    return F.round(F.when((marks != "") & decimal, whole).otherwise(bare).try_cast("decimal(20,6)") * times, 2).cast("decimal(18,2)")
 
 
 def percentage(s: Column) -> Column:

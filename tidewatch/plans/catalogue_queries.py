@@ -91,8 +91,8 @@ def catalogue_terminal_only(spark, d):
 
 @query(v.sql(v.FUNDS, body=f"select fund_id, concelho, ambito from funds where {_DEFAULT} and (ambito in ('nacional', 'continente') or concelho = (select n_name from nation where n_nationkey = 7))"))
 def catalogue_territory(spark, d):
-    name = v.table(spark, d, "nation").where("n_nationkey = 7").first()["n_name"]
-    return v.funds(spark, d).where(catalogue.predicate(catalogue.Filters(concelho=name))).select("fund_id", "concelho", "ambito")
+    place = v.table(spark, d, "nation").where("n_nationkey = 7").select(F.col("n_name").alias("lugar"))  # one row
+    return v.funds(spark, d).join(F.broadcast(place), (F.col("concelho") == F.col("lugar")) | F.col("ambito").isin("nacional", "continente")).where(catalogue.predicate(catalogue.Filters())).select("fund_id", "concelho", "ambito")
 
 
 @query(v.sql(v.FUNDS, v.FUND_MEASURES, body=f"""select fund_id, medidas from (select fund_id, string_agg(medida, ',' order by medida) medidas, list(medida) l from fund_measures group by 1) join funds using (fund_id)
@@ -217,10 +217,11 @@ _PAIRS = f"""pairs as (select p.user_id, f.fund_id, p.cancelou, f.alertavel, exi
   when not (ambito in ('nacional', 'continente') or concelho = u_concelho) then 'fora_do_territorio' when ja_enviado then 'ja_enviado' else 'corresponde' end regra from pairs"""))
 def match_reason(spark, d):
     own = v.table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("fund_id"))
-    shared = v.subscriptions(spark, d).where("activa").join(v.fund_measures(spark, d), "medida").join(own, ["user_id", "fund_id"]).select("user_id", "fund_id").distinct().withColumn("medida_comum", F.lit(True))
+    follows = v.subscriptions(spark, d).where("activa").groupBy("user_id").agg(F.collect_set("medida").alias("segue"))
+    offers = v.fund_measures(spark, d).groupBy("fund_id").agg(F.collect_set("medida").alias("medidas"))
     users = v.profiles(spark, d).select("user_id", "cancelou", "tipos", F.col("concelho").alias("u_concelho"))
-    rows = own.join(users, "user_id").join(v.funds(spark, d), "fund_id").join(shared, ["user_id", "fund_id"], "left")
-    rows = rows.withColumn("medida_comum", F.coalesce("medida_comum", F.lit(False))).withColumn("ja_enviado", (F.col("user_id") + F.col("fund_id")) % 17 == 0)
+    rows = own.join(users, "user_id").join(v.funds(spark, d), "fund_id").join(follows, "user_id", "left").join(offers, "fund_id", "left")
+    rows = rows.withColumn("medida_comum", F.coalesce(F.arrays_overlap("segue", "medidas"), F.lit(False))).withColumn("ja_enviado", (F.col("user_id") + F.col("fund_id")) % 17 == 0)
     return matching.explained(rows).select("user_id", "fund_id", "regra")
 
 
@@ -235,10 +236,10 @@ _CODES = "[200, 400, 429, 503, null][(event_id % 5)::int + 1]"
 
 
 @query(f"""select event_id id, case when c between 200 and 299 then 'enviado' when (c is null or c = 429 or c >= 500) and t < 5 then 'pendente' else 'falhou' end estado
-  from (select event_id, {_CODES} c, event_id % 6 t from events where event_id % 2 = 0)""")
+  from (select event_id, {_CODES} c, event_id % 6 t from events)""")
 def confirm_retry(spark, d):
     e = F.col("event_id")
-    rows = v.table(spark, d, "events").where(e % 2 == 0)
+    rows = v.table(spark, d, "events")
     code = F.when(e % 5 == 0, 200).when(e % 5 == 1, 400).when(e % 5 == 2, 429).when(e % 5 == 3, 503)
     box = rows.select(e.alias("id"), F.lit("a_enviar").alias("estado"), (e % 6).alias("tentativas"), e.alias("pedido_id"))
     return matching.confirmed(box, rows.select(e.alias("id"), code.alias("status_code"))).select("id", "estado")
