@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .components import components
 from .marks import marked, without
 from .runs import Tally, expand, squeeze
-from .storage import bounded_batches, only, scratch, written
+from .storage import bounded_batches, only, released, scratch, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
 
 WORDS, PERCENT = 5, 80
@@ -412,7 +412,9 @@ def _joined(docs: DataFrame, percent: int, pairs: bool) -> tuple[DataFrame, Data
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = surveyed(docs)
     classes = members(survey, percent)
-    met = written(meetings(indexed(docs, *sketch(survey), percent), classes, percent), "meetings")
+    released(docs.sparkSession)
+    with scratch(docs.sparkSession) as kept:  # the index is the largest: it goes before sets are moved
+        met = kept(meetings(indexed(docs, *sketch(survey), percent), classes, percent), "meetings")
     rows = cells(met, classes)
     wanted = written(rows.select("fp").distinct().join(classes.select("fp", "doc_id"), "fp").select("doc_id"), "wanted")
     return survey, classes, verified(rows, sets_of(docs, wanted), percent, pairs)

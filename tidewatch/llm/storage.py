@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _saved(df, name, _open[-1] if _open else None)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of jobs that are done: it does so once the driver collects their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Deletes what is ``written`` inside at its end. It gives a function that writes a table which stays, until the scratch
@@ -60,6 +67,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         for path in mine:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        released(spark)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
