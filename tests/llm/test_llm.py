@@ -444,6 +444,15 @@ def test_html_extraction(spark):
     assert [got[i].text for i in range(2, 7)] == ["", "", "cut off here", "no tags at all", ""] and got[0].n_chars == len(got[0].text)
 
 
+def test_html_of_deep_pages_comments_and_names():
+    deep = "<article>" + "<div>" * 3000 + "<p>Text that lies deep within the page.</p>" + "</div>" * 3000 + "</article>"
+    assert html_extraction.main_text(deep) == "Text that lies deep within the page."
+    page = "<body><article><p>The story itself, of some length to be read.</p><article class='comment'><p>A reader says what readers say here.</p></article></article></body>"
+    assert html_extraction.main_text(page) == "The story itself, of some length to be read."
+    named = "<body><nav>Menu</nav><div class='search-story'><p>The story itself, of some length to be read.</p></div><div class='story-comments'><p>A reader says what readers say.</p></div></body>"
+    assert html_extraction.main_text(named) == "The story itself, of some length to be read."
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 

@@ -31,6 +31,8 @@ BLOCK = set("address article aside blockquote body center dd details dialog div
 CONTENT = {"article", "main"}
 OUTSIDE = {"header"}  # a page's header, not an article's
 NAMES = set("ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments comentarios disqus replies share sharing social related recommended newsletter subscribe signup login search widget".split())
+#: A class or id that ends in one of these is of content, whatever stands before.
+OWN = {"story", "article", "content", "body", "main", "post", "text", "entry"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar"}
 
 
@@ -43,6 +45,7 @@ class _Lines(HTMLParser):
         self.kinds = ["page"]
         self.parts: list[str] = []
         self.tags = 0
+        self.within = 0  # how many articles or mains are open
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -52,14 +55,13 @@ class _Lines(HTMLParser):
         self.parts, self.tags = [], 0
 
     def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        inside = any(t in CONTENT for t, _, _ in self.stack)
-        if tag in SKIP or tag in OUTSIDE and not inside:
+        if tag in SKIP or tag in OUTSIDE and not self.within:
             return True
-        if tag in CONTENT or tag in ("body", "html"):
+        if tag in CONTENT and not self.within or tag in ("body", "html"):
             return False
         for name, value in attrs:
             value = (value or "").lower()
-            if name in ("class", "id") and NAMES.intersection(re.split(r"[^a-z0-9]+", value)):
+            if name in ("class", "id") and any(NAMES.intersection(w) and w[-1] not in OWN for w in (re.findall("[a-z0-9]+", x) for x in value.split())):
                 return True
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -83,6 +85,7 @@ class _Lines(HTMLParser):
             self.kinds.append(tag)
             container = len(self.parents) - 1
         self.stack.append((tag, out, container))
+        self.within += tag in CONTENT
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -90,6 +93,7 @@ class _Lines(HTMLParser):
             self.cut()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                self.within -= sum(t in CONTENT for t, _, _ in self.stack[i:])
                 del self.stack[i:]
                 break
 
@@ -115,17 +119,19 @@ def main_text(html: str | None) -> str:
     ratio = _smooth(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines]))
     chosen = ratio >= min(THRESHOLD * ratio.std(), ratio.max())
     # Clustered text per container, that of the containers inside it included.
-    weight, articles = np.zeros(len(parser.parents)), np.zeros(len(parser.parents))
+    weight = np.zeros(len(parser.parents))
     for (text, _, _, c), yes in zip(lines, chosen, strict=True):
-        if yes:
-            weight[c] += len(text)
-            while c >= 0:
-                articles[c] += len(text) if parser.kinds[c] in CONTENT else 0
-                c = parser.parents[c]
+        weight[c] += len(text) if yes else 0
+    for c in range(len(weight) - 1, 0, -1):
+        weight[parser.parents[c]] += weight[c]
+    articles = np.where([k in CONTENT for k in parser.kinds], weight, 0)
     if articles.max() > 0:  # the outermost article or main with most clustered text
         best = int(articles.argmax())
-        inside = lambda c: c == best or c > 0 and inside(parser.parents[c])
-        return " ".join(t for t, _, _, c in lines if t and inside(c))
+        inside = np.zeros(len(parser.parents), bool)
+        inside[best] = True
+        for c in range(best + 1, len(inside)):  # a container comes after the one it stands in
+            inside[c] = inside[parser.parents[c]]
+        return " ".join(t for t, _, _, c in lines if t and inside[c])
     # No such container: from the first to the last cluster that has a fair part of the text.
     at = np.flatnonzero(chosen)
     runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)

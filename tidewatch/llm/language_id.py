@@ -154,7 +154,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
     learn.unpersist()
     model = _estimate(frames)
     kept = drawn.where("u >= 1").unionByName(drawn.where("u < 0.1")) if min(totals.values()) <= 1.25 * sample else drawn.where("u >= 1")
-    return _calibrate(model, kept.select("lang", "text").limit(calibration * len(totals)))
+    return _calibrate(model, kept.orderBy("u", F.xxhash64("text"), "lang").select("lang", "text").limit(calibration * len(totals)))
 
 
 def _estimate(frames: dict[int, pd.DataFrame]) -> Model:
