@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .components import components
 from .marks import marked, without
 from .runs import Tally, expand, squeeze
-from .storage import bounded_batches, only, released, scratch, written
+from .storage import bounded_batches, only, scratch, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
 
 WORDS, PERCENT = 5, 80
@@ -239,7 +239,7 @@ def members(survey: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = written(near.groupBy("fp").agg(F.min(F.struct("w", "pivot")).alias("best")).select("fp", F.col("best.pivot").alias("pivot")), "near")
     stars = near.join(near.select(F.col("fp").alias("pivot")), "pivot", "left_anti")  # a pivot is in no other's group
     out = classes.drop("minima").join(stars, "fp", "left").withColumn("pivot", F.coalesce("pivot", "fp"))
-    return written(out.withColumn("g", F.xxhash64("pivot")).withColumn("c", F.xxhash64("fp")), "members")
+    return out.withColumn("g", F.xxhash64("pivot")).withColumn("c", F.xxhash64("fp"))
 
 
 def allowed(small, large, differ, both, percent: int):
@@ -408,13 +408,15 @@ def verified(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, pairs: bo
 
 
 def _joined(docs: DataFrame, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The survey, the classes and what ``verified`` gives."""
+    """(doc_id, h, n, fp) per row, the classes and what ``verified`` gives."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = surveyed(docs)
-    classes = members(survey, percent)
-    released(docs.sparkSession)
+    with scratch(docs.sparkSession) as kept:  # bitmaps, minima and the sketch go before the index is made
+        survey = surveyed(docs)
+        levels = sketch(survey)
+        classes = kept(members(survey, percent), "members")
+        survey = kept(survey.where("part is null").select("doc_id", "h", "n", "fp"), "rows")
     with scratch(docs.sparkSession) as kept:  # the index is the largest: it goes before sets are moved
-        met = kept(meetings(indexed(docs, *sketch(survey), percent), classes, percent), "meetings")
+        met = kept(meetings(indexed(docs, *levels, percent), classes, percent), "meetings")
     rows = cells(met, classes)
     wanted = written(rows.select("fp").distinct().join(classes.select("fp", "doc_id"), "fp").select("doc_id"), "wanted")
     return survey, classes, verified(rows, sets_of(docs, wanted), percent, pairs)
@@ -427,7 +429,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     """
     with scratch(docs.sparkSession) as kept:
         survey, _, found = _joined(docs, percent, True)
-        table = kept(survey.where("part is null").select("doc_id", F.col("n").alias("n_shingles"), "fp"), "classes")
+        table = kept(survey.select("doc_id", F.col("n").alias("n_shingles"), "fp"), "classes")
         return table, kept(found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")), "links")
 
 
@@ -447,7 +449,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = written(named.join(least, "label").select("fp", F.col("label").alias("component"), "component_id", "docs"), "components")
         classes = classes.select("fp", F.col("doc_id").alias("class_id"), "w").join(named, "fp", "left")
-        rows = survey.where("part is null").select("doc_id", "h", F.col("n").alias("n_shingles"), "fp").join(classes, "fp", "left")
+        rows = survey.select("doc_id", "h", F.col("n").alias("n_shingles"), "fp").join(classes, "fp", "left")
         known = F.col("doc_id").isNotNull() & F.col("class_id").isNotNull()
         rows = rows.select(
             "doc_id", "h", "n_shingles", "fp", F.when(known, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(known, F.coalesce("component", "fp")).alias("component"),
