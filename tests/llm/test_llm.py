@@ -397,6 +397,11 @@ def test_top_k(spark, block):
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_holds_scores_to_64_bits(spark):
+    rows = spark.createDataFrame([(100, [1e16, 1.0]), (1, [1e16, 1.0]), (2, [-1e16, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk_search.top_k(rows, k=3).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (3, 1 << 20), (2, -(1 << 63))]
+
+
 def secrets(text):
     rules = [("assign", re.compile(r"""((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6), ("access", re.compile(r"()(AKIA[A-Z0-9]+)"), 20), ("hex", re.compile(r"()([0-9a-f]+)"), 24)]
     return sorted((m.start(), i, k, m.end()) for i, (k, p, n) in enumerate(rules) for m in p.finditer(text or "") if len(m[2]) >= n)
