@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .components import components
 from .marks import marked, without
 from .runs import Tally, expand, squeeze
-from .storage import bounded_batches, only, scratch, written
+from .storage import bounded_batches, only, released, scratch, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
 
 WORDS, PERCENT = 5, 80
@@ -262,6 +262,7 @@ def meetings(index: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
     posted = index.select(F.xxhash64("fp").alias("c"), F.explode("signatures").alias("sig")).repartition("sig")
     posted = posted.select("sig", "c", F.min("c").over(list_).alias("low"), F.max("c").over(list_).alias("high")).where("low <> high")
     posted = written(posted.select("sig", "c"), "posted")
+    released(posted.sparkSession)  # its shuffle files are the join's largest
     lists = posted.join(classes.select("c", "g"), "c").select("sig", "g").repartition("sig").distinct()
     lists = lists.select("sig", "g", F.count("*").over(list_).alias("size"), F.min("g").over(list_).alias("low"), F.bit_xor(F.xxhash64("g", F.lit(1))).over(list_).alias("sum"))
     lists = written(lists.where("size > 1"), "lists")
