@@ -69,3 +69,15 @@ def fingerprint(fund: Column, kind: Column, definer: Column) -> Column:
 
 def cassette_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
+
+
+def canonical_json(s: Column) -> Column:
+    """JSON with the keys of every object sorted and no spaces; null where the text is no JSON."""
+    return F.to_json(F.try_parse_json(s))
+
+
+def capture_name(url: Column, ending: Column) -> Column:
+    """A file name for a captured page: the last part of its path, at most 48 safe characters, and 10 of the url's hash."""
+    part = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+(?:[^?#]*/)?([^/?#]*)", 1), r"\.[^.]*$", "")
+    safe = F.substring(F.regexp_replace(part, "[^a-zA-Z0-9-]", "-"), 1, 48)
+    return F.concat(F.when(safe == "", "pagina").otherwise(safe), F.lit("-"), F.substring(F.sha2(url, 256), 1, 10), ending)

@@ -108,10 +108,11 @@ def run_status(alarms: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.join(worst, "run_id", "left").select("run_id", F.when(F.coalesce("critico", F.lit(False)), "falhou").when(F.col("erro").isNotNull(), "parcial").otherwise("ok").alias("estado"))
 
 
-def watchdog(runs: DataFrame, now: Column, hours: int = 36) -> DataFrame:
-    """One alarm where no run ended well in the last hours; none else."""
+def watchdog(runs: DataFrame, now: Column, hours: int = 36, alarms: DataFrame | None = None) -> DataFrame:
+    """One alarm where no run ended well in the last hours; none else, nor while one of ``alarms`` (tipo, resolvido_em) is open."""
     good = runs.where((F.col("estado") == "ok") & (F.col("terminado_em") > now - F.expr(f"interval {hours} hours")))
-    return good.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("ingestao_parada").alias("tipo"))
+    raised = good.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("ingestao_parada").alias("tipo"))
+    return raised if alarms is None else raised.join(alarms.where("resolvido_em is null").select("tipo"), "tipo", "left_anti")
 
 
 def within_budget(calls: DataFrame, group: str, order: str, cost: str, ceiling: float) -> DataFrame:

@@ -53,3 +53,23 @@ def resolve_batch(candidates: DataFrame, known: DataFrame, position: str = "cand
             break
         label = new
     return first.join(label, "cand_id", "left").select("cand_id", F.when((F.col("resultado") == "novo") & (F.col("label") < F.col("cand_id")), "existente").otherwise(F.col("resultado")).alias("resultado"), "fund_id", F.when(F.col("resultado") == "novo", F.col("label")).alias("grupo"))
+
+
+def persisted(rows: DataFrame, found: DataFrame, known: DataFrame, dataset: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What candidates (cand_id, titulo, needs_review, alertavel, motivo_revisao and more) write, by outcome.
+
+    Gives the funds (with resultado and fund_id; a new one's id comes from its strongest key), the keys to add (first writer
+    wins) and the conflicts. A conflict never merges: the fund of its strongest key is held for review, doesn't alert and
+    gets no key, and its message names all funds that its keys lead to. Of outcome ``conflito`` no events are to be drawn.
+    """
+    outcome = resolve(found, known, dataset).select("cand_id", "resultado", "fund_id")
+    strongest = found.groupBy("cand_id").agg(F.max_by(F.concat_ws(":", "tipo", "valor"), F.struct("forca", "tipo", "valor")).alias("_chave"))
+    funds = rows.join(outcome, "cand_id").join(strongest, "cand_id").withColumn("fund_id", F.coalesce(F.col("fund_id").cast("string"), F.sha2("_chave", 256))).drop("_chave")
+    blocked = F.col("resultado") == "conflito"
+    reasons = F.array_append(F.coalesce("motivo_revisao", F.array().cast("array<string>")), F.lit("conflito_identidade"))
+    funds = funds.withColumns({"needs_review": blocked | F.col("needs_review"), "alertavel": ~blocked & F.col("alertavel"), "motivo_revisao": F.when(blocked, reasons).otherwise(F.col("motivo_revisao"))})
+    fresh = found.join(known.select("tipo", "valor"), ["tipo", "valor"], "left_anti").join(funds.where(~blocked).select("cand_id", "fund_id"), "cand_id")
+    keys_ = fresh.groupBy("tipo", "valor").agg(F.min_by(F.struct("fund_id", "forca"), "cand_id").alias("_k")).select("tipo", "valor", "_k.*")
+    named = found.join(known.select("tipo", "valor", "fund_id"), ["tipo", "valor"]).groupBy("cand_id").agg(F.array_sort(F.collect_set(F.col("fund_id").cast("string"))).alias("_f"))
+    conflicts = funds.where(blocked).select("cand_id", "titulo").join(named, "cand_id").select("cand_id", F.concat("titulo", F.lit(": chaves apontam para "), F.array_join("_f", ", ")).alias("conflito"))
+    return funds, keys_, conflicts

@@ -25,6 +25,22 @@ def answered(documents: DataFrame, recorded: DataFrame, model: str, prompt: str,
     return rows.withColumn("resultado", outcome)
 
 
+def without_request(error: Column) -> Column:
+    """An error message once the number of the request is taken out."""
+    return F.regexp_replace(error, r"[,; ]*request_id[=:]\s*\S+", "")
+
+
+def error_line(status: Column, message: Column, most: int = 500) -> Column:
+    """Status and message of a failed request in one text of bounded length."""
+    return F.substring(F.concat_ws(": ", status.cast("string"), message), 1, most)
+
+
+def failed(documents: DataFrame, error: Column) -> DataFrame:
+    """Calls that gave nothing, as results: no tokens, and a cost of zero, which unlike an unknown price is known."""
+    none = {c: F.lit(0).cast("long") for c in ("tokens_entrada", "tokens_saida", "tokens_cache_lidos", "tokens_cache_escritos")}
+    return documents.withColumns(none | {"resposta": F.lit(None).cast("string"), "fim": F.lit(None).cast("string"), "custo_usd": F.lit(0.0), "erro": error})
+
+
 def unseen_errors(errors: DataFrame, column: str = "erro") -> DataFrame:
     """Distinct error messages once the number of the request is taken out."""
-    return errors.where(F.col(column).isNotNull()).select(F.regexp_replace(column, r"[,; ]*request_id[=:]\s*\S+", "").alias(column)).distinct()
+    return errors.where(F.col(column).isNotNull()).select(without_request(F.col(column)).alias(column)).distinct()

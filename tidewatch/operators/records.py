@@ -16,6 +16,19 @@ EXTRACTION = """struct<e_aviso:boolean, titulo:string, referencia:string, estado
   medidas:array<struct<medida:string,valor_max_eur:double>>>"""
 
 
+#: The columns of a stored fund.
+FUND = {
+    "id": "string", "slug": "string", "source_id": "string", "titulo": "string", "resumo": "string", "programa_pai": "string", "entidade_gestora": "string", "referencia_legal": "string", "estado": "string", "dotacao_esgotada": "boolean",
+    "abre_em": "timestamp", "abre_em_precisao": "string", "fecha_em": "timestamp", "fecha_em_precisao": "string", "beneficiarios": "array<string>", "admite_particulares": "string", "restricoes_beneficiario": "string", "ambito": "string",
+    "municipios": "array<string>", "medidas": "array<string>", "medidas_por_classificar": "array<string>", "detalhe_apoios": "array<struct<medida:string,percentagem_apoio:double,valor_max_eur:double,unidade:string>>",
+    "dotacao_total_eur": "double", "apoio_max_eur": "double", "url_oficial": "string", "url_candidatura": "string", "documentos": "array<struct<titulo:string,url:string,tipo:string>>", "needs_review": "boolean", "motivo_revisao": "array<string>",
+    "confianca_global": "string", "publicado": "boolean", "alertavel": "boolean", "visto_pela_primeira_vez": "timestamp", "visto_pela_ultima_vez": "timestamp", "actualizado_em": "timestamp",
+}
+#: Columns that the store gives and an update never writes.
+OWNED = ["id", "slug", "visto_pela_primeira_vez", "visto_pela_ultima_vez", "actualizado_em"]
+_JSON = ["detalhe_apoios", "documentos"]
+
+
 def one_of(value: Column, domain: list[str], default: str) -> Column:
     return F.when(F.coalesce(value.isin(domain), F.lit(False)), value).otherwise(default)
 
@@ -31,6 +44,29 @@ def read_closed(rows: DataFrame) -> DataFrame:
     })
 
 
+def stored_fund(rows: DataFrame) -> DataFrame:
+    """Rows of the store as funds of all columns, lists of objects read from JSON; what is missing or unknown is the safe value."""
+    types = dict(rows.dtypes)
+
+    def read(c: str) -> Column:
+        if c not in types:
+            return F.lit(None).cast(FUND[c])
+        return F.from_json(c, FUND[c]) if c in _JSON and types[c] == "string" else F.col(c).cast(FUND[c])
+
+    out = {c: read(c) for c in FUND}
+    out |= {c: F.coalesce(out[c], F.array().cast(t)) for c, t in FUND.items() if t.startswith("array")}
+    out |= {c: F.coalesce(out[c], F.lit(False)) for c in ("dotacao_esgotada", "publicado", "alertavel")}
+    safe = {"estado": "desconhecido", "ambito": "desconhecido", "abre_em_precisao": "desconhecida", "fecha_em_precisao": "desconhecida", "confianca_global": "baixa"}
+    out |= {c: F.coalesce(out[c], F.lit(v)) for c, v in safe.items()}
+    out |= {"admite_particulares": one_of(out["admite_particulares"], ["sim", "nao"], "desconhecido"), "needs_review": F.coalesce(out["needs_review"], F.lit(True))}
+    return rows.select(*[v.alias(c) for c, v in out.items()])
+
+
+def fund_row(funds: DataFrame) -> DataFrame:
+    """Funds as rows to write: without the columns that the store owns, lists of objects as JSON."""
+    return funds.select(*[F.to_json(c).alias(c) if c in _JSON else F.col(c) for c in FUND if c not in OWNED])
+
+
 def parse_extraction(reply: Column) -> Column:
     """The typed extraction of a model's reply, or null where it is no JSON or breaks the vocabularies."""
     e = F.from_json(text.json_of_reply(reply), EXTRACTION)
@@ -82,7 +118,7 @@ def review_marks(rows: DataFrame, reference: str, document: str) -> DataFrame:
 
 
 def history(runs: DataFrame, group: str, order: str, size: int = 7) -> DataFrame:
-    """Per run: median of the counts before it, failures in a row before it, runs since its digest last changed."""
+    """Per run: median of the counts before it, failures in a row before it."""
     w = Window.partitionBy(group).orderBy(order)
     before = w.rowsBetween(-size, -1)
     rows = runs.withColumn("base", F.array_sort(F.collect_list("candidatos").over(before)))
@@ -103,3 +139,11 @@ def natural_id(*parts: Column) -> Column:
     """A stable identifier from a natural key, so that retries agree."""
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
+
+
+def hours_unchanged(runs: DataFrame, group: str, at: str, digest: str) -> DataFrame:
+    """``runs`` with horas_sem_mudanca: hours since the content last differed from that of the run before, or was first seen."""
+    w = Window.partitionBy(group).orderBy(at)
+    moved = ~F.col(digest).eqNullSafe(F.lag(digest).over(w)) | (F.row_number().over(w) == 1)
+    since = F.last(F.when(F.col("_moved"), F.col(at)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return runs.withColumn("_moved", moved).withColumn("horas_sem_mudanca", (F.unix_timestamp(at) - F.unix_timestamp(since)) / 3600).drop("_moved")

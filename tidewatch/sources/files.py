@@ -143,8 +143,16 @@ def is_pdf(content: Column) -> Column:
     return F.coalesce(F.substring(content, 1, 5) == F.lit(b"%PDF-"), F.lit(False))
 
 
-def replay(manifest: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Captures of a manifest (url, ficheiro, etag) with their bodies by file name; a missing file is an error, never empty."""
+def replay(manifest: DataFrame, bodies: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Captures of a manifest (url, ficheiro, etag) with their bodies by file name; a missing file is an error, never empty.
+
+    With ``seen`` (url, etag: what the last read got) each has a status: 304 without a body where the etag is the same, else 200.
+    """
+    if seen is not None:
+        last = seen.where("etag is not null").groupBy("url").agg(F.max("etag").alias("_visto"))
+        same = manifest.join(last, "url", "left").withColumn("estado", F.when(F.col("etag") == F.col("_visto"), 304).otherwise(200)).drop("_visto")
+        old = same.where("estado = 304").withColumn("content", F.lit(None).cast("binary"))
+        return replay(same.where("estado = 200"), bodies).unionByName(old)
     named = bodies.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("ficheiro"), "content")
     rows = manifest.join(named, "ficheiro", "left")
     return rows.withColumn("content", F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("no capture for "), "url")).cast("binary")).otherwise(F.col("content")))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, urls
 
@@ -58,16 +58,102 @@ def links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     return pages.select(url, body).mapInArrow(scanned, "url string, posicao int, href string, texto string")
 
 
-def candidates(found: DataFrame, shape: str, least_title: int = 8, refuse_titles: str | None = None) -> DataFrame:
-    """Links whose path has the shape and whose title is long enough, one per canonical url: the first on the page."""
+class _Articles(HTMLParser):
+    """Of each article with a class: the link of its heading, else its first, and what stands in its element of dates."""
+
+    def __init__(self, container: str, heading: str, dated: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.names = container, heading, dated
+        self.found: list[tuple[str, str, str]] = []
+        self.links: list[list] = []  # href, text, whether it stands in a heading
+        self.depth = 0  # of articles inside the container, itself included
+        self.open: str | None = None  # tag of the heading
+        self.link = False
+        self.date: list[str] = []
+        self.dating: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        values = dict(attrs)
+        classes = (values.get("class") or "").split()
+        container, heading, dated = self.names
+        if tag == "article" and (self.depth or container in classes):
+            self.depth += 1
+        if not self.depth:
+            return
+        if heading in classes and tag in ("h1", "h2"):
+            self.open = tag
+        if dated in classes and not self.date:
+            self.dating = tag
+        if tag == "a" and values.get("href"):
+            self.links.append([values["href"], "", self.open is not None])
+            self.link = True
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a":
+            self.link = False
+        if tag == self.open:
+            self.open = None
+        if tag == self.dating:
+            self.dating = None
+        if tag == "article" and self.depth:
+            self.depth -= 1
+            if not self.depth:
+                self.end()
+
+    def handle_data(self, data: str) -> None:
+        if self.link:
+            self.links[-1][1] += data
+        if self.dating:
+            self.date.append(data)
+
+    def end(self) -> None:
+        if self.links:
+            href, words, _ = next((x for x in self.links if x[2]), self.links[0])
+            self.found.append((href, " ".join(words.split()), " ".join("".join(self.date).split())))
+        self.links, self.date, self.open, self.dating, self.link = [], [], None, None, False
+
+
+def articles(pages: DataFrame, container: str, heading: str, dated: str, url: str = "url", body: str = "html") -> DataFrame:
+    """(url, posicao, href, texto, publicado): one link per article of the class ``container``, as ``links`` gives them.
+
+    Links outside such articles are none; the date is text as it stands, empty where there is none.
+    """
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p = _Articles(container, heading, dated)
+                p.feed(page or "")
+                p.close()
+                p.end()
+                rows += [(u, i, *x) for i, x in enumerate(p.found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["url", "posicao", "href", "texto", "publicado"])
+
+    return pages.select(url, body).mapInArrow(scanned, "url string, posicao int, href string, texto string, publicado string")
+
+
+def published(s: Column) -> Column:
+    """The day an archive names as "Ago 10, 2026", as text; null where there is none. It tells of the announcement, never of a deadline."""
+    return F.nullif(F.regexp_extract(s, r"(?i)\b((?:jan|fev|mar|abr|mai|jun|jul|ago|set|out|nov|dez)\w*\.?\s+\d{1,2},?\s+\d{4})\b", 1), F.lit(""))
+
+
+def candidates(found: DataFrame, shape: str, least_title: int = 8, refuse_titles: str | None = None, refuse_names: str | None = None) -> DataFrame:
+    """Links whose path has the shape and whose title is long enough, one per canonical url: the first on the page.
+
+    ``refuse_titles`` is held against titles, ``refuse_names`` against the last part of the path without its ending, as
+    that of links to further pages.
+    """
     target = urls.resolve(F.col("url"), F.col("href"))
     rows = found.withColumn("alvo", target).where(F.col("alvo").isNotNull() & F.regexp_extract("alvo", r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1).rlike(shape) & (F.length("texto") >= least_title))
     if refuse_titles:
         rows = rows.where(~text.comparable(F.col("texto")).rlike(refuse_titles))
+    if refuse_names:
+        rows = rows.where(~F.regexp_replace(F.regexp_extract("alvo", r"([^/?#]*)/?(?:[?#].*)?$", 1), r"\.[^.]*$", "").rlike(refuse_names))
     rows = rows.withColumn("chave", urls.canonical_url(F.col("alvo")))
     first = Window.partitionBy("url", "chave").orderBy("posicao")
     rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return rows.select("url", "chave", "alvo", F.col("texto").alias("titulo"), text.legal_reference(F.col("texto")).alias("referencia"), "posicao")
+    return rows.select("url", "chave", "alvo", F.col("texto").alias("titulo"), text.legal_reference(F.col("texto")).alias("referencia"), "posicao", *(["publicado"] if "publicado" in found.columns else []))
 
 
 def spreadsheets(found: DataFrame) -> DataFrame:
