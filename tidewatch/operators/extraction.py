@@ -45,12 +45,18 @@ def parse(reply: Column) -> Column:
     return F.from_json(text.json_of_reply(reply), SCHEMA)
 
 
+def _cut(c: Column, limits: dict[str, int]) -> Column:
+    """A struct with texts cut to limits by path; every part is read from the struct itself, so the expression stays small."""
+    out = c
+    for name in dict.fromkeys(p.split(".")[0] for p in limits):
+        inner = {p.partition(".")[2]: n for p, n in limits.items() if p.split(".")[0] == name}
+        out = out.withField(name, F.substring(c[name], 1, inner[""]) if "" in inner else _cut(c[name], inner))
+    return out
+
+
 def trimmed(e: Column) -> Column:
     """struct<e, aparados>: texts that are too long cut to their limit, and the paths of those; nothing else is mended."""
-    out = e
-    for path, most in LONGEST.items():
-        out = out.withField(path, F.substring(at(e, path), 1, most))
-    return F.struct(out.alias("e"), F.array_compact(F.array(*[F.when(F.length(at(e, p)) > n, F.lit(p)) for p, n in LONGEST.items()])).alias("aparados"))
+    return F.struct(_cut(e, LONGEST).alias("e"), F.array_compact(F.array(*[F.when(F.length(at(e, p)) > n, F.lit(p)) for p, n in LONGEST.items()])).alias("aparados"))
 
 
 def problems(e: Column, measures: list[str] | None = None, kinds: list[str] | None = None) -> Column:

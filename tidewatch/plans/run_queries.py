@@ -80,7 +80,7 @@ def identity_new_keys(spark, d):
     return _persisted(spark, d)[1]
 
 
-@query(f"""with {_OUTCOMES} select cand_id, 'T' || cand_id || ': chaves apontam para ' || string_agg(distinct j.fund_id::varchar, ', ' order by j.fund_id::varchar) conflito from j join o using (cand_id) where n > 1 and j.fund_id is not null group by all""")
+@query(f"""with {_OUTCOMES} select cand_id, 'T' || cand_id || ': chaves apontam para ' || string_agg(distinct j.fund_id::varchar, ', ' order by j.fund_id::varchar) conflito from j join o using (cand_id) where n > 1 and j.fund_id is not null group by cand_id""")
 def identity_conflicts(spark, d):
     return _persisted(spark, d)[2]
 
@@ -142,6 +142,6 @@ def extraction_whole(spark, d):
     reply = F.lit(json.dumps(whole_extraction(), ensure_ascii=False))
     reply = F.when(k % 9 == 0, F.replace(reply, F.lit('"aberto"'), F.lit('"talvez"'))).otherwise(reply)
     reply = F.when(k % 8 == 0, F.replace(reply, F.lit('"resumo_pt": "r"'), F.lit(f'"resumo_pt": "{"r" * 700}"'))).otherwise(reply)
-    rows = v.table(spark, d, "orders").select(k.alias("id"), extraction.trimmed(extraction.parse(F.concat(F.lit("```json\n"), reply))).alias("t")).select("id", "t.*")
+    rows = v.table(spark, d, "orders").select(k.alias("id"), extraction.parse(F.concat(F.lit("```json\n"), reply)).alias("e")).select("id", extraction.trimmed(F.col("e")).alias("t")).select("id", "t.*")
     out = extraction.fund(rows.withColumn("problemas", F.array_join(extraction.problems(F.col("e"), ["sol"], ["particular"]), ",")))
     return out.select("id", "problemas", F.array_join("aparados", ",").alias("aparados"), F.length("resumo").alias("resumo"), "referencia_legal", F.unix_timestamp("fecha_em").alias("fecha"), F.array_join("medidas", ",").alias("medidas"), F.col("dotacao_total_eur").alias("dotacao"), F.col("apoio_max_eur").alias("maximo"), F.col("entidade_gestora").alias("entidade"))
