@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe_codec, centroid_clustering, decontamination, html_extraction, language_id, lm_scoring, merkle_manifest, ngram_join, secret_scans, token_counts, topk_search, url_filters
+from . import bpe_codec, centroid_clustering, decontamination, html_extraction, language_id, lm_scoring, merkle_manifest, ngram_join, secret_scans, token_counts, topk_search, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_bpe_codec": bpe_codec.query,
     "op11_centroid_clustering": centroid_clustering.query,
     "op12_merkle_manifest": merkle_manifest.query,
+    "op13_warc": warc.query,
 }
 
-ORACLES = {"op4_decontamination": decontamination.ORACLE, "op6_topk_search": topk_search.ORACLE, "op7_secret_scans": secret_scans.oracle(), "op11_centroid_clustering": centroid_clustering.oracle(), "op12_merkle_manifest": merkle_manifest.oracle()}
+ORACLES = {"op4_decontamination": decontamination.ORACLE, "op6_topk_search": topk_search.ORACLE, "op7_secret_scans": secret_scans.oracle(), "op11_centroid_clustering": centroid_clustering.oracle(), "op12_merkle_manifest": merkle_manifest.oracle(), "op13_warc": warc.oracle()}

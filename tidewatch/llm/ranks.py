@@ -31,7 +31,7 @@ def _offsets(counts: DataFrame, key: list[str], largest: int) -> DataFrame:
     up = [counts]
     while largest >> DIGIT * (len(up) - 1):
         up.append(up[-1].groupBy(*key, F.shiftright("bucket", DIGIT).alias("bucket")).agg(F.sum("m").alias("m")))
-    before = up[-1].select(*key, "bucket", F.lit(0).cast("long").alias("before"))
+    before = up[-1].select(*key, "bucket", "m", F.lit(0).cast("long").alias("before"))
     for level in up[-2::-1]:
         w = Window.partitionBy(*key, "_up").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         own = level.withColumn("_up", F.shiftright("bucket", DIGIT)).withColumn("_own", F.coalesce(F.sum("m").over(w), F.lit(0)))

@@ -47,6 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _saved(df, name, _open[-1] if _open else None)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for files that tasks write; it goes with the scratch around it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of jobs that are done: it does so once the driver collects their plans."""
     gc.collect()
