@@ -77,7 +77,7 @@ def legal_ref(spark, d):
     return v.table(spark, d, "orders").select("o_orderkey", text.legal_reference(s).alias("ref"))
 
 
-@query("select o_orderkey, 'NORTE2030-2026-' || o_orderkey || ',CENTRO2030-2025-7' codigos from orders")
+@query("select o_orderkey, concat_ws(',', case when length(o_orderkey::varchar) <= 4 then 'NORTE2030-2026-' || o_orderkey end, 'CENTRO2030-2025-7') codigos from orders")
 def notice_codes(spark, d):
     k = F.col("o_orderkey").cast("string")
     s = F.concat(F.lit("ver NORTE2030-2026-"), k, F.lit(" e norte2030-2026-"), k, F.lit("; CENTRO2030-2025-7."))
