@@ -102,8 +102,10 @@ def test_identity(spark):
 def test_identity_within_a_batch(spark):
     known = spark.createDataFrame([], "tipo string, valor string, fund_id long")
     cands = keys(spark, (1, "url", "a", 70), (2, "url", "a", 70), (2, "titulo", "t", 30), (3, "titulo", "t", 30), (4, "url", "z", 70))
-    got = {r.cand_id: (r.resultado, r.grupo) for r in identity.resolve_batch(cands, known).collect()}
-    assert got == {1: ("novo", 1), 2: ("existente", 1), 3: ("existente", 1), 4: ("novo", 4)}
+    found, added = identity.resolve_batch(cands, known)
+    got = {r.cand_id: (r.resultado, r.fund_id) for r in found.collect()}
+    assert {c: r for c, (r, _) in got.items()} == {1: "novo", 2: "existente", 3: "existente", 4: "novo"} and got[1][1] == got[2][1] == got[3][1] != got[4][1]
+    assert sorted(r.valor for r in added.collect()) == ["a", "t", "z"]
 
 
 def test_store_is_idempotent(spark):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import tables
 from ..functions import text, urls
+from . import graph
 
 #: How far a kind of key may be trusted.
 STRENGTH = {"referencia": 100, "url": 70, "titulo": 30}
@@ -18,41 +23,114 @@ def keys(rows: DataFrame, source: Column, reference: Column, url: Column, title:
     return rows.select("*", F.explode(found).alias("chave")).select("*", "chave.*").drop("chave")
 
 
-def resolve(candidates: DataFrame, known: DataFrame, dataset: bool = False) -> DataFrame:
-    """Per candidate: ``novo``, ``existente`` or ``conflito``, the fund of its strongest key, and the keys it lacks.
-
-    With ``dataset`` a title alone doesn't merge a candidate whose url key is new.
-    """
-    rows = candidates.join(known.select("tipo", "valor", "fund_id"), ["tipo", "valor"], "left")
+def _outcome(rows: DataFrame, dataset: bool) -> DataFrame:
+    """Per candidate of ``rows`` (a row a key, with the fund that holds it or null): result, fund of the strongest key, new keys, funds."""
     out = rows.groupBy("cand_id").agg(
         F.countDistinct("fund_id").alias("fundos"),
         F.min_by("fund_id", F.when(F.col("fund_id").isNotNull(), F.struct((-F.col("forca")).alias("f"), "fund_id"))).alias("fund_id"),
         F.max(F.when(F.col("fund_id").isNotNull(), F.col("forca"))).alias("maior"),
         F.bool_or((F.col("tipo") == "url") & F.col("fund_id").isNull()).alias("url_nova"),
         F.sum(F.when(F.col("fund_id").isNull(), 1).otherwise(0)).alias("chaves_novas"),
+        F.array_sort(F.collect_set("fund_id")).alias("nomeados"),
     )
-    weak = F.coalesce((F.col("maior") == STRENGTH["titulo"]) & F.col("url_nova"), F.lit(False)) if dataset else F.lit(False)
+    weak = F.coalesce((F.col("maior") == STRENGTH["titulo"]) & (F.col("fundos") == 1) & F.col("url_nova"), F.lit(False)) if dataset else F.lit(False)
     new = (F.col("fundos") == 0) | weak
-    return out.select("cand_id", F.when(new, "novo").when(F.col("fundos") > 1, "conflito").otherwise("existente").alias("resultado"), F.when(~new, F.col("fund_id")).alias("fund_id"), F.col("chaves_novas").cast("long").alias("chaves_novas"))
+    return out.select("cand_id", F.when(new, "novo").when(F.col("fundos") > 1, "conflito").otherwise("existente").alias("resultado"), F.when(~new, F.col("fund_id")).alias("fund_id"), F.col("chaves_novas").cast("long").alias("chaves_novas"), "nomeados")
+
+
+def resolve(candidates: DataFrame, known: DataFrame, dataset: bool = False) -> DataFrame:
+    """Per candidate: ``novo``, ``existente`` or ``conflito``, the fund of its strongest key, and the keys it lacks.
+
+    With ``dataset`` a title alone doesn't merge a candidate whose url key is new.
+    """
+    return _outcome(candidates.join(known.select("tipo", "valor", "fund_id"), ["tipo", "valor"], "left"), dataset).drop("nomeados")
+
+
+_FREE = "cand_id long, ordem long, tipo string, valor string, forca int, fund_id string, novo_id string"
+_ADDED = "tipo string, valor string, forca int, fund_id string, ordem long"
+
+
+def _writes(rows: DataFrame, dataset: bool) -> DataFrame:
+    """What candidates that wait for nobody write: the keys that no fund holds, for the fund that the others name, or a new one."""
+    outcome = _outcome(rows, dataset).select("cand_id", "resultado", F.col("fund_id").alias("_fundo"))
+    free = rows.where("fund_id is null").join(outcome.where("resultado <> 'conflito'"), "cand_id")
+    return free.select("tipo", "valor", "forca", F.coalesce("_fundo", "novo_id").alias("fund_id"), "ordem")
+
+
+def _replayed(rows: DataFrame, dataset: bool) -> DataFrame:
+    """The writes of whole components (``label``), each walked through in order in one task."""
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        held: dict[tuple[str, str], str] = {}
+        out = []
+        for ordem, own in part.sort_values("ordem", kind="stable").groupby("ordem", sort=False):
+            funds, titles, url = set(), True, False
+            for tipo, valor, fund in zip(own["tipo"], own["valor"], own["fund_id"], strict=True):
+                at = fund if isinstance(fund, str) else held.get((tipo, valor))
+                if at is not None:
+                    funds.add(at)
+                    titles = titles and tipo == "titulo"
+                url = url or at is None and tipo == "url"
+            if len(funds) > 1:  # a conflict writes no key
+                continue
+            fund = own["novo_id"].iloc[0] if not funds or dataset and titles and url else next(iter(funds))
+            for tipo, valor, forca, known in zip(own["tipo"], own["valor"], own["forca"], own["fund_id"], strict=True):
+                if not isinstance(known, str) and (tipo, valor) not in held:
+                    held[tipo, valor] = fund
+                    out.append((tipo, valor, forca, fund, ordem))
+        return pd.DataFrame(out, columns=["tipo", "valor", "forca", "fund_id", "ordem"])
+
+    return rows.groupBy("label").applyInPandas(walk, _ADDED)
+
 
+def resolve_batch(candidates: DataFrame, known: DataFrame, position: str = "cand_id", dataset: bool = False, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Candidates of one batch resolved as if one by one, by ascending ``position`` (no two alike): what one writes, later ones see.
 
-def resolve_batch(candidates: DataFrame, known: DataFrame, position: str = "cand_id", rounds: int = 50) -> DataFrame:
-    """Candidates of one batch resolved as if one by one: of those that share keys and match nothing known, the first is new.
+    Gives (cand_id, resultado, fund_id, chaves_novas, nomeados) and the keys that are written (tipo, valor, forca, fund_id);
+    a new fund's id comes from its candidate's strongest key, and ``nomeados`` are the funds that a candidate's keys lead to.
 
-    Groups are found by the smallest position over shared keys, repeated until nothing moves.
+    Only keys that no fund holds yet make a candidate wait for another. One that comes first on all of these waits for
+    nobody: such candidates write at once, and what waited for them alone is free. What still waits falls into components by
+    shared keys; each of at most ``most`` candidates is walked through in order in a task of its own. In larger ones further
+    rounds free those that come first, so a key of very many candidates is soon held by the fund of its first and ties
+    nobody; there is no last round before all is resolved. Candidates with conflicts from what is known write nothing,
+    whatever comes before, so nobody waits for them.
     """
-    first = resolve(candidates, known)
-    open_ = candidates.join(first.where("resultado = 'novo'").select("cand_id"), "cand_id", "left_semi")
-    label = open_.select("cand_id", F.col(position).alias("label")).distinct()
-    for _ in range(rounds):
-        by_key = open_.join(label, "cand_id").groupBy("tipo", "valor").agg(F.min("label").alias("near"))
-        new = open_.join(by_key, ["tipo", "valor"]).groupBy("cand_id").agg(F.min("near").alias("label"))
-        new = new.checkpoint() if open_.sparkSession.conf.get("spark.checkpoint.dir", None) else new.persist()
-        moved = new.alias("n").join(label.alias("o"), "cand_id").where("n.label < o.label")
-        if moved.isEmpty():
-            break
-        label = new
-    return first.join(label, "cand_id", "left").select("cand_id", F.when((F.col("resultado") == "novo") & (F.col("label") < F.col("cand_id")), "existente").otherwise(F.col("resultado")).alias("resultado"), "fund_id", F.when(F.col("resultado") == "novo", F.col("label")).alias("grupo"))
+    spark = candidates.sparkSession
+    made: list[str] = []
+    try:
+        save = lambda df, name: tables.saved(df, name, made)
+        rows = candidates.select("cand_id", F.col(position).cast("long").alias("ordem"), "tipo", "valor", F.col("forca").cast("int").alias("forca")).dropDuplicates(["cand_id", "tipo", "valor"])
+        strongest = rows.groupBy("cand_id").agg(F.sha2(F.max_by(F.concat_ws(":", "tipo", "valor"), F.struct("forca", "tipo", "valor")), 256).alias("novo_id"))
+        rows = rows.join(known.select("tipo", "valor", F.col("fund_id").cast("string").alias("fund_id")), ["tipo", "valor"], "left").join(strongest, "cand_id")
+        rows = save(rows.select(*[c.split()[0] for c in _FREE.split(", ")]), "candidatos")
+        open_, written = rows, []
+        while True:
+            stuck = open_.groupBy("cand_id").agg(F.countDistinct("fund_id").alias("n")).where("n > 1")
+            open_ = save(open_.join(stuck, "cand_id", "left_anti"), "livres")
+            unheld = open_.where("fund_id is null")
+            first = unheld.groupBy("tipo", "valor").agg(F.min("ordem").alias("primeiro"))
+            waiting = save(unheld.join(first, ["tipo", "valor"]).where("ordem > primeiro").select("cand_id").distinct(), "espera")
+            written.append(save(_writes(open_.join(waiting, "cand_id", "left_anti"), dataset), "escritas"))
+            left = open_.join(waiting, "cand_id", "left_semi").join(written[-1].select("tipo", "valor", F.col("fund_id").alias("_novo")), ["tipo", "valor"], "left")
+            open_ = save(left.select(*[F.coalesce("fund_id", "_novo").alias(c) if c == "fund_id" else F.col(c) for c in rows.columns]), "livres")
+            shared = open_.where("fund_id is null")
+            centre = shared.groupBy("tipo", "valor").agg(F.min("ordem").alias("b"))
+            label = save(graph.components(shared.join(centre, ["tipo", "valor"]).select(F.col("ordem").alias("a"), "b"), save), "grupos")
+            size = label.groupBy("label").agg(F.count("*").alias("n"))
+            tagged = open_.join(label, open_["ordem"] == label["node"], "left").withColumn("label", F.coalesce("label", "ordem")).drop("node").join(size, "label", "left")
+            written.append(save(_replayed(tagged.where(F.coalesce("n", F.lit(1)) <= most), dataset), "escritas"))
+            open_ = save(tagged.where(F.col("n") > most).drop("label", "n"), "livres")
+            if open_.isEmpty():
+                break
+        added = reduce(DataFrame.unionByName, written)
+        seen = rows.join(added.select("tipo", "valor", F.col("fund_id").alias("_novo"), F.col("ordem").alias("_quando")), ["tipo", "valor"], "left")
+        seen = seen.withColumn("fund_id", F.coalesce("fund_id", F.when(F.col("_quando") < F.col("ordem"), F.col("_novo"))))
+        out = _outcome(seen, dataset).join(rows.select("cand_id", "novo_id").distinct(), "cand_id").withColumn("fund_id", F.coalesce("fund_id", "novo_id")).drop("novo_id")
+        return tables.saved(out, "resolvidos"), tables.saved(added.drop("ordem"), "chaves")
+    finally:
+        for path in made:
+            tables.deleted(spark, path)
 
 
 def persisted(rows: DataFrame, found: DataFrame, known: DataFrame, dataset: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

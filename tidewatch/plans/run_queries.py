@@ -85,6 +85,27 @@ def identity_conflicts(spark, d):
     return _persisted(spark, d)[2]
 
 
+_IN_ORDER = """with recursive k as (select o_orderkey cand_id, o_custkey cust, unnest([{'v': 'r' || o_custkey || '-' || o_orderkey % 3, 'w': 100}, {'v': 'u' || o_custkey || '-' || o_orderkey % 7, 'w': 70}, {'v': 't' || o_custkey || '-' || o_orderkey % 2, 'w': 30}]) x from orders),
+  known as (select cust, x.v v, any_value(x.w) w, min(cand_id)::varchar f from k where cand_id % 5 = 0 group by 1, 2),
+  c as materialized (select cand_id, cust, list(x order by x.w desc) ks, row_number() over (partition by cust order by cand_id) n from k where cand_id % 5 <> 0 group by 1, 2),
+  s as (select cust, 0::bigint n, (select coalesce(list({'v': v, 'w': w, 'f': f}), []) from known where known.cust = o.cust) st, null::bigint cand_id, ''::varchar resultado, ''::varchar fund_id, 0::bigint chaves_novas, ''::varchar nomeados from (select distinct cust from c) o
+    union all
+    select cust, n, case when len(funds) > 1 then st else st || list_transform(lacking, lambda x: {'v': x.v, 'w': x.w, 'f': fund}) end, cand_id, case len(funds) when 0 then 'novo' when 1 then 'existente' else 'conflito' end, fund, len(lacking)::bigint, array_to_string(funds, ',')
+    from (select *, case when len(found) > 0 then list_sort(list_transform(found, lambda x: {'w': -x.w, 'f': x.f}))[1].f else sha256('referencia:' || ks[1].v) end fund, list_sort(list_distinct(list_transform(found, lambda x: x.f))) funds
+      from (select s.cust, c.n, s.st, c.cand_id, c.ks, list_filter(s.st, lambda x: list_contains(list_transform(c.ks, lambda y: y.v), x.v)) found, list_filter(c.ks, lambda y: not list_contains(list_transform(s.st, lambda x: x.v), y.v)) lacking
+        from s join c on c.cust = s.cust and c.n = s.n + 1)))"""
+
+
+@query(_IN_ORDER + " select cand_id, resultado, fund_id, chaves_novas, nomeados from s where cand_id is not null")
+def identity_batch(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    key = lambda kind, n, w: F.struct(F.lit(kind).alias("tipo"), F.concat(F.lit(kind[0]), c, F.lit("-"), (k % n).cast("string")).alias("valor"), F.lit(w).alias("forca"))
+    rows = v.table(spark, d, "orders").select(k.alias("cand_id"), F.explode(F.array(key("referencia", 3, 100), key("url", 7, 70), key("titulo", 2, 30))).alias("x")).select("cand_id", "x.*")
+    known = rows.where("cand_id % 5 = 0").groupBy("tipo", "valor").agg(F.min("cand_id").alias("fund_id"))
+    found, _ = identity.resolve_batch(rows.where("cand_id % 5 <> 0"), known)
+    return found.withColumn("nomeados", F.array_join("nomeados", ","))
+
+
 @query("""select event_id id, user_id, case when user_id % 6 = 0 or user_id % 5 = 0 then 'falhou' else 'a_enviar' end estado, case when user_id % 6 = 0 then 'utilizador sem email' when user_id % 5 = 0 then 'nenhum apoio publicado entre os eventos' end ultimo_erro, event_id % 3 + 1 tentativas from events""")
 def dispatch_outcome(spark, d):
     rows = v.table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", (F.col("event_id") % 3).alias("tentativas"))
