@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import tables
@@ -57,30 +58,32 @@ def _writes(rows: DataFrame, dataset: bool) -> DataFrame:
     return free.select("tipo", "valor", "forca", F.coalesce("_fundo", "novo_id").alias("fund_id"), "ordem")
 
 
+#: Candidates that are walked through at a time, if no component has more.
+TOGETHER = 4096
+
+
 def _replayed(rows: DataFrame, dataset: bool) -> DataFrame:
-    """The writes of whole components (``label``), each walked through in order in one task."""
+    """The writes of whole components (``label``), each walked through in order in one task; small ones share a walk, as they share no key."""
+    walks = rows.agg(F.ceil(F.countDistinct("ordem") / TOGETHER)).first()[0] or 1
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
+    def walk(part: pa.Table) -> pa.Table:
         held: dict[tuple[str, str], str] = {}
-        out = []
-        for ordem, own in part.sort_values("ordem", kind="stable").groupby("ordem", sort=False):
-            funds, titles, url = set(), True, False
-            for tipo, valor, fund in zip(own["tipo"], own["valor"], own["fund_id"], strict=True):
-                at = fund if isinstance(fund, str) else held.get((tipo, valor))
-                if at is not None:
-                    funds.add(at)
-                    titles = titles and tipo == "titulo"
-                url = url or at is None and tipo == "url"
+        out: list[tuple] = []
+        found = sorted(zip(*[part[c].to_pylist() for c in ("ordem", "tipo", "valor", "forca", "fund_id", "novo_id")], strict=True), key=lambda r: r[:3])
+        for ordem, group in itertools.groupby(found, lambda r: r[0]):
+            own = [(tipo, valor, forca, fund if fund is not None else held.get((tipo, valor)), new) for _, tipo, valor, forca, fund, new in group]
+            funds = {fund for *_, fund, _ in own if fund is not None}
             if len(funds) > 1:  # a conflict writes no key
                 continue
-            fund = own["novo_id"].iloc[0] if not funds or dataset and titles and url else next(iter(funds))
-            for tipo, valor, forca, known in zip(own["tipo"], own["valor"], own["forca"], own["fund_id"], strict=True):
-                if not isinstance(known, str) and (tipo, valor) not in held:
-                    held[tipo, valor] = fund
-                    out.append((tipo, valor, forca, fund, ordem))
-        return pd.DataFrame(out, columns=["tipo", "valor", "forca", "fund_id", "ordem"])
-
-    return rows.groupBy("label").applyInPandas(walk, _ADDED)
+            title_alone = all(tipo == "titulo" for tipo, *_, fund, _ in own if fund is not None) and any(tipo == "url" and fund is None for tipo, *_, fund, _ in own)
+            name = own[0][-1] if not funds or dataset and title_alone else next(iter(funds))
+            for tipo, valor, forca, fund, _ in own:
+                if fund is None:
+                    held[tipo, valor] = name
+                    out.append((tipo, valor, forca, name, ordem))
+        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 5, [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()], strict=True)], names=["tipo", "valor", "forca", "fund_id", "ordem"])
+
+    return rows.groupBy(F.pmod(F.xxhash64("label"), F.lit(int(walks)))).applyInArrow(walk, _ADDED)
 
 
 def resolve_batch(candidates: DataFrame, known: DataFrame, position: str = "cand_id", dataset: bool = False, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
