@@ -19,6 +19,14 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, kept: list[str]) ->
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*[value(c).alias(c) for c in stored.columns])
 
 
+def updated(stored: DataFrame, incoming: DataFrame, key: str, now: Column, frozen: tuple[str, ...] = ("slug",)) -> DataFrame:
+    """The stored funds after an update that stamps what it writes: all values of a known fund but its key and the ``frozen``
+    ones, ``visto_pela_ultima_vez`` and ``actualizado_em``; a new fund is also first seen now. Others stay as they are."""
+    stamps = ["visto_pela_primeira_vez", "visto_pela_ultima_vez", "actualizado_em"]
+    fresh = incoming.withColumns({c: now for c in stamps}).select(*stored.columns)
+    return upsert(stored, fresh, key, [*frozen, stamps[0]])
+
+
 def latest(rows: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
     """The latest row per key; ties go to the larger ``tie``."""
     w = Window.partitionBy(*key).orderBy(F.desc(at), F.desc(tie))
