@@ -193,3 +193,19 @@ def test_stream_appends_each_event_once(spark, tmp_path):
     for batch in (0, 0, 1):
         claim(rows.select("user_id", "impressao"), batch)
     assert spark.read.parquet(str(tmp_path / "outbox" / "lote=0")).count() == 2 and spark.read.parquet(str(tmp_path / "outbox" / "lote=1")).count() == 0
+
+
+def test_a_batch_reads_its_own_days(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "log")
+    append = event_log.appender(spark, path, ["impressao"], "event_id", "dia")
+    rows = lambda *x: spark.createDataFrame(list(x), "event_id long, impressao string, dia string")
+    append(rows((1, "a", "2024-01-01"), (2, "b", "2024-01-02")), 0)
+    append(rows((3, "b", "2024-01-02"), (4, "c", "2024-01-02")), 1)
+    assert sorted(r.impressao for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    for f in (tmp_path / "log" / "dia=2024-01-01").iterdir():  # a day that can't be read any more
+        f.write_bytes(b"broken") if f.suffix == ".parquet" else f.unlink()
+    append(rows((5, "c", "2024-01-02"), (6, "d", "2024-01-03")), 2)
+    shutil.rmtree(tmp_path / "log" / "dia=2024-01-01")
+    assert sorted(r.impressao for r in spark.read.parquet(path).collect()) == ["b", "c", "d"]

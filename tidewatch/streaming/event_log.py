@@ -13,15 +13,22 @@ def unique_events(events: DataFrame, horizon: str = "30 days") -> DataFrame:
     return stamped.withWatermark("criado_em", horizon).dropDuplicatesWithinWatermark(["impressao"])
 
 
-def appender(spark: SparkSession, path: str, key: list[str], order: str):
-    """A ``foreachBatch`` function that appends unknown keys to a table; a replayed batch adds nothing."""
+def appender(spark: SparkSession, path: str, key: list[str], order: str, day: str | None = None):
+    """A ``foreachBatch`` function that appends unknown keys to a table; a replayed batch adds nothing.
+
+    With ``day``, a column that rows of one key share, the table is kept by day and a batch reads the days that it has rows
+    of, as many as the stream's horizon at most; without, all of the table.
+    """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         target = jvm.org.apache.hadoop.fs.Path(path)
         there = target.getFileSystem(conf).exists(target)
-        stored = spark.read.parquet(path) if there else batch.limit(0)
-        store.new_rows(batch, stored, key, order).write.mode("append").parquet(path)
+        stored = spark.read.schema(batch.schema).parquet(path) if there else batch.limit(0)
+        if day is not None:
+            stored = stored.where(F.col(day).isin([r[0] for r in batch.select(day).distinct().collect()]))
+        out = store.new_rows(batch, stored, key, order).write.mode("append")
+        (out if day is None else out.partitionBy(day)).parquet(path)
 
     return append
 
