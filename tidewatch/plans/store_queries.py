@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import tables
 from ..operators import alerts, store, versions
+from ..sources import captures
 from . import views as v
 from .catalogue_queries import _CAND
 
@@ -100,3 +101,23 @@ def outbox_claims(spark, d):
         due = box.where(F.col("agendado_para") <= at)
         taken = [versions.claim(due, root, now, lease, who).select("id", "quem", F.lit(i).cast("long").alias("vez")) for i, (now, lease, who) in enumerate(turns, 1)]
         return _kept(taken[0].unionByName(taken[1]).unionByName(taken[2]), "outbox-claims")
+
+
+@query("""select 'n' || (o_orderkey // 100) || '.json' ficheiro, o_orderkey::varchar codigo, 'Aviso ' || o_orderkey titulo, case when o_orderkey % 6 <> 0 then round(o_totalprice, 2) + 1 end dotacao, strftime(o_orderdate, '%Y-%m-%d') fecha, case when o_orderkey % 4 = 0 then 'a' || o_orderkey || '.pdf' end documento
+  from orders where o_orderkey % 7 <> 0 and starts_with('n' || (o_orderkey // 100) || '.json', 'n1')""")
+def capture_notices(spark, d):
+    """Answers of a hundred notices each, captured, some refused; then those whose file name begins with n1 are read."""
+    session, k = captures.registered(spark), F.col("o_orderkey")
+    part = lambda v_: F.struct(v_.alias("dotacao"), F.lit("m").alias("marca"))
+    paper = F.struct(F.lit("Aviso").alias("tipoDocumentoDesignacao"), F.concat(F.lit("a"), k.cast("string"), F.lit(".pdf")).alias("path"))
+    notice = F.struct(
+        F.struct(k.cast("string").alias("codigoAviso"), F.when(k % 7 != 0, F.concat(F.lit(" Aviso  "), k.cast("string"))).alias("designacaoPT")).alias("aviso"),
+        F.when(k % 6 != 0, F.array(part(F.round("o_totalprice", 2)), part(F.lit(1.0)))).alias("estrutura"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T00:00:00'").alias("dataFim")).alias("calendario"), F.when(k % 4 == 0, F.array(paper)).alias("documentos"),
+    )
+    files = v.table(spark, d, "orders").groupBy(F.expr("o_orderkey div 100").cast("string").alias("n")).agg(F.to_json(F.struct(F.collect_list(notice).alias("avisos"))).alias("body"))
+    good = files.select(F.concat(F.lit("https://x.pt/"), "n").alias("url"), F.concat(F.lit("n"), "n", F.lit(".json")).alias("ficheiro"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("etag"), F.encode("body", "UTF-8").alias("content"))
+    bad = good.select("url", F.concat(F.lit("n1-"), "ficheiro").alias("ficheiro"), F.lit(503).alias("status"), "etag", "content")
+    with _folder(spark, "captures") as root:
+        good.unionByName(bad).write.format("notices").option("path", root).mode("append").save()
+        rows = session.read.format("notices").option("path", root).option("kind", "json").load().where(F.col("ficheiro").startswith("n1"))
+        return _kept(rows.select("ficheiro", "codigo", "titulo", "dotacao", F.date_format("fecha", "yyyy-MM-dd").alias("fecha"), "documento"), "capture-notices")

@@ -61,22 +61,28 @@ def _cells(data: bytes) -> list[list[str]]:
     return grid
 
 
+def sheet_lines(data: bytes | None) -> Iterator[tuple[int, dict[str, str]]]:
+    """(line, values by column name) of a spreadsheet; the header is the first row that names the notice's title. A workbook is held whole."""
+    header = None
+    for n, line in enumerate(_cells(data) if data else []):
+        names = [" ".join(x.split()) for x in line]
+        if header is None:
+            plain = [x.lower().replace("ç", "c").replace("ã", "a") for x in names]
+            header = names if HEADER_MARK in plain else None
+        elif any(x.strip() for x in line):
+            yield n, {k: x.strip() for k, x in zip(header, line, strict=False) if k}
+
+
 def sheet_rows(files: DataFrame, content: str = "content") -> DataFrame:
-    """(linha, valores: map<string,string>) of spreadsheets; the header is the first row that names the notice's title."""
+    """(linha, valores: map<string,string>) of spreadsheets, as ``sheet_lines`` gives them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, maps = [], []
             for data in batch.column(0).to_pylist():
-                header = None
-                for n, line in enumerate(_cells(data) if data else []):
-                    names = [" ".join(x.split()) for x in line]
-                    if header is None:
-                        plain = [x.lower().replace("ç", "c").replace("ã", "a") for x in names]
-                        header = names if HEADER_MARK in plain else None
-                    elif any(x.strip() for x in line):
-                        numbers.append(n)
-                        maps.append([(k, x.strip()) for k, x in zip(header, line, strict=False) if k])
+                for n, values in sheet_lines(data):
+                    numbers.append(n)
+                    maps.append(list(values.items()))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(maps, pa.map_(pa.string(), pa.string()))], ["linha", "valores"])
 
     return files.select(content).mapInArrow(read, "linha int, valores map<string,string>")
@@ -94,7 +100,7 @@ def _literal(b: bytes) -> str:
     return _ESCAPE.sub(value, b).decode("cp1252", "replace")
 
 
-def _pdf_text(data: bytes | None) -> str | None:
+def text_layer(data: bytes | None) -> str | None:
     """The text layer: strings that are shown, in order; a kerning gap under -120 is a space, a new line a break."""
     if not data or not data.startswith(b"%PDF-"):
         return None
@@ -115,7 +121,7 @@ def _pdf_text(data: bytes | None) -> str | None:
     return "\n".join(line for line in (" ".join(x.split()) for x in "".join(out).split("\n")) if line)
 
 
-def _pdf_date(data: bytes | None) -> str | None:
+def changed_at(data: bytes | None) -> str | None:
     for key in (rb"/ModDate", rb"/CreationDate"):
         if data and (m := re.search(key + rb"\s*\(D:(\d{4})(\d{2})(\d{2})(\d{2})?(\d{2})?(\d{2})?", data)):
             y, mo, d, h, mi, s = ((x or b"00").decode() for x in m.groups())
@@ -124,12 +130,12 @@ def _pdf_date(data: bytes | None) -> str | None:
 
 
 def pdf_text(content: Column) -> Column:
-    return _pandas(_pdf_text)(content)
+    return _pandas(text_layer)(content)
 
 
 def pdf_date(content: Column) -> Column:
     """When a file was last changed, else made; the offset is dropped."""
-    return _pandas(_pdf_date)(content)
+    return _pandas(changed_at)(content)
 
 
 def _pandas(f):

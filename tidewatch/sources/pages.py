@@ -41,6 +41,15 @@ class _Links(HTMLParser):
         self.href, self.words = None, []
 
 
+def page_links(page: str | None) -> list[tuple[str, str]]:
+    """(href, text) of every anchor of a page, in order."""
+    p = _Links()
+    p.feed(page or "")
+    p.close()
+    p.end()
+    return p.found
+
+
 def links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """(url, posicao, href, texto): every anchor of every page in order. Null pages have none."""
 
@@ -48,11 +57,7 @@ def links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
         for batch in batches:
             rows = []
             for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = _Links()
-                p.feed(page or "")
-                p.close()
-                p.end()
-                rows += [(u, i, h, t) for i, (h, t) in enumerate(p.found)]
+                rows += [(u, i, h, t) for i, (h, t) in enumerate(page_links(page))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], ["url", "posicao", "href", "texto"])
 
     return pages.select(url, body).mapInArrow(scanned, "url string, posicao int, href string, texto string")
