@@ -27,7 +27,8 @@ def amount(s: Column) -> Column:
     """Euros as decimal(18,2) from Portuguese notation, or null.
 
     The first number counts. Its last mark of two kinds is the decimal one; of one kind, a comma is decimal and a point
-    before three digits, or a comma before three in a number without unit, parts thousands.
+    before three digits, or a comma before three in a number without unit, parts thousands. Where the decimal mark stands
+    more than once, as in 30.09.2026, there is no number to read.
     """
     t = comparable(s)
     times = _unit(t)
@@ -35,10 +36,11 @@ def amount(s: Column) -> Column:
     marks = F.regexp_replace(digits, "[0-9]", "")
     last, tail = F.substring(marks, -1, 1), F.length(digits) - F.length(F.regexp_replace(digits, "[0-9]+$", ""))
     mixed = marks.contains(",") & marks.contains(".")
-    decimal = mixed | (last == ",") & ((tail != 3) | (times > 1)) | (last == ".") & (tail != 3) & (F.length(marks) == 1)
+    decimal = (marks != "") & (mixed | (last == ",") & ((tail != 3) | (times > 1)) | (last == ".") & (tail != 3))
+    twice = F.length(marks) - F.length(F.replace(marks, last)) > 1
     bare = F.translate(digits, ".,", "")
     whole = F.concat(F.substring(bare, F.lit(1), F.length(bare) - tail), F.lit("."), F.right(bare, tail))
-    return F.round(F.when((marks != "") & decimal, whole).otherwise(bare).try_cast("decimal(20,6)") * times, 2).cast("decimal(18,2)")
+    return F.round(F.when(decimal & twice, F.lit(None)).when(decimal, whole).otherwise(bare).try_cast("decimal(20,6)") * times, 2).cast("decimal(18,2)")
 
 
 def percentage(s: Column) -> Column:

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import hmac
-import secrets
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-REPLAY_SECONDS = 300
+from ..functions import keyed
 
 
 def subscriptions_after(stored: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -30,21 +25,15 @@ def allowed_recipients(addresses: Column, allowed: list[str]) -> Column:
     return F.filter(bare, lambda a: a.isin(allowed))
 
 
-def tokens_for(pairs: DataFrame, issued: DataFrame) -> DataFrame:
-    """(user_id, medida, token): the issued token of a pair again, null measures included, else a new random one."""
+def tokens_for(pairs: DataFrame, issued: DataFrame, secret: bytes) -> DataFrame:
+    """(user_id, medida, token): the issued token of a pair again, null measures included, else the one that the secret gives it."""
     old = issued.select(F.col("user_id").alias("_u"), F.col("medida").alias("_m"), "token")
-    fresh = F.udf(lambda _: new_token(), "string").asNondeterministic()
     rows = pairs.join(old, (F.col("user_id") == F.col("_u")) & F.col("medida").eqNullSafe(F.col("_m")), "left")
-    return rows.select("user_id", "medida", F.coalesce("token", fresh("user_id")).alias("token"))
-
-
-def new_token() -> str:
-    return secrets.token_urlsafe(24)
+    return rows.select("user_id", "medida", F.coalesce("token", keyed.token(secret, F.col("user_id"), F.col("medida"))).alias("token"))
 
 
-def signed(body: bytes, timestamp: int, signature: str, key: bytes, now: int) -> bool:
-    """Whether an inbound call is signed with the key and not older or newer than the window."""
-    if abs(now - timestamp) > REPLAY_SECONDS:
-        return False
-    mac = base64.b64encode(hmac.new(key, f"{timestamp}.".encode() + body, hashlib.sha256).digest()).decode()
-    return any(hmac.compare_digest(mac, part.split(",", 1)[-1]) for part in signature.split())
+def received(calls: DataFrame, secret: str, now: Column) -> DataFrame:
+    """Inbound calls (id, carimbo, corpo, assinatura) with ``aceite`` and, where not, ``motivo``: first the window, then the signature."""
+    args = [F.col(c) for c in ("id", "carimbo", "corpo", "assinatura")]
+    fresh, good = keyed.recent(args[1], now), keyed.signed(*args, secret)
+    return calls.withColumns({"aceite": fresh & good, "motivo": F.when(~fresh, "carimbo_fora_da_janela").when(~good, "assinatura_invalida")})

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl, urlencode
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .. import tables
 
 #: States in the order the catalogue shows them.
-STATES = ["aberto", "previsto", "suspenso", "encerrado"]
+STATES = ["aberto", "previsto", "suspenso", "desconhecido", "encerrado"]
 TERMINAL = {"encerrado"}
 
 
@@ -72,9 +74,27 @@ def rank(state: Column) -> Column:
     return out
 
 
+def _order() -> list[Column]:
+    return [rank(F.col("estado")).asc(), F.col("fecha_em").asc_nulls_last(), F.when(F.col("fecha_em").isNull(), F.collate("titulo", "pt")).asc(), F.col("fund_id").asc()]
+
+
 def ordered(funds: DataFrame) -> DataFrame:
-    """State, then deadline with none last, then title where there is no deadline, then id."""
-    return funds.orderBy(rank(F.col("estado")), F.col("fecha_em").asc_nulls_last(), F.when(F.col("fecha_em").isNull(), F.col("titulo")), "fund_id")
+    """State, then deadline with none last, then title in Portuguese order where there is no deadline, then id."""
+    return funds.orderBy(*_order())
+
+
+def placed(funds: DataFrame) -> DataFrame:
+    """``funds`` with ``lugar``, the place of each in the order, from 1, and ``total``.
+
+    Rows are sorted over all partitions and written with their place within each; what goes before a partition is a sum over
+    as many rows as there are partitions. No state, however many funds it has, is numbered in one task.
+    """
+    rows = tables.saved(ordered(funds).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "lugares")
+    size = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(F.lit(0))
+    before = size.select("_p", F.coalesce(F.sum("_n").over(every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_antes"), F.sum("_n").over(every).alias("total"))
+    place = F.col("_antes") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(before), "_p").withColumn("lugar", place).drop("_p", "_i", "_antes")
 
 
 def count_by_measure(funds: DataFrame, measures: DataFrame, current_only: bool = False) -> DataFrame:
@@ -102,7 +122,5 @@ def visible(rows: DataFrame, funds: DataFrame) -> DataFrame:
 
 def first_candidates(rows: DataFrame, group: str, position: str, limit: int) -> DataFrame:
     """The first ``limit`` candidates of each source, and how many were left out: a safety rail that tells."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group)
     return rows.withColumn("ordem", F.row_number().over(w.orderBy(position))).withColumn("ignorados", F.greatest(F.count("*").over(w) - limit, F.lit(0))).where(F.col("ordem") <= limit)

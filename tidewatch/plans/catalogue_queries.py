@@ -75,7 +75,7 @@ def incoherent_state(spark, d):
     return sweep.incoherent(rows, v.as_of()).select("fund_id", "needs_review", "alertavel", F.array_join("motivo_revisao", ",").alias("motivo"))
 
 
-_RANK = "case estado when 'aberto' then 0 when 'previsto' then 1 when 'suspenso' then 2 when 'encerrado' then 3 else 4 end"
+_RANK = "case estado when 'aberto' then 0 when 'previsto' then 1 when 'suspenso' then 2 when 'desconhecido' then 3 when 'encerrado' then 4 else 5 end"
 _DEFAULT = "publicado and not needs_review and estado in ('aberto', 'previsto') and list_has_any(beneficiarios, ['particular', 'condominio'])"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,6 +42,75 @@ class _Links(HTMLParser):
         self.href, self.words = None, []
 
 
+class _Dated(HTMLParser):
+    """Anchors with the date that is first in the text of the element around them, before or after."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+    def __init__(self, date: re.Pattern) -> None:
+        super().__init__(convert_charrefs=True)
+        self.date = date
+        self.text: list[str] = []
+        self.open: list[list] = [["", 0, [], None]]  # tag, place of its text, the anchors right inside, itself if it is one; first the page
+        self.anchors: list[list] = []  # href, begin and end of its text, date
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in self.VOID:
+            return
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.anchors.append([dict(attrs)["href"], len(self.text), None, None])
+            self.open[-1][2].append(self.anchors[-1])
+            self.open.append([tag, len(self.text), [], self.anchors[-1]])
+        else:
+            self.open.append([tag, len(self.text), [], None])
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        pass
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(x[0] == tag for x in self.open):
+            while self.shut() != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        self.text.append(data)
+
+    def shut(self) -> str:
+        tag, begin, inside, anchor = self.open.pop()
+        if anchor:
+            anchor[2] = len(self.text)
+        if inside:  # the text is searched once for all anchors of an element
+            found = self.date.search(" ".join("".join(self.text[begin:]).split()))
+            for a in inside:
+                a[3] = found and found[0]
+        return tag
+
+    def links(self) -> list[tuple[str, str, str | None]]:
+        while self.open:
+            self.shut()
+        return [(href, " ".join("".join(self.text[a:b]).split()), found) for href, a, b, found in self.anchors]
+
+
+#: A date of digits, or of a day, a month's name and a year.
+DATE = re.compile(r"\b\d{1,2}\s*[-./]\s*\d{1,2}\s*[-./]\s*\d{2,4}\b|\b\d{1,2}\s+de\s+[a-zç]+\s+de\s+\d{4}\b", re.I)
+
+
+def dated_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
+    """(url, posicao, href, texto, data): ``links`` with the date that stands in the element around each, as text, or null."""
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p = _Dated(DATE)
+                p.feed(page or "")
+                p.close()
+                rows += [(u, i, *x) for i, x in enumerate(p.links())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["url", "posicao", "href", "texto", "data"])
+
+    return pages.select(url, body).mapInArrow(scanned, "url string, posicao int, href string, texto string, data string")
+
+
 def page_links(page: str | None) -> list[tuple[str, str]]:
     """(href, text) of every anchor of a page, in order."""
     p = _Links()
@@ -158,7 +228,7 @@ def candidates(found: DataFrame, shape: str, least_title: int = 8, refuse_titles
     rows = rows.withColumn("chave", urls.canonical_url(F.col("alvo")))
     first = Window.partitionBy("url", "chave").orderBy("posicao")
     rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return rows.select("url", "chave", "alvo", F.col("texto").alias("titulo"), text.legal_reference(F.col("texto")).alias("referencia"), "posicao", *(["publicado"] if "publicado" in found.columns else []))
+    return rows.select("url", "chave", "alvo", F.col("texto").alias("titulo"), text.legal_reference(F.col("texto")).alias("referencia"), "posicao", *[c for c in ("publicado", "data") if c in found.columns])
 
 
 def spreadsheets(found: DataFrame) -> DataFrame:
