@@ -181,14 +181,18 @@ _CAND = f"""cand as (select distinct p.user_id, e.event_id, e.fund_id, e.tipo, e
 _MATCH = [v.FUNDS, v.FUND_MEASURES, v.PROFILES, v.SUBSCRIPTIONS, v.FUND_EVENTS, _CAND]
 
 
-def _matched(spark, d):
+def _given(spark, d):
     sent = v.table(spark, d, "events").where("event_id % 50 = 0").select("user_id", F.concat(F.lit("i"), (F.col("event_id") % 9000).cast("string")).alias("impressao"))
-    return matching.candidates(v.fund_events(spark, d), v.funds(spark, d), v.fund_measures(spark, d), v.subscriptions(spark, d), v.profiles(spark, d), v.as_of(v.EVENTS_AS_OF), sent)
+    return v.fund_events(spark, d), v.funds(spark, d), v.fund_measures(spark, d), v.subscriptions(spark, d), v.profiles(spark, d), v.as_of(v.EVENTS_AS_OF), sent
+
+
+def _matched(spark, d):
+    return matching.candidates(*_given(spark, d))
 
 
 @query(v.sql(*_MATCH, body="select user_id, count(*) n, min(event_id) primeiro, max(event_id) ultimo, count(distinct fund_id) fundos from cand group by 1"))
 def match_alerts(spark, d):
-    return _matched(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("primeiro"), F.max("event_id").alias("ultimo"), F.countDistinct("fund_id").alias("fundos"))
+    return matching.counted(*_given(spark, d))
 
 
 @query(v.sql(*_MATCH, body="""select user_id, urgente, n, strftime(quando, '%Y-%m-%d %H:%M') agendado_para from (select user_id, urgente, n, case when urgente or frequencia = 'imediata' then timestamp '2024-01-31 00:00:00'
