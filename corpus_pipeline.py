@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import bpe_codec, decontamination, language_id, ngram_join, secret_scans
-from tidewatch.llm.storage import bounded_batches, written
+from tidewatch.llm.storage import bounded_batches, deleted, saved, scratch
 
 
 def identify(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return language_id.predict(docs, language_id.fit(docs)).where("not rejected").select(*docs.columns)
+    # The row travels in one column, so that none of its names meets one of the prediction's.
+    rows = docs.select(docs["text"], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return language_id.predict(rows, language_id.fit(docs)).where("not rejected").select("row.*")
 
 
 def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = secret_scans.redact(docs)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages; a stage's documents are deleted once the next one's are written, so two of them stand at a time."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        with scratch(spark):
+            docs, path = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            deleted(spark, before)
+        before = path
+    return docs

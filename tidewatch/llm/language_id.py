@@ -140,7 +140,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
     totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not totals:
         return None
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
+    # By id and text, so that rows sharing an id don't come in together.
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, sample / n)]), F.col("lang"))
     drawn = labelled.withColumn("u", draw / share).where("u < 1.25").select("lang", "text", "u")
     # Few labelled documents are all learned from; else those beyond the sample calibrate.
@@ -152,6 +153,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
         tables[order] = tables[order + 1].select("lang", kept.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     frames = {k: t.toPandas() for k, t in tables.items()}
     learn.unpersist()
+    if frames[ORDER].empty:  # labelled texts without a letter teach nothing
+        return None
     model = _estimate(frames)
     kept = drawn.where("u >= 1").unionByName(drawn.where("u < 0.1")) if min(totals.values()) <= 1.25 * sample else drawn.where("u >= 1")
     return _calibrate(model, kept.orderBy("u", F.xxhash64("text"), "lang").select("lang", "text").limit(calibration * len(totals)))
@@ -256,7 +259,8 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` with lang_pred, score, cross_entropy and rejected."""
+    """The rows of ``docs`` with lang_pred, score, cross_entropy and rejected; columns of these names give way."""
+    docs = docs.select(*[docs[c] for c in docs.columns if c.lower() not in ("lang_pred", "score", "cross_entropy", "rejected")])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .marks import marked, without
+from .marks import free, marked, without
 from .runs import Tally, expand, squeeze
 from .storage import bounded_batches, only, released, scratch, written
 from .text_blocks import BLANKS, U64, Chunk, chunks, mix, words
@@ -480,8 +480,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     out = without(docs, key, gone)
     if again.isEmpty():
         return out
-    repeated = marked(docs, key, again, [again["_id"], again["_h"]]).where("_marked").select(*docs.columns, key[0].alias("_id"), key[1].alias("_h")).join(again, ["_id", "_h"], "left_semi")
-    return without(out, [out["doc_id"].cast("long"), F.xxhash64(out["text"].cast("string"))], again).unionByName(repeated.dropDuplicates(["_id", "_h"]).select(*docs.columns))
+    flag, *own = free(docs.columns, "_marked", "_id", "_h")
+    again = again.toDF(*own)
+    repeated = marked(docs, key, again, [again[c] for c in own], flag).where(F.col(flag)).select(*docs.columns, *[k.alias(c) for k, c in zip(key, own, strict=True)]).join(again, own, "left_semi")
+    return without(out, [out["doc_id"].cast("long"), F.xxhash64(out["text"].cast("string"))], again).unionByName(repeated.dropDuplicates(own).select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,17 @@ def _saved(df: DataFrame, name: str, paths: list[str] | None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``written``, but it stays whatever scratch ends; gives its path too, for ``deleted``."""
+    paths: list[str] = []
+    return _saved(df, name, paths), paths[0]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     return _saved(df, name, _open[-1] if _open else None)
@@ -73,8 +84,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     finally:
         _open.remove(mine)
         for path in mine:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            deleted(spark, path)
         released(spark)
 
 
