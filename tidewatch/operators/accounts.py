@@ -15,6 +15,13 @@ def subscriptions_after(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("user_id", "medida", F.when(F.col("_a").isNull(), F.col("activa")).otherwise(F.coalesce("_c", F.lit(False))).alias("activa"))
 
 
+def preferences(profiles: DataFrame, subscriptions: DataFrame, user: Column) -> DataFrame:
+    """(user_id, tipos, frequencia, medidas): what a user may read, the own row with the active measures in order; none for no such user."""
+    own = subscriptions.where(F.col("activa") & (F.col("user_id") == user)).groupBy("user_id").agg(F.array_sort(F.collect_set("medida")).alias("medidas"))
+    rows = profiles.where(F.col("user_id") == user).select("user_id", "tipos", "frequencia").join(own, "user_id", "left")
+    return rows.withColumn("medidas", F.coalesce("medidas", F.array().cast("array<string>")))
+
+
 def known_measures(given: Column, taxonomy: list[str]) -> Column:
     return F.array_intersect(given, F.array(*map(F.lit, taxonomy)))
 

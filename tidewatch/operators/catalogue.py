@@ -97,6 +97,11 @@ def placed(funds: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "_p").withColumn("lugar", place).drop("_p", "_i", "_antes")
 
 
+def page(funds: DataFrame, filters: Filters) -> DataFrame:
+    """The list of a catalogue page: the funds that pass, each with its place, and how many pass."""
+    return placed(funds.where(predicate(filters)))
+
+
 def count_by_measure(funds: DataFrame, measures: DataFrame, current_only: bool = False) -> DataFrame:
     """Funds per measure; ``current_only`` also asks for a published fund in an open or planned state."""
     rows = funds.where(~F.coalesce("needs_review", F.lit(True)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, urls
@@ -21,16 +23,27 @@ def lowest(*levels: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, LEVELS)), F.least(*[rank(c).cast("int") for c in levels]))
 
 
+#: Fields whose confidence doesn't count for the whole.
+APART = ["dotacao_esgotada"]
+
+
+def overall(levels: Column) -> Column:
+    """The lowest of a map of confidences by path, those ``APART`` left out; ``alta`` where none is left, as unknown levels say nothing."""
+    counted = F.map_values(F.map_filter(levels, lambda path, _: ~path.isin(APART)))
+    return F.when(F.array_contains(counted, "baixa"), "baixa").when(F.array_contains(counted, "media"), "media").otherwise("alta")
+
+
 def decide(rows: DataFrame, now: Column) -> DataFrame:
     """publicado, alertavel, needs_review, motivos and global confidence from an extraction.
 
     Needs: recusa, e_aviso, provas_falhadas (array), conf_estado, conf_encerramento, conf_admite, ocr_ma, admite, condominio,
-    estado, prazo (date or null; an empty text counts as null).
+    estado, prazo (date or null; an empty text counts as null). With confianca_efectiva, a map of all paths, the global
+    confidence is that of all of them, else of the three fields.
     """
     doubtful = F.array_compact(F.array(*[F.when(F.col(c) != "alta", F.lit(n)) for c, n in zip(("conf_estado", "conf_encerramento", "conf_admite"), CRITICAL, strict=True)]))
     door = (F.col("admite") == "sim") | (F.col("admite") == "nao") & F.col("condominio")
     incoherent = (F.col("estado") == "encerrado") & (F.col("prazo") > now)
-    overall = lowest(F.col("conf_estado"), F.col("conf_encerramento"), F.col("conf_admite"))
+    whole = overall(F.col("confianca_efectiva")) if "confianca_efectiva" in rows.columns else lowest(F.col("conf_estado"), F.col("conf_encerramento"), F.col("conf_admite"))
     reasons = F.array_compact(F.array(
         F.when(F.col("recusa"), "recusa_do_modelo"),
         F.when(~F.col("e_aviso"), "nao_e_aviso_de_apoio"),
@@ -40,9 +53,9 @@ def decide(rows: DataFrame, now: Column) -> DataFrame:
         F.when(~door, F.concat(F.lit("admite_particulares:"), F.col("admite"))),
         F.when(incoherent, F.concat(F.lit("estado_incoerente:encerrado_com_prazo_"), F.date_format("prazo", "yyyy-MM-dd"))),
     ))
-    strict = F.col("recusa") | ~F.col("e_aviso") | (overall == "baixa")
+    strict = F.col("recusa") | ~F.col("e_aviso") | (whole == "baixa")
     history = F.coalesce((F.col("estado") == "encerrado") & (F.col("conf_estado") != "baixa") & (F.col("conf_encerramento") == "alta") & (F.col("prazo") <= now), F.lit(False))
-    return rows.withColumn("motivos", reasons).withColumn("confianca_global", overall).withColumn("publicado", ~(strict & ~history)).withColumn("alertavel", (F.size("motivos") == 0) & ~strict).withColumn("needs_review", F.size("motivos") > 0)
+    return rows.withColumn("motivos", reasons).withColumn("confianca_global", whole).withColumn("publicado", ~(strict & ~history)).withColumn("alertavel", (F.size("motivos") == 0) & ~strict).withColumn("needs_review", F.size("motivos") > 0)
 
 
 def changed_decisions(stored: DataFrame, decided: DataFrame, key: str) -> DataFrame:
@@ -52,6 +65,15 @@ def changed_decisions(stored: DataFrame, decided: DataFrame, key: str) -> DataFr
     return rows.where(~(F.col("publicado").eqNullSafe(F.col("n_publicado")) & F.col("alertavel").eqNullSafe(F.col("n_alertavel")))).select(key, F.col("n_publicado").alias("publicado"), F.col("n_alertavel").alias("alertavel"))
 
 
+def gathered(paths: dict[str, DataFrame]) -> DataFrame:
+    """The events of all paths, in the order given, with ``caminho``: an event that several paths tell of is the first one's."""
+    parts = [events.select("*", F.lit(name).alias("caminho"), F.lit(i).alias("_i")) for i, (name, events) in enumerate(paths.items())]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    names = [c for c in rows.columns if c not in ("impressao", "_i")]
+    first = rows.groupBy("impressao").agg(F.min_by(F.struct(*names), "_i").alias("_e"))
+    return first.select("impressao", "_e.*")
+
+
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Events between two versions of funds, each with its fingerprint; a new fund has no row in ``before``.
 

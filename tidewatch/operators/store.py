@@ -27,6 +27,17 @@ def updated(stored: DataFrame, incoming: DataFrame, key: str, now: Column, froze
     return upsert(stored, fresh, key, [*frozen, stamps[0]])
 
 
+def update_from(target: DataFrame, source: DataFrame, on: list[str], changes: dict[str, Column], where: Column | None = None) -> DataFrame:
+    """``target`` with ``changes`` in the rows that have one of ``source``, and meet ``where``; others stay, none is added.
+
+    Source columns are named ``s_<name>`` in ``changes`` and ``where``. ``source`` has one row a key.
+    """
+    other = source.select(*[F.col(c).alias(c if c in on else f"s_{c}") for c in source.columns], F.lit(True).alias("s_there"))
+    hit = F.coalesce(F.col("s_there") & (F.lit(True) if where is None else where), F.lit(False))
+    rows = target.join(other, on, "left")
+    return rows.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in target.columns])
+
+
 def latest(rows: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
     """The latest row per key; ties go to the larger ``tie``."""
     w = Window.partitionBy(*key).orderBy(F.desc(at), F.desc(tie))
