@@ -31,8 +31,9 @@ BLOCK = set("address article aside blockquote body center dd details dialog div
 CONTENT = {"article", "main"}
 OUTSIDE = {"header"}  # a page's header, not an article's
 NAMES = set("ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments comentarios disqus replies share sharing social related recommended newsletter subscribe signup login search widget".split())
-#: A class or id that ends in one of these is of content, whatever stands before.
-OWN = {"story", "article", "content", "body", "main", "post", "text", "entry"}
+#: A class or id that ends in one of these is of content where what stands before tells what it is about.
+OWN = {"story", "article", "post", "entry"}
+ABOUT = {"search", "login", "signup", "subscribe", "alert", "notice", "notices", "social", "sharing", "share", "menu", "cookie", "cookies", "consent"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar"}
 
 
@@ -61,7 +62,7 @@ class _Lines(HTMLParser):
             return False
         for name, value in attrs:
             value = (value or "").lower()
-            if name in ("class", "id") and any(NAMES.intersection(w) and w[-1] not in OWN for w in (re.findall("[a-z0-9]+", x) for x in value.split())):
+            if name in ("class", "id") and any(NAMES.intersection(w) and not (w[-1] in OWN and ABOUT.issuperset(NAMES.intersection(w))) for w in (re.findall("[a-z0-9]+", x) for x in value.split())):
                 return True
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -108,9 +109,17 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, kernel / kernel.sum(), "full")[RADIUS : RADIUS + len(x)]
 
 
+def _closed(html: str) -> str:
+    """A page whose comments and tags that nothing closes are text: the parser takes them so too, but looks for their end anew each time."""
+    end = html.rfind("-->") + 3 if "-->" in html else 0
+    html = html[:end] + re.sub("<!--(?!-?>)", "&lt;!--", html[end:])
+    end = html.rfind(">") + 1
+    return html[:end] + html[end:].replace("<", "&lt;")
+
+
 def main_text(html: str | None) -> str:
     parser = _Lines()
-    parser.feed(html or "")
+    parser.feed(_closed(html or ""))
     parser.close()
     parser.cut()
     lines = [x for x in parser.lines if not x[2]]
