@@ -117,6 +117,11 @@ def review_marks(rows: DataFrame, reference: str, document: str) -> DataFrame:
     return rows.withColumn("motivo", F.when(codes > 1, F.concat(F.lit("avisos_por_capturar:"), codes.cast("string")))).withColumn(reference, F.when(lost.isNull(), F.col(reference)))
 
 
+def medians(runs: DataFrame, group: str, counts: str = "candidatos") -> DataFrame:
+    """(group, mediana) of the counts of its runs: the middle one, or the mean of the two in the middle."""
+    return runs.groupBy(group).agg(F.median(counts).cast("double").alias("mediana"))
+
+
 def history(runs: DataFrame, group: str, order: str, size: int = 7) -> DataFrame:
     """Per run: median of the counts before it, failures in a row before it."""
     w = Window.partitionBy(group).orderBy(order)

@@ -41,7 +41,7 @@ def redecision_report(spark, d):
 
 
 @query(f"""select doc_id, item_id, concat_ws(',', case when not a then 'estado' end, case when not b then 'prazos.encerramento' end) falhadas, 'medidas' sem, case when a then 'alta' else 'baixa' end confianca
-  from (select doc_id, item_id, contains({_comparable("d.text")}, {_comparable("b.text")}) a, contains({_comparable("d.text")}, 'inventado ' || item_id) b from documents d join benchmark b on b.item_id = d.doc_id % 40 where d.text is not null and trim(b.text) <> '')""")
+  from (select doc_id, item_id, coalesce(contains({_comparable("d.text")}, {_comparable("b.text")}), false) a, coalesce(contains({_comparable("d.text")}, 'inventado ' || item_id), false) b from documents d join benchmark b on b.item_id = d.doc_id % 40 where trim(b.text) <> '')""")
 def evidence_partition(spark, d):
     items = v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).where("trim(quote) <> ''")
     rows = _docs(spark, d).join(items, F.col("doc_id") % 40 == F.col("item_id"))

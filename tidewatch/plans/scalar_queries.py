@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, money, text, urls
-from ..operators import gate, identity
+from ..operators import gate, identity, records
 from . import views as v
 
 QUERIES: dict = {}
@@ -37,20 +37,20 @@ def _comparable(x: str) -> str:
 
 
 def _docs(spark, d):
-    return v.table(spark, d, "documents").where("text is not null")
+    return v.table(spark, d, "documents")
 
 
-@query(f"select doc_id, length(t) n, sha256(t) h from (select doc_id, {_squeeze('text')} t from documents where text is not null)")
+@query(f"select doc_id, length(t) n, sha256(t) h from (select doc_id, {_squeeze('text')} t from documents)")
 def norm_spaces(spark, d):
     return _docs(spark, d).select("doc_id", text.squeeze(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("h"))
 
 
-@query("select doc_id, sha256(strip_accents(text)) h from documents where text is not null")
+@query("select doc_id, sha256(strip_accents(text)) h from documents")
 def strip_accents(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(text.strip_accents(F.col("text")), 256).alias("h"))
 
 
-@query(f"select doc_id, sha256({_comparable('text')}) h from documents where text is not null")
+@query(f"select doc_id, sha256({_comparable('text')}) h from documents")
 def comparable_form(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(text.comparable(F.col("text")), 256).alias("h"))
 
@@ -252,7 +252,7 @@ def plan_beneficiaries(spark, d):
     return v.table(spark, d, "orders").select("o_orderkey", text.beneficiary_of_plan(s).alias("b")).select("o_orderkey", F.array_join("b.tipos", ",").alias("tipos"), "b.admite")
 
 
-@query(f"select doc_id, item_id, contains({_comparable('d.text')}, {_comparable('b.text')}) presente from documents d join benchmark b on b.item_id = d.doc_id % 40 where d.text is not null and b.text is not null")
+@query(f"select doc_id, item_id, coalesce(contains({_comparable('d.text')}, {_comparable('b.text')}), false) presente from documents d join benchmark b on b.item_id = d.doc_id % 40 where b.text is not null")
 def evidence_check(spark, d):
     b = v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).where("quote is not null")
     rows = _docs(spark, d).join(b, F.col("doc_id") % 40 == F.col("item_id"))
@@ -355,7 +355,7 @@ def run_status(spark, d):
 @query("select event_type, median(n)::double mediana from (select event_type, date_trunc('day', ts) dia, count(*) n from events group by all) group by 1")
 def median_candidates(spark, d):
     days = v.table(spark, d, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("dia")).agg(F.count("*").alias("n"))
-    return days.groupBy("event_type").agg(F.median("n").cast("double").alias("mediana"))
+    return records.medians(days, "event_type", "n")
 
 
 @query("select event_type, 'ingestao_parada' tipo from events group by 1 having count(*) filter (ts > timestamp '2024-02-01 10:00:00' - interval 36 hours and event_id % 2 = 0) = 0 union all select 'todas', 'ingestao_parada' where (select count(*) from events where ts > timestamp '2024-03-01 00:00:00') = 0")
