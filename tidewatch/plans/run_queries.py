@@ -166,3 +166,15 @@ def extraction_whole(spark, d):
     rows = v.table(spark, d, "orders").select(k.alias("id"), extraction.parse(F.concat(F.lit("```json\n"), reply)).alias("e")).select("id", extraction.trimmed(F.col("e")).alias("t")).select("id", "t.*")
     out = extraction.fund(rows.withColumn("problemas", F.array_join(extraction.problems(F.col("e"), ["sol"], ["particular"]), ",")))
     return out.select("id", "problemas", F.array_join("aparados", ",").alias("aparados"), F.length("resumo").alias("resumo"), "referencia_legal", F.unix_timestamp("fecha_em").alias("fecha"), F.array_join("medidas", ",").alias("medidas"), F.col("dotacao_total_eur").alias("dotacao"), F.col("apoio_max_eur").alias("maximo"), F.col("entidade_gestora").alias("entidade"))
+
+
+@query("""with c as (select event_type fonte, 'u' || user_id || '-' || event_id c from events where event_id % 50 = 0 and strftime(ts, '%Y-%m-%d') = (select max(strftime(ts, '%Y-%m-%d')) from events))
+  select 'conflitos_de_identidade' tipo, count(*) conflitos, string_agg(fonte || ': ' || c, chr(10) order by fonte, c) mensagem from c having count(*) > 0""")
+def last_run_conflicts(spark, d):
+    """A run a day, whose summary names its sources and their conflicts; the alarm of the last one, older ones having been told."""
+    rows = v.table(spark, d, "events").withColumn("dia", F.date_format("ts", "yyyy-MM-dd"))
+    told = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_id").cast("string")))
+    sources = rows.groupBy("dia", F.col("event_type").alias("fonte")).agg(F.max("ts").alias("fim"), F.array_sort(F.collect_list(told)).alias("conflitos"))
+    table = sources.groupBy("dia").agg(F.max("fim").alias("terminado_em"), F.to_json(F.struct(F.collect_list(F.struct("fonte", "conflitos")).alias("fontes"))).alias("resumo")).withColumn("estado", F.lit("ok"))
+    alarms = table.select(F.lit("conflitos_de_identidade").alias("tipo"), (F.col("terminado_em") - F.expr("interval 1 day")).alias("criado_em"))
+    return runs.conflict_alarm(table, alarms)
