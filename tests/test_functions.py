@@ -96,3 +96,11 @@ def test_page_hash_ignores_what_is_volatile(spark):
     assert x == y != z
     assert values(spark, html.visible_text, ["<p>A&ccedil;&atilde;o &#233; &amp;lt; &middot;</p><script>no</script>"]) == ["Ação é &lt; &middot;"]
     assert values(spark, html.soft_404, ["<title>Erro 404</title>", "<title>Bem</title>", None]) == [True, False, False]
+
+
+def test_a_title_with_404_in_a_longer_number_is_no_error(spark):
+    title = lambda x: f"<title>{x}</title>"
+    good = [title(x) for x in ("as +1 (483) 555-6404 er", "anor 4045720305701718 ouha", "ananst +1 (404) 555-9676 ontio", "+1 555 404-1234", "10.404.7.1", "Caminho de ferro", "terror", "x404y")]
+    assert values(spark, html.soft_404, good) == [False] * len(good)
+    bad = [title(x) for x in ("404", "Página inexistente (404)", "404 - Portal", "Portal | 404 Page", "Ocorreu um erro", "Erros", "Error 500", "Errors", "Página não encontrada")] + ["<Error><Code>x"]
+    assert values(spark, html.soft_404, bad) == [True] * len(bad)

@@ -72,6 +72,11 @@ def visible_text(page: Column) -> Column:
     return squeeze(decode_entities(F.regexp_replace(t, r"<[^>]*>", " ")))
 
 
+#: What the title of an error page says; 404 stands alone, not in a longer number, a telephone number or a code.
+CODE_404 = r"(?<![\p{L}\d])(?<!\d[ .()-]{1,2})404(?![\p{L}\d]|\)?[ .-]?\d)"
+ERROR_TITLE = rf"{CODE_404}|(?<!\p{{L}})erro(?:s|rs?)?(?!\p{{L}})|not found|n[aã]o encontrad"
+
+
 def soft_404(page: Column) -> Column:
     """An error page that was served as if it were content."""
-    return F.coalesce(page.rlike(r"(?i)<title>[^<]*(?:404|erro|error|not found|n[aã]o encontrad)|BlobNotFound|<Error><Code>"), F.lit(False))
+    return F.coalesce(page.rlike(rf"(?i)<title>[^<]*(?:{ERROR_TITLE})|BlobNotFound|<Error><Code>"), F.lit(False))
