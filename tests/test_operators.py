@@ -119,6 +119,13 @@ def test_store_is_idempotent(spark):
     assert sorted(r.url for r in gate_.collect()) == ["n", "u"]
 
 
+def test_pages_that_share_an_url_are_each_compared_with_their_own_capture(spark, tmp_path):
+    from tidewatch import registry
+
+    spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "u", "<p>b</p>"), (7, "u", "<p>c</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in registry.QUERIES["latest_snapshot_gate"](spark, str(tmp_path)).collect()] == [(7, "u")]
+
+
 def test_confirmation_and_unsubscribing(spark):
     box = spark.createDataFrame([(i, "a_enviar", t, i) for i, t in enumerate([1, 1, 1, 5, 1])], "id long, estado string, tentativas int, pedido_id long")
     answers = spark.createDataFrame([(0, 200), (1, 400), (2, 503), (3, 503), (4, None)], "id long, status_code int")

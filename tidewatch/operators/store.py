@@ -44,9 +44,12 @@ def latest(rows: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def changed(current: DataFrame, processed: DataFrame, key: str, digest: str) -> DataFrame:
-    """The change gate: rows whose digest isn't that of the last processed capture; it stands before anything costly."""
-    old = processed.select(key, F.col(digest).alias("_old"))
+def changed(current: DataFrame, processed: DataFrame, key: str | list[str], digest: str) -> DataFrame:
+    """The change gate: rows whose digest isn't that of the last processed capture; it stands before anything costly.
+
+    ``processed`` has one row a ``key``: where pages share an url, the key names the page too.
+    """
+    old = processed.select(*([key] if isinstance(key, str) else key), F.col(digest).alias("_old"))
     return current.join(old, key, "left").where(~F.col(digest).eqNullSafe(F.col("_old"))).drop("_old")
 
 
