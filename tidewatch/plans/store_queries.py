@@ -85,8 +85,8 @@ def alert_chain(spark, d):
     with _folder(spark, "ledger") as ledger, _folder(spark, "box") as box:
         for batch, now in ((0, _EARLY), (1, _LATE), (1, _LATE)):
             alerts.run(*given, F.lit(now).cast("timestamp"), ledger, box, batch)
-        rows = versions.read(spark, box)
-        return _kept(rows.select("lote", "user_id", F.size("eventos").cast("long").alias("n"), F.array_min("eventos").alias("primeiro"), F.array_max("eventos").alias("ultimo"), "urgente"), "alert-chain")
+        told = alerts.of_groups(versions.read(spark, ledger)).groupBy("grupo").agg(F.count("*").alias("n"), F.min("event_id").alias("primeiro"), F.max("event_id").alias("ultimo"))
+        return _kept(versions.read(spark, box).join(told, "grupo").select("lote", "user_id", "n", "primeiro", "ultimo", "urgente"), "alert-chain")
 
 
 @query("""with b as (select event_id id, ts + to_minutes((event_id % 600)::int) em from events where event_id % 3 = 0), r as (select id, row_number() over (order by em, id) n from b where em <= timestamp '2024-01-20 00:00:00')
