@@ -75,3 +75,33 @@ def test_claims_retries_and_a_crash(session, tmp_path):
 def test_waits_are_those_of_the_ladder(spark):
     (r,) = spark.range(1).select(alert_state.waits(F.col("id")).alias("w"), alert_state.waits(F.col("id"), LADDER).alias("l")).collect()
     assert r.l == LADDER and len(r.w) == 4 and [a <= b <= a + 10 for a, b in zip([15, 60, 360, 1440], r.w, strict=True)] == [True] * 4
+
+
+class Store(dict):
+    """A map of state that can't be gone through."""
+
+    containsKey, getValue, updateValue = dict.__contains__, dict.get, dict.__setitem__  # noqa: N815
+
+    def removeKey(self, key):  # noqa: N802
+        self.pop(key, None)
+
+    def iterator(self):
+        raise AssertionError("all alerts of a user are read")
+
+
+def test_a_timer_reads_only_the_alerts_that_it_is_for():
+    from types import SimpleNamespace as Of
+
+    import pandas as pd
+
+    timers, now = set(), alert_state.ms(pd.Timestamp(START))
+    user = alert_state.Alerts()
+    user.init(Of(getMapState=lambda *_: Store(), registerTimer=timers.add))
+    rows = [(1, f"i{i}", i, "alerta", None, pd.Timestamp(at(0)), LADDER) for i in range(50)] + [(1, "i7", None, "resposta", 503, pd.Timestamp(at(1)), [])]
+    list(user.handleInputRows((1,), iter([pd.DataFrame(rows, columns=alert_state.INPUT)]), Of(getCurrentWatermarkInMs=lambda: now)))
+    first, last = sorted(timers)
+    expire = lambda t: [tuple(r) for part in user.handleExpiredTimer((1,), None, Of(getExpiryTimeInMs=lambda: t)) for r in part[["impressao", "tentativa"]].itertuples(index=False)]
+    assert expire(first) == [("i7", 2)] and expire(last) == [] and len(user.held) == 50  # none was answered for good
+    answer = pd.DataFrame([(1, "i3", None, "resposta", 200, pd.Timestamp(at(2)), [])], columns=alert_state.INPUT)
+    list(user.handleInputRows((1,), iter([answer]), Of(getCurrentWatermarkInMs=lambda: last)))
+    assert expire(last + 1) == [] and ("i3",) not in user.held and len(user.held) == 49

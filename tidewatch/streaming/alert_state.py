@@ -47,47 +47,66 @@ class Alerts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("avisos", "impressao string", "event_id long, estado string, tentativas int, quando timestamp, proximo timestamp, esperas array<long>")
+        #: The alerts that a timer is for, so that none but those are looked at when it expires.
+        self.due = handle.getMapState("despertares", "em long", "impressoes array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         found = pd.concat(list(rows)).sort_values(["quando", "especie", "event_id"], kind="stable")
-        floor = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms") - LOOK_BACK
-        out = []
+        now = timerValues.getCurrentWatermarkInMs()
+        floor = pd.Timestamp(now, unit="ms") - LOOK_BACK
+        out, seen, changed, timers = [], {}, set(), {}  # an alert is read and written once, however many rows tell of it
         for r in found.itertuples():
-            name = (r.impressao,)
+            name = r.impressao
+            if name not in seen:
+                seen[name] = self.held.getValue((name,)) if self.held.containsKey((name,)) else None
             if r.especie == "alerta":
-                if r.quando > floor and not self.held.containsKey(name):
-                    out.append((key[0], r.impressao, int(r.event_id), "enviar", 1, r.quando))
-                    self.put(name, int(r.event_id), "em_voo", 1, r.quando, None, [int(x) for x in r.esperas])
-                    self.handle.registerTimer(ms(r.quando + LOOK_BACK))
-            elif self.held.containsKey(name):
-                event_id, state, tries, begun, _, steps = self.held.getValue(name)
+                if r.quando > floor and seen[name] is None:
+                    out.append((key[0], name, int(r.event_id), "enviar", 1, r.quando))
+                    seen[name] = (int(r.event_id), "em_voo", 1, r.quando, None, [int(x) for x in r.esperas])
+                    changed.add(name)
+                    timers.setdefault(ms(r.quando + LOOK_BACK), []).append(name)
+            elif seen[name] is not None:
+                event_id, state, tries, begun, _, steps = seen[name]
                 if state != "em_voo":
                     continue
                 code = None if pd.isna(r.status_code) else int(r.status_code)
                 if code is not None and 200 <= code <= 299:
-                    self.put(name, event_id, "enviado", tries, begun, None, steps)
-                    out.append((key[0], r.impressao, event_id, "enviado", tries, r.quando))
+                    seen[name] = (event_id, "enviado", tries, begun, None, steps)
+                    out.append((key[0], name, event_id, "enviado", tries, r.quando))
                 elif (code is None or code == 429 or code >= 500) and tries <= len(steps):
                     again = r.quando + timedelta(minutes=int(steps[tries - 1]))
-                    self.put(name, event_id, "espera", tries, begun, again, steps)
-                    self.handle.registerTimer(ms(again))
+                    seen[name] = (event_id, "espera", tries, begun, again, steps)
+                    timers.setdefault(ms(again), []).append(name)
                 else:
-                    self.put(name, event_id, "falhou", tries, begun, None, steps)
-                    out.append((key[0], r.impressao, event_id, "falhou", tries, r.quando))
-        yield frame(out)
+                    seen[name] = (event_id, "falhou", tries, begun, None, steps)
+                    out.append((key[0], name, event_id, "falhou", tries, r.quando))
+                changed.add(name)
+                if seen[name][1] != "espera" and ms(begun + LOOK_BACK) <= now:  # answered after the timer that would have dropped it
+                    timers.setdefault(now + 1, []).append(name)
+        for name in changed:
+            self.held.updateValue((name,), seen[name])
+        for at, names in timers.items():
+            before = self.due.getValue((at,))[0] if self.due.containsKey((at,)) else []
+            self.due.updateValue((at,), (list(dict.fromkeys([*before, *names])),))
+            self.handle.registerTimer(at)
+        if out:
+            yield frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, out = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"), []
-        for name, (event_id, state, tries, begun, again, steps) in list(self.held.iterator()):
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        at = pd.Timestamp(now, unit="ms")
+        for name in self.due.getValue((now,))[0] if self.due.containsKey((now,)) else []:
+            if not self.held.containsKey((name,)):
+                continue
+            event_id, state, tries, begun, again, steps = self.held.getValue((name,))
             if state == "espera" and pd.Timestamp(again) <= at:
-                self.put(name, event_id, "em_voo", tries + 1, begun, None, steps)
-                out.append((key[0], name[0], event_id, "enviar", tries + 1, pd.Timestamp(again)))
+                self.held.updateValue((name,), (event_id, "em_voo", tries + 1, begun, None, steps))
+                out.append((key[0], name, event_id, "enviar", tries + 1, pd.Timestamp(again)))
             elif state in ("enviado", "falhou") and pd.Timestamp(begun) + LOOK_BACK <= at:
-                self.held.removeKey(name)  # an event as old isn't alerted any more
-        yield frame(out)
-
-    def put(self, name, *values) -> None:
-        self.held.updateValue(name, values)
+                self.held.removeKey((name,))  # an event as old isn't alerted any more
+        self.due.removeKey((now,))
+        if out:
+            yield frame(out)
 
 
 def ms(at: pd.Timestamp) -> int:
@@ -96,7 +115,9 @@ def ms(at: pd.Timestamp) -> int:
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"user_id": "int64", "event_id": "int64", "tentativa": "int32", "quando": "datetime64[ns]"})
+    kinds = {"user_id": "int64", "event_id": "int64", "tentativa": "int32", "quando": "datetime64[ns]"}
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
+    return pd.DataFrame({c: pd.Series(x, dtype=kinds.get(c, "object")) for c, x in zip(names, zip(*rows, strict=True), strict=True)})
 
 
 def actions(rows: DataFrame, late: str = "1 hour") -> DataFrame:
