@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import comparable
+from .text import comparable, let
 
 #: Dollars a million tokens, read in, put out, written to and read from the cache.
 RATES = {"input": 5.0, "output": 25.0, "cache_write": 6.25, "cache_read": 0.5}
@@ -30,17 +30,23 @@ def amount(s: Column) -> Column:
     before three digits, or a comma before three in a number without unit, parts thousands. Where the decimal mark stands
     more than once, as in 30.09.2026, there is no number to read.
     """
-    t = comparable(s)
-    times = _unit(t)
-    digits = F.rtrim(F.regexp_replace(F.regexp_extract(t, r"\d[\d.,\s]*", 0), r"\s+", ""), F.lit(".,"))
-    marks = F.regexp_replace(digits, "[0-9]", "")
-    last, tail = F.substring(marks, -1, 1), F.length(digits) - F.length(F.regexp_replace(digits, "[0-9]+$", ""))
-    mixed = marks.contains(",") & marks.contains(".")
-    decimal = (marks != "") & (mixed | (last == ",") & ((tail != 3) | (times > 1)) | (last == ".") & (tail != 3))
-    twice = F.length(marks) - F.length(F.replace(marks, last)) > 1
-    bare = F.translate(digits, ".,", "")
-    whole = F.concat(F.substring(bare, F.lit(1), F.length(bare) - tail), F.lit("."), F.right(bare, tail))
-    return F.round(F.when(decimal & twice, F.lit(None)).when(decimal, whole).otherwise(bare).try_cast("decimal(20,6)") * times, 2).cast("decimal(18,2)")
+    number = lambda t: F.rtrim(F.regexp_replace(F.regexp_extract(t, r"\d[\d.,\s]*", 0), r"\s+", ""), F.lit(".,"))
+    return let(comparable(s), lambda t: let(number(t), lambda digits: F.when(digits != "", let(_unit(t), lambda times: _euros_of(digits, times)))))
+
+
+def _euros_of(digits: Column, times: Column) -> Column:
+    def read(marks: Column, tail: Column) -> Column:
+        last = F.substring(marks, -1, 1)
+        mixed = marks.contains(",") & marks.contains(".")
+        decimal = (marks != "") & (mixed | (last == ",") & ((tail != 3) | (times > 1)) | (last == ".") & (tail != 3))
+        twice = F.length(marks) - F.length(F.replace(marks, last)) > 1
+        bare = F.translate(digits, ".,", "")
+        whole = F.concat(F.substring(bare, F.lit(1), F.length(bare) - tail), F.lit("."), F.right(bare, tail))
+        return F.when(decimal & twice, F.lit(None)).when(decimal, whole).otherwise(bare)
+
+    tail = F.length(digits) - F.length(F.regexp_replace(digits, "[0-9]+$", ""))
+    bare = let(F.regexp_replace(digits, "[0-9]", ""), lambda marks: let(tail, lambda n: read(marks, n)))
+    return F.round(bare.try_cast("decimal(20,6)") * times, 2).cast("decimal(18,2)")
 
 
 def percentage(s: Column) -> Column:

@@ -95,21 +95,18 @@ def verified(rows: DataFrame, claims: str, document: str) -> DataFrame:
     return rows.withColumns({"provas_falhadas": paths("failed"), "sem_prova": paths("blank"), "confianca_efectiva": sure}).drop("_source", "_judged")
 
 
-def _dates(rows: DataFrame, e: Column) -> DataFrame:
-    """Columns _abre and _fecha: our own reading of the text first; else the model's day, no more precise than the model says it is."""
-    for name, which, closing in (("_abre", "abertura", False), ("_fecha", "encerramento", True)):
-        d = e["prazos"][which]["valor"]
-        rows = rows.withColumn("_ours", dates.parse_date(d["texto_fonte"], closing)).withColumn("_theirs", dates.parse_date(d["data_iso"], closing))
-        kind = F.when(d["precisao"] == "desconhecida", F.col("_theirs.precisao")).otherwise(d["precisao"])
-        known = F.when(F.col("_ours.at").isNotNull(), F.col("_ours.precisao")).when(F.col("_theirs.at").isNotNull(), kind).otherwise("desconhecida")
-        rows = rows.withColumn(name, F.struct(F.coalesce("_ours.at", "_theirs.at").alias("at"), known.alias("precisao"))).drop("_ours", "_theirs")
-    return rows
+def _date(d: Column, closing: bool) -> Column:
+    """struct<at, precisao>: our own reading of the text first; else the model's day, no more precise than the model says it is."""
+    given = lambda at_, kind: F.struct(at_.alias("at"), kind.alias("precisao"))
+    kind = lambda t: F.when(t["at"].isNull(), "desconhecida").when(d["precisao"] == "desconhecida", t["precisao"]).otherwise(d["precisao"])
+    theirs = text.let(dates.parse_date(d["data_iso"], closing), lambda t: given(t["at"], kind(t)))
+    return text.let(dates.parse_date(d["texto_fonte"], closing), lambda t: F.when(t["at"].isNotNull(), given(t["at"], t["precisao"])).otherwise(theirs))
 
 
 def fund(rows: DataFrame, extraction: str = "e") -> DataFrame:
     """``rows`` with the columns of a fund that a valid extraction gives."""
     e = F.col(extraction)
-    rows = _dates(rows, e)
+    rows = rows.withColumns({"_abre": _date(e["prazos"]["abertura"]["valor"], False), "_fecha": _date(e["prazos"]["encerramento"]["valor"], True)})
     who, total = e["identificacao"], e["dotacao"]
     measures = e["medidas"]["valor"]
     detail = F.transform(measures, lambda m: F.struct(m["medida"].alias("medida"), m["percentagem_apoio"].alias("percentagem_apoio"), m["valor_max_eur"].alias("valor_max_eur"), text.blank_to_null(m["unidade"]).alias("unidade")))
