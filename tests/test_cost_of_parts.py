@@ -1,9 +1,15 @@
 """What a row costs: a part that is named often is computed once."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import registry
 from tidewatch.functions import money, text
 
+DATA = "/root/testdata/sf0.001"
+
 
 def plan(df):
     df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(10**8))
@@ -15,3 +21,8 @@ def test_references_and_amounts_read_a_text_once(spark):
     out = rows.select(text.legal_reference(F.col("s")).alias("r"), money.amount(F.col("s")).cast("string").alias("a"))
     assert plan(out).count("regexp_extract(") <= 3  # a kind, the digits of a body, a number
     assert out.collect() == [("AVISO 03/2026", "3000000.00"), (None, None), (None, None), (None, None)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_a_batch_parses_an_answer_once(spark):
+    assert plan(registry.QUERIES["model_batch"](spark, DATA)).count("from_json(") == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import money, text, urls
+from ..functions import money, urls
 from . import extraction
 
 
@@ -44,7 +44,8 @@ def interpreted(rows: DataFrame, measures: list[str] | None = None, kinds: list[
     no row at all (null) as one that isn't in the batch. Too long texts are cut; any other breach of the schema fails.
     """
     reply = F.when(F.col("tipo") == "succeeded", F.col("resposta"))
-    rows = rows.withColumn("_t", extraction.trimmed(extraction.parse(reply)))
+    # The reply is parsed in a column of its own, read once however many parts of it are named.
+    rows = rows.withColumn("_e", extraction.parse(reply)).withColumn("_t", extraction.trimmed(F.col("_e")))
     rows = rows.withColumn("problemas", F.when(F.col("_t.e").isNotNull(), extraction.problems(F.col("_t.e"), measures, kinds)))
     unanswered = F.create_map(*[F.lit(x) for pair in UNANSWERED.items() for x in pair])
     reason = (
@@ -52,10 +53,10 @@ def interpreted(rows: DataFrame, measures: list[str] | None = None, kinds: list[
         .when(F.col("tipo") == "errored", F.concat(F.lit("lote: "), F.concat_ws(" — ", "erro_tipo", "erro_mensagem")))
         .when(F.col("tipo") != "succeeded", F.coalesce(F.try_element_at(unanswered, F.col("tipo")), F.lit("lote: resultado de tipo desconhecido")))
         .when(F.col("fim") == "refusal", "recusa do modelo").when(F.col("fim") == "max_tokens", "resposta cortada").when(F.coalesce(F.trim("resposta"), F.lit("")) == "", "resposta vazia")
-        .when(text.json_of_reply(reply).isNull() | F.col("_t.e").isNull(), "resposta sem JSON").when(F.size("problemas") > 0, F.concat(F.lit("esquema: "), F.array_join("problemas", ", ")))
+        .when(F.col("_t.e").isNull(), "resposta sem JSON").when(F.size("problemas") > 0, F.concat(F.lit("esquema: "), F.array_join("problemas", ", ")))
     )
     rows = rows.withColumn("erro", reason)
-    return rows.withColumns({"e": F.when(F.col("erro").isNull(), F.col("_t.e")), "aparados": F.when(F.col("erro").isNull(), F.col("_t.aparados"))}).drop("_t")
+    return rows.withColumns({"e": F.when(F.col("erro").isNull(), F.col("_t.e")), "aparados": F.when(F.col("erro").isNull(), F.col("_t.aparados"))}).drop("_e", "_t")
 
 
 def batch_cost() -> Column:
