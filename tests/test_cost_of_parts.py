@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import registry
 from tidewatch.functions import money, text
+from tidewatch.operators import identity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,3 +27,10 @@ def test_references_and_amounts_read_a_text_once(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_a_batch_parses_an_answer_once(spark):
     assert plan(registry.QUERIES["model_batch"](spark, DATA)).count("from_json(") == 1
+
+
+def test_candidates_move_once_to_be_judged(spark):
+    rows = spark.createDataFrame([(1, "url", "a", 70, "8"), (1, "titulo", "b", 30, "9"), (2, "url", "c", 70, None)], "cand_id long, tipo string, valor string, forca int, fund_id string")
+    out = identity._outcome(rows, False)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.cand_id, r.resultado, r.nomeados) for r in out.collect()) == [(1, "conflito", ["8", "9"]), (2, "novo", [])]

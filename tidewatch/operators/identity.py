@@ -24,19 +24,22 @@ def keys(rows: DataFrame, source: Column, reference: Column, url: Column, title:
     return rows.select("*", F.explode(found).alias("chave")).select("*", "chave.*").drop("chave")
 
 
-def _outcome(rows: DataFrame, dataset: bool) -> DataFrame:
-    """Per candidate of ``rows`` (a row a key, with the fund that holds it or null): result, fund of the strongest key, new keys, funds."""
+def _outcome(rows: DataFrame, dataset: bool, *same: str) -> DataFrame:
+    """Per candidate of ``rows`` (a row a key, with the fund that holds it or null): result, fund of the strongest key, new keys, funds.
+
+    Columns ``same``, alike in all rows of a candidate, are kept.
+    """
     out = rows.groupBy("cand_id").agg(
-        F.countDistinct("fund_id").alias("fundos"),
         F.min_by("fund_id", F.when(F.col("fund_id").isNotNull(), F.struct((-F.col("forca")).alias("f"), "fund_id"))).alias("fund_id"),
         F.max(F.when(F.col("fund_id").isNotNull(), F.col("forca"))).alias("maior"),
         F.bool_or((F.col("tipo") == "url") & F.col("fund_id").isNull()).alias("url_nova"),
         F.sum(F.when(F.col("fund_id").isNull(), 1).otherwise(0)).alias("chaves_novas"),
         F.array_sort(F.collect_set("fund_id")).alias("nomeados"),
-    )
+        *[F.any_value(c).alias(c) for c in same],
+    ).withColumn("fundos", F.size("nomeados"))
     weak = F.coalesce((F.col("maior") == STRENGTH["titulo"]) & (F.col("fundos") == 1) & F.col("url_nova"), F.lit(False)) if dataset else F.lit(False)
     new = (F.col("fundos") == 0) | weak
-    return out.select("cand_id", F.when(new, "novo").when(F.col("fundos") > 1, "conflito").otherwise("existente").alias("resultado"), F.when(~new, F.col("fund_id")).alias("fund_id"), F.col("chaves_novas").cast("long").alias("chaves_novas"), "nomeados")
+    return out.select("cand_id", F.when(new, "novo").when(F.col("fundos") > 1, "conflito").otherwise("existente").alias("resultado"), F.when(~new, F.col("fund_id")).alias("fund_id"), F.col("chaves_novas").cast("long").alias("chaves_novas"), "nomeados", *same)
 
 
 def resolve(candidates: DataFrame, known: DataFrame, dataset: bool = False) -> DataFrame:
@@ -62,9 +65,8 @@ def _writes(rows: DataFrame, dataset: bool) -> DataFrame:
 TOGETHER = 4096
 
 
-def _replayed(rows: DataFrame, dataset: bool) -> DataFrame:
-    """The writes of whole components (``label``), each walked through in order in one task; small ones share a walk, as they share no key."""
-    walks = rows.agg(F.ceil(F.countDistinct("ordem") / TOGETHER)).first()[0] or 1
+def _replayed(rows: DataFrame, dataset: bool, walks: int) -> DataFrame:
+    """The writes of whole components (``label``), each walked through in order in one task; small ones share one of ``walks``, as they share no key."""
 
     def walk(part: pa.Table) -> pa.Table:
         held: dict[tuple[str, str], str] = {}
@@ -83,7 +85,7 @@ def _replayed(rows: DataFrame, dataset: bool) -> DataFrame:
                     out.append((tipo, valor, forca, name, ordem))
         return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 5, [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()], strict=True)], names=["tipo", "valor", "forca", "fund_id", "ordem"])
 
-    return rows.groupBy(F.pmod(F.xxhash64("label"), F.lit(int(walks)))).applyInArrow(walk, _ADDED)
+    return rows.groupBy(F.pmod(F.xxhash64("label"), F.lit(walks))).applyInArrow(walk, _ADDED)
 
 
 def resolve_batch(candidates: DataFrame, known: DataFrame, position: str = "cand_id", dataset: bool = False, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -103,13 +105,18 @@ def resolve_batch(candidates: DataFrame, known: DataFrame, position: str = "cand
     made: list[str] = []
     try:
         save = lambda df, name: tables.saved(df, name, made)
-        rows = candidates.select("cand_id", F.col(position).cast("long").alias("ordem"), "tipo", "valor", F.col("forca").cast("int").alias("forca")).dropDuplicates(["cand_id", "tipo", "valor"])
-        strongest = rows.groupBy("cand_id").agg(F.sha2(F.max_by(F.concat_ws(":", "tipo", "valor"), F.struct("forca", "tipo", "valor")), 256).alias("novo_id"))
-        rows = rows.join(known.select("tipo", "valor", F.col("fund_id").cast("string").alias("fund_id")), ["tipo", "valor"], "left").join(strongest, "cand_id")
+        named = candidates.where("cand_id is not null").select("cand_id", F.col(position).cast("long").alias("ordem"), F.struct("tipo", "valor", F.col("forca").cast("int").alias("forca")).alias("k"))
+        rows = named.groupBy("cand_id").agg(F.min("ordem").alias("ordem"), F.sort_array(F.collect_set("k")).alias("ks"))
+        # Equal keys stand side by side; the last, of the greatest strength, stays. A candidate's rows move once for all of this.
+        other = lambda x, y: y.isNull() | ~(x["tipo"].eqNullSafe(y["tipo"]) & x["valor"].eqNullSafe(y["valor"]))
+        own = F.filter("ks", lambda x, i: other(x, F.get(F.col("ks"), i + 1)))
+        strongest = F.array_max(F.transform("ks", lambda x: F.struct(x["forca"], x["tipo"], x["valor"])))
+        rows = rows.select("cand_id", "ordem", F.sha2(F.concat_ws(":", strongest["tipo"], strongest["valor"]), 256).alias("novo_id"), F.explode(own).alias("k")).select("cand_id", "ordem", "novo_id", "k.*")
+        rows = rows.join(known.select("tipo", "valor", F.col("fund_id").cast("string").alias("fund_id")), ["tipo", "valor"], "left")
         rows = save(rows.select(*[c.split()[0] for c in _FREE.split(", ")]), "candidatos")
         open_, written = rows, []
         while True:
-            stuck = open_.groupBy("cand_id").agg(F.countDistinct("fund_id").alias("n")).where("n > 1")
+            stuck = open_.groupBy("cand_id").agg(F.min("fund_id").alias("a"), F.max("fund_id").alias("b")).where("a <> b").select("cand_id")
             open_ = save(open_.join(stuck, "cand_id", "left_anti"), "livres")
             unheld = open_.where("fund_id is null")
             first = unheld.groupBy("tipo", "valor").agg(F.min("ordem").alias("primeiro"))
@@ -122,14 +129,15 @@ def resolve_batch(candidates: DataFrame, known: DataFrame, position: str = "cand
             label = save(graph.components(shared.join(centre, ["tipo", "valor"]).select(F.col("ordem").alias("a"), "b"), save), "grupos")
             size = label.groupBy("label").agg(F.count("*").alias("n"))
             tagged = open_.join(label, open_["ordem"] == label["node"], "left").withColumn("label", F.coalesce("label", "ordem")).drop("node").join(size, "label", "left")
-            written.append(save(_replayed(tagged.where(F.coalesce("n", F.lit(1)) <= most), dataset), "escritas"))
+            walks = int(open_.agg(F.ceil(F.countDistinct("ordem") / TOGETHER)).first()[0] or 1)
+            written.append(save(_replayed(tagged.where(F.coalesce("n", F.lit(1)) <= most), dataset, walks), "escritas"))
             open_ = save(tagged.where(F.col("n") > most).drop("label", "n"), "livres")
             if open_.isEmpty():
                 break
         added = reduce(DataFrame.unionByName, written)
         seen = rows.join(added.select("tipo", "valor", F.col("fund_id").alias("_novo"), F.col("ordem").alias("_quando")), ["tipo", "valor"], "left")
         seen = seen.withColumn("fund_id", F.coalesce("fund_id", F.when(F.col("_quando") < F.col("ordem"), F.col("_novo"))))
-        out = _outcome(seen, dataset).join(rows.select("cand_id", "novo_id").distinct(), "cand_id").withColumn("fund_id", F.coalesce("fund_id", "novo_id")).drop("novo_id")
+        out = _outcome(seen, dataset, "novo_id").withColumn("fund_id", F.coalesce("fund_id", "novo_id")).drop("novo_id")
         return tables.saved(out, "resolvidos"), tables.saved(added.drop("ordem"), "chaves")
     finally:
         for path in made:
