@@ -7,9 +7,12 @@ crash repeats nothing beyond what ``write_batches`` overwrites.
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +24,9 @@ from ..operators.matching import MOST_ATTEMPTS
 INPUT = ["user_id", "impressao", "event_id", "especie", "status_code", "quando", "esperas"]
 OUTPUT = "user_id long, impressao string, event_id long, accao string, tentativa int, quando timestamp"
 LOOK_BACK = timedelta(days=30)
+#: Alerts in a part of a user's state, on average at most.
+PART = 128
+MINUTE, WINDOW = 60_000_000, LOOK_BACK // timedelta(microseconds=1)  # instants are counted in microseconds
 #: State of transformWithState needs this store.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,83 +47,178 @@ def responses(rows: DataFrame) -> DataFrame:
     return rows.select("user_id", "impressao", F.lit(None).cast("long").alias("event_id"), F.lit("resposta").alias("especie"), F.col("status_code").cast("int").alias("status_code"), F.col("quando").cast("timestamp").alias("quando"), F.array().cast("array<long>").alias("esperas"))
 
 
+class Held:
+    """A user's alerts by fingerprint. Each call to the state costs a round trip, so alerts are kept in parts by the checksum of
+    the fingerprint: a part is read and written as a whole, and the more alerts there are, the more parts."""
+
+    FIELDS = "impressoes array<string>, eventos array<long>, estados array<string>, tentativas array<int>, inicios array<long>, proximos array<long>, esperas array<array<long>>"
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getMapState("avisos", "parte int", self.FIELDS)
+        self.size = handle.getMapState("tamanho", "um int", "bits int, n long")
+
+    def opened(self) -> Opened:
+        return Opened(self)
+
+    def __len__(self) -> int:
+        return self.opened().n
+
+    def __contains__(self, key: tuple) -> bool:
+        return self.opened().get(key[0]) is not None
+
+
+class Opened:
+    """``Held`` of one user during one call: what was read, and what is to be written at its end."""
+
+    def __init__(self, held: Held) -> None:
+        self.held, self.read, self.before, self.changed = held, {}, {}, set()
+        self.bits, self.n = held.size.getValue((0,)) if held.size.containsKey((0,)) else (0, 0)
+        self.known = (self.bits, self.n)
+
+    def place(self, name: str | None) -> int:
+        return zlib.crc32((name or "").encode()) & (1 << self.bits) - 1
+
+    def part(self, i: int) -> dict:
+        """Of a part's alerts, by fingerprint: event, state, tries, begin, next try, waits."""
+        if i not in self.read:
+            there = self.known[1] > 0 and self.held.parts.containsKey((i,))
+            columns = self.held.parts.getValue((i,)) if there else ()
+            self.read[i] = {name: list(rest) for name, *rest in zip(*columns, strict=True)}
+        return self.read[i]
+
+    def get(self, name: str | None) -> list | None:
+        return self.part(self.place(name)).get(name)
+
+    def put(self, name: str | None, alert: list) -> None:
+        i = self.place(name)
+        self.n += name not in self.part(i)
+        self.read[i][name] = alert
+        self.changed.add(i)
+
+    def drop(self, i: int, name: str | None) -> None:
+        del self.read[i][name]
+        self.n -= 1
+        self.changed.add(i)
+
+    def close(self) -> None:
+        """Writes what was changed, in more parts if there are too many alerts for those there are."""
+        if self.n > PART << self.bits:
+            found = [x for i in range(1 << self.bits) for x in self.part(i).items()]
+            while self.n > PART << self.bits:
+                self.bits += 1
+            self.read, self.changed = {i: {} for i in range(1 << self.bits)}, set(range(1 << self.bits))
+            for name, alert in found:
+                self.read[self.place(name)][name] = alert
+        for i in sorted(self.changed):
+            if self.read[i]:
+                self.held.parts.updateValue((i,), tuple(map(list, zip(*((name, *alert) for name, alert in self.read[i].items()), strict=True))))
+            elif self.known[1] > 0 and self.held.parts.containsKey((i,)):
+                self.held.parts.removeKey((i,))
+        if self.n and (self.bits, self.n) != self.known:
+            self.held.size.updateValue((0,), (self.bits, self.n))
+        elif not self.n and self.known[1]:
+            self.held.size.removeKey((0,))  # and all parts with it
+
+
 class Alerts(StatefulProcessor):
     """One user's alerts, by fingerprint: claimed once, sent, sent again after a wait, failed for good, forgotten when too old."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("avisos", "impressao string", "event_id long, estado string, tentativas int, quando timestamp, proximo timestamp, esperas array<long>")
-        #: The alerts that a timer is for, so that none but those are looked at when it expires.
-        self.due = handle.getMapState("despertares", "em long", "impressoes array<string>")
+        self.held = Held(handle)
+        #: The parts that a timer is for, so that none but those are looked at when it expires. A part has one for the next try and one for the next alert to forget.
+        self.due = handle.getMapState("despertares", "em long", "partes array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = pd.concat(list(rows)).sort_values(["quando", "especie", "event_id"], kind="stable")
+        found = [x for part in rows for x in told(part)]
+        found.sort(key=lambda x: x[:3])
         now = timerValues.getCurrentWatermarkInMs()
-        floor = pd.Timestamp(now, unit="ms") - LOOK_BACK
-        out, seen, changed, timers = [], {}, set(), {}  # an alert is read and written once, however many rows tell of it
-        for r in found.itertuples():
-            name = r.impressao
-            if name not in seen:
-                seen[name] = self.held.getValue((name,)) if self.held.containsKey((name,)) else None
-            if r.especie == "alerta":
-                if r.quando > floor and seen[name] is None:
-                    out.append((key[0], name, int(r.event_id), "enviar", 1, r.quando))
-                    seen[name] = (int(r.event_id), "em_voo", 1, r.quando, None, [int(x) for x in r.esperas])
-                    changed.add(name)
-                    timers.setdefault(ms(r.quando + LOOK_BACK), []).append(name)
-            elif seen[name] is not None:
-                event_id, state, tries, begun, _, steps = seen[name]
-                if state != "em_voo":
-                    continue
-                code = None if pd.isna(r.status_code) else int(r.status_code)
+        held, out, wakes = self.held.opened(), [], {}
+        for when, kind, event_id, name, code, steps in found:
+            i = held.place(name)
+            if i not in wakes:
+                wakes[i] = wake(held.part(i), now)
+            alert = held.get(name)
+            if kind == "alerta":
+                if when > now * 1000 - WINDOW and alert is None:
+                    out.append((key[0], name, int(event_id), "enviar", 1, when))
+                    held.put(name, [int(event_id), "em_voo", 1, when, None, [int(x) for x in steps]])
+            elif alert is not None and alert[1] == "em_voo":
+                event_id, _, tries, begun, _, steps = alert
                 if code is not None and 200 <= code <= 299:
-                    seen[name] = (event_id, "enviado", tries, begun, None, steps)
-                    out.append((key[0], name, event_id, "enviado", tries, r.quando))
+                    held.put(name, [event_id, "enviado", tries, begun, None, steps])
+                    out.append((key[0], name, event_id, "enviado", tries, when))
                 elif (code is None or code == 429 or code >= 500) and tries <= len(steps):
-                    again = r.quando + timedelta(minutes=int(steps[tries - 1]))
-                    seen[name] = (event_id, "espera", tries, begun, again, steps)
-                    timers.setdefault(ms(again), []).append(name)
+                    held.put(name, [event_id, "espera", tries, begun, when + steps[tries - 1] * MINUTE, steps])
                 else:
-                    seen[name] = (event_id, "falhou", tries, begun, None, steps)
-                    out.append((key[0], name, event_id, "falhou", tries, r.quando))
-                changed.add(name)
-                if seen[name][1] != "espera" and ms(begun + LOOK_BACK) <= now:  # answered after the timer that would have dropped it
-                    timers.setdefault(now + 1, []).append(name)
-        for name in changed:
-            self.held.updateValue((name,), seen[name])
-        for at, names in timers.items():
-            before = self.due.getValue((at,))[0] if self.due.containsKey((at,)) else []
-            self.due.updateValue((at,), (list(dict.fromkeys([*before, *names])),))
-            self.handle.registerTimer(at)
+                    held.put(name, [event_id, "falhou", tries, begun, None, steps])
+                    out.append((key[0], name, event_id, "falhou", tries, when))
+        held.close()
+        self.wake(held, held.changed, wakes, now)
         if out:
             yield frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        at = pd.Timestamp(now, unit="ms")
-        for name in self.due.getValue((now,))[0] if self.due.containsKey((now,)) else []:
-            if not self.held.containsKey((name,)):
-                continue
-            event_id, state, tries, begun, again, steps = self.held.getValue((name,))
-            if state == "espera" and pd.Timestamp(again) <= at:
-                self.held.updateValue((name,), (event_id, "em_voo", tries + 1, begun, None, steps))
-                out.append((key[0], name, event_id, "enviar", tries + 1, pd.Timestamp(again)))
-            elif state in ("enviado", "falhou") and pd.Timestamp(begun) + LOOK_BACK <= at:
-                self.held.removeKey((name,))  # an event as old isn't alerted any more
-        self.due.removeKey((now,))
+        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        now = at if timerValues is None else max(at, timerValues.getCurrentWatermarkInMs() - 1)  # all that expires in this batch
+        held, parts = self.held.opened(), self.due.getValue((at,))[0] if self.due.containsKey((at,)) else []
+        for i in parts:
+            for name, alert in list(held.part(i).items()):
+                event_id, state, tries, begun, again, steps = alert
+                if state == "espera" and again <= now * 1000:
+                    held.put(name, [event_id, "em_voo", tries + 1, begun, None, steps])
+                    out.append((key[0], name, event_id, "enviar", tries + 1, again))
+                elif state in ("enviado", "falhou") and begun + WINDOW <= now * 1000:
+                    held.drop(i, name)  # an event as old isn't alerted any more
+        held.close()
+        if parts:
+            self.due.removeKey((at,))
+        self.wake(held, parts, {}, now)
         if out:
             yield frame(out)
 
+    def wake(self, held: Opened, parts, before: dict, now: int) -> None:
+        """Sets the timers of some parts, but for those that were set ``before``."""
+        wanted = defaultdict(set)
+        for i in parts:
+            for at in wake(held.part(i), now) - before.get(i, set()):
+                wanted[at].add(i)
+        for at, some in wanted.items():
+            there = self.due.getValue((at,))[0] if self.due.containsKey((at,)) else []
+            if not some <= set(there):
+                self.due.updateValue((at,), (sorted(some.union(there)),))
+                self.handle.registerTimer(at)
+
+
+def wake(part: dict, now: int) -> set[int]:
+    """When a part's next try is due, and when its next alert is to be forgotten: at once after ``now`` where that was answered too late."""
+    tries = [above(x[4]) for x in part.values() if x[1] == "espera"]
+    old = [max(above(x[3] + WINDOW), now + 1) for x in part.values() if x[1] in ("enviado", "falhou") or above(x[3] + WINDOW) > now]
+    return {min(x) for x in (tries, old) if x}
+
+
+def above(at: int) -> int:
+    """The first millisecond that isn't before a microsecond: timers know no finer."""
+    return -(-at // 1000)
+
 
 def ms(at: pd.Timestamp) -> int:
-    """The first millisecond that isn't before an instant: timers know no finer."""
-    return -(-pd.Timestamp(at).as_unit("ns").value // 1_000_000)
+    """The first millisecond that isn't before an instant."""
+    return above(-(-pd.Timestamp(at).as_unit("ns").value // 1000))
+
+
+def told(rows: pd.DataFrame) -> Iterator[tuple]:
+    """(instant, kind, event, fingerprint, status, waits) of input rows; no event comes after all, no status is None."""
+    when = rows["quando"].to_numpy("datetime64[us]").astype("int64").tolist()
+    events = [float("inf") if pd.isna(x) else int(x) for x in rows["event_id"].tolist()]
+    codes = [None if pd.isna(x) else int(x) for x in rows["status_code"].tolist()]
+    return zip(when, rows["especie"].tolist(), events, rows["impressao"].tolist(), codes, rows["esperas"].tolist(), strict=True)
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
-    kinds = {"user_id": "int64", "event_id": "int64", "tentativa": "int32", "quando": "datetime64[ns]"}
+    kinds = {"user_id": "int64", "event_id": "int64", "tentativa": "int32", "quando": "datetime64[us]"}
     names = [c.split()[0] for c in OUTPUT.split(", ")]
-    return pd.DataFrame({c: pd.Series(x, dtype=kinds.get(c, "object")) for c, x in zip(names, zip(*rows, strict=True), strict=True)})
+    return pd.DataFrame({c: np.array(x, dtype=kinds.get(c, "object")) for c, x in zip(names, zip(*rows, strict=True), strict=True)}).astype({"quando": "datetime64[ns]"})
 
 
 def actions(rows: DataFrame, late: str = "1 hour") -> DataFrame:
